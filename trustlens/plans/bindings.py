@@ -29,8 +29,11 @@ def audit_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.get_json_object("props", "$.k").cast("int")
     geo = F.element_at(F.array(*[F.lit(g) for g in GEOS]), (k % 5) + 1)  # k%5 = 4 -> NULL
     geo = F.when(k % 5 < 4, geo)
-    env = F.to_json(F.struct((k * 20.0).alias("distance_km")))
-    snapshot = F.to_json(F.struct(geo.alias("geo"), F.from_json(env, "distance_km double").alias("env")))
+    snapshot = F.to_json(F.struct(
+        geo.alias("geo"),
+        F.struct((k * 20.0).alias("distance_km")).alias("env"),
+        F.struct(F.concat(F.lit("d"), F.col("user_id").cast("string")).alias("id"),
+                 (F.lit(1.0) - k / 100.0).alias("trust_score")).alias("device")))
     ts = F.col("ts").cast("timestamp")
     return ev.select(
         F.col("event_id"),
@@ -58,13 +61,31 @@ AUDIT_CTE = f"""audit AS (
          CASE event_type WHEN 'error' THEN 'DENY' WHEN 'signup' THEN 'CHALLENGE' ELSE 'ALLOW' END AS decision,
          CAST(props->>'$.k' AS INTEGER) / 100.0 AS risk_score,
          value AS latency_ms,
-         CAST(props->>'$.k' AS INTEGER) * 20.0 AS distance_km,
+         CAST(CAST(props->>'$.k' AS INTEGER) * 20 AS DOUBLE) AS distance_km,
+         1.0 - CAST(props->>'$.k' AS INTEGER) / 100.0 AS device_trust_score,
          CASE CAST(props->>'$.k' AS INTEGER) % 5
               WHEN 0 THEN '{GEOS[0]}' WHEN 1 THEN '{GEOS[1]}'
               WHEN 2 THEN '{GEOS[2]}' WHEN 3 THEN '{GEOS[3]}' END AS geo
   FROM events)"""
 
 
+# Fixed values of the binding: coordinates of the four geo codes (for W2 distances).
+GEO_COORDS = {"US-NYC": (40.7128, -74.006), "DE-BER": (52.52, 13.405),
+              "ES-MAD": (40.4168, -3.7038), "MX-CDM": (19.4326, -99.1332)}
+
+
+def audit_with_coords(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a = audit_events(spark, sf_dir)
+    geo = F.try_element_at("context", F.lit("geo"))
+    lat = F.create_map(*[x for g, (la, _) in GEO_COORDS.items() for x in (F.lit(g), F.lit(la))])
+    lon = F.create_map(*[x for g, (_, lo) in GEO_COORDS.items() for x in (F.lit(g), F.lit(lo))])
+    return a.withColumn("lat", F.try_element_at(lat, geo)).withColumn("lon", F.try_element_at(lon, geo))
+
+
+COORDS_SQL = ("CASE geo " + " ".join(f"WHEN '{g}' THEN {la}" for g, (la, _) in GEO_COORDS.items()) + " END AS lat, "
+              "CASE geo " + " ".join(f"WHEN '{g}' THEN {lo}" for g, (_, lo) in GEO_COORDS.items()) + " END AS lon")
+
+
 # ---------------------------------------------------------------- B-RQ access requests
 def access_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """orders -> access requests with the nested request struct columns."""

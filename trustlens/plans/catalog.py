@@ -6,7 +6,7 @@ import importlib
 
 from .registry import QUERIES
 
-MODULES = ["q_anomaly"]
+MODULES = ["q_anomaly", "q_audit"]
 
 
 def load() -> dict:
