@@ -147,3 +147,43 @@ def credential_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "customer")
     return c.select(F.concat(F.lit("cred-"), F.col("c_custkey").cast("string")).alias("credential_id"),
                     F.col("c_name"))
+
+
+# ---------------------------------------------------------------- B-RS resources
+# Fixed values of the binding: three locations picked by o_custkey % 3.
+LOCATIONS = ("eastus", "westeurope", "brazilsouth")
+
+
+def resources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """orders + lineitem -> resource table; ``lines`` is NULL (missing) for orders without
+    line items.  Lines are gathered per order (an order has a handful), so the collect is
+    bounded by the key, not by the table."""
+    li = (table(spark, sf_dir, "lineitem")
+          .groupBy(F.col("l_orderkey").alias("o_orderkey"))
+          .agg(F.sort_array(F.collect_list(F.struct("l_linenumber", "l_returnflag", "l_linestatus",
+                                                     "l_quantity"))).alias("_l")))
+    li = li.select("o_orderkey", F.transform("_l", lambda e: F.struct(
+        e["l_returnflag"].alias("returnflag"), e["l_linestatus"].alias("linestatus"),
+        e["l_quantity"].alias("quantity"))).alias("lines"))
+    o = table(spark, sf_dir, "orders")
+    key = F.col("o_orderkey")
+    tags = F.map_filter(F.create_map(F.lit("status"), F.col("o_orderstatus"),
+                                     F.lit("env"), F.when(key % 4 == 0, F.lit("prod"))),
+                        lambda k, v: v.isNotNull())
+    return o.join(li, "o_orderkey", "left").select(
+        F.concat(F.lit("res-"), key.cast("string")).alias("id"),
+        F.concat(F.lit("res-"), key.cast("string")).alias("name"),
+        F.col("o_orderpriority").alias("type"),
+        F.element_at(F.array(*[F.lit(x) for x in LOCATIONS]), (F.col("o_custkey") % 3 + 1).cast("int")).alias("location"),
+        tags.alias("tags"), "lines", F.col("o_totalprice").alias("totalprice"), key.alias("key"))
+
+
+RESOURCES_CTE = f"""li AS (SELECT l_orderkey, list({{'returnflag': l_returnflag, 'linestatus': l_linestatus,
+                                 'quantity': l_quantity}} ORDER BY l_linenumber, l_returnflag, l_linestatus, l_quantity) AS lines
+       FROM lineitem GROUP BY l_orderkey),
+res AS (SELECT 'res-' || CAST(o_orderkey AS VARCHAR) AS id, 'res-' || CAST(o_orderkey AS VARCHAR) AS name,
+               o_orderpriority AS type,
+               ['{LOCATIONS[0]}', '{LOCATIONS[1]}', '{LOCATIONS[2]}'][CAST(o_custkey % 3 + 1 AS INTEGER)] AS location,
+               o_orderstatus AS status, CASE WHEN o_orderkey % 4 = 0 THEN 'prod' END AS env,
+               li.lines, o_totalprice AS totalprice, o_orderkey AS key
+        FROM orders LEFT JOIN li ON li.l_orderkey = orders.o_orderkey)"""
