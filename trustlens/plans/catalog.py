@@ -6,7 +6,7 @@ import importlib
 
 from .registry import QUERIES
 
-MODULES = ["q_anomaly", "q_audit", "q_decisions", "q_revocations", "q_compliance", "q_access"]
+MODULES = ["q_anomaly", "q_audit", "q_decisions", "q_revocations", "q_compliance", "q_access", "q_nested"]
 
 
 def load() -> dict:
