@@ -333,3 +333,12 @@ def newest_events_top100(spark, sf_dir):
     a = audit_events(spark, sf_dir)
     return (a.orderBy(F.col("timestamp_ns").desc(), F.col("event_id").desc()).limit(100)
              .select("event_id", "user_did", "timestamp_ns"))
+
+
+@query("half_space_scores", "M4 P9")
+def half_space_scores(spark, sf_dir):
+    from ..operators.halfspace import half_space_scores as hst
+    a = audit_events(spark, sf_dir)
+    f = a.select("event_id", "timestamp_ns", F.col("latency_ms").alias("latency"), "risk_score",
+                 ev.ctx_number("context", "env", "$.distance_km").alias("distance"))
+    return hst(f, window_seconds=86400).select("event_id", F.round("hst_score", R).alias("hst_score"))
