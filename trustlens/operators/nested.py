@@ -6,6 +6,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Column
 from pyspark.sql import functions as F
 
+from ..session import ensure_checkpoint_dir
+
 
 def _kind(v: Column) -> Column:
     """Variant node kind: object / array / string / number / boolean / null."""
@@ -20,9 +22,12 @@ def walk(df: DataFrame, json_col: str, id_col: str, max_depth: int = 64) -> Data
     Paths use the ``$.key[0]`` form.  Level-by-level explode of containers; stops when
     no container is left (one small emptiness check per level)."""
     spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
     cur = df.select(F.col(id_col).alias("id"), F.lit("$").alias("path"),
                     F.parse_json(F.col(json_col)).alias("v"))
-    cur = cur.withColumn("kind", _kind(F.col("v")))
+    # each level is checkpointed: the next level reads it instead of recomputing all
+    # levels above it, and the loop's plans stay small
+    cur = cur.withColumn("kind", _kind(F.col("v"))).checkpoint(eager=True)
     out = cur
     for _ in range(max_depth):
         cont = cur.filter(F.col("kind").isin("object", "array"))
@@ -35,7 +40,7 @@ def walk(df: DataFrame, json_col: str, id_col: str, max_depth: int = 64) -> Data
                       e.value AS v
                FROM {cont} c, LATERAL variant_explode_outer(c.v) AS e
                WHERE e.pos IS NOT NULL""", cont=cont)
-        cur = nxt.withColumn("kind", _kind(F.col("v")))
+        cur = nxt.withColumn("kind", _kind(F.col("v"))).checkpoint(eager=True)
         out = out.unionByName(cur)
     raise ValueError(f"documents nested deeper than {max_depth}")
 
