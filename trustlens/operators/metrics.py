@@ -81,12 +81,15 @@ def coverage(df: DataFrame, as_of_ns: int, expected: int, ts="timestamp_ns") ->
 
 def latency_summary(df: DataFrame, value: str, by=()) -> DataFrame:
     """Avg, p95, p99 by floor index sorted[int(n*p)], all rounded to 2."""
-    by = list(by)
-    avg = df.groupBy(*by).agg(F.count(value).alias("n"), F.round(F.avg(value), 2).alias("lat_avg"))
-    p95 = floor_index_pick(df, by, value, 0.95, "p95")
-    p99 = floor_index_pick(df, by, value, 0.99, "p99")
-    j = avg.join(p95, by, "left").join(p99, by, "left") if by else avg.crossJoin(p95).crossJoin(p99)
-    return j.select(*by, "n", "lat_avg", F.round("p95", 2).alias("lat_p95"), F.round("p99", 2).alias("lat_p99"))
+    out_by = list(by)
+    if not out_by:  # one summary row: group by a constant so every part joins on a key
+        df = df.withColumn("_all", F.lit(1))
+    keys = out_by or ["_all"]
+    avg = df.groupBy(*keys).agg(F.count(value).alias("n"), F.round(F.avg(value), 2).alias("lat_avg"))
+    p95 = floor_index_pick(df, keys, value, 0.95, "p95")
+    p99 = floor_index_pick(df, keys, value, 0.99, "p99")
+    j = avg.join(p95, keys, "left").join(p99, keys, "left")
+    return j.select(*out_by, "n", "lat_avg", F.round("p95", 2).alias("lat_p95"), F.round("p99", 2).alias("lat_p99"))
 
 
 def throughput_report(df: DataFrame, start_ns: int, tick_seconds: int, duration_ticks: int,

@@ -185,13 +185,10 @@ def effective_params(spark, sf_dir):
     region = table(spark, sf_dir, "region")
     nation = table(spark, sf_dir, "nation")
     # Fixed values of the binding: parameter names and defaults.
-    defaults = spark.createDataFrame([("effect", "Audit"), ("maxBalance", "5000")], "param string, default_value string")
-    defs = region.select(F.col("r_name").alias("policy")).join(defaults, how="cross") if False else \
-        region.select(F.col("r_name").alias("policy"),
-                      F.explode(F.array(*[F.struct(F.lit(p).alias("param"), F.lit(v).alias("default_value"))
-                                          for p, v in (("effect", "Audit"), ("maxBalance", "5000"))])).alias("d")
-                      ).select("policy", "d.param", "d.default_value")
-    del defaults
+    defs = region.select(F.col("r_name").alias("policy"),
+                         F.explode(F.array(*[F.struct(F.lit(p).alias("param"), F.lit(v).alias("default_value"))
+                                             for p, v in (("effect", "Audit"), ("maxBalance", "5000"))])).alias("d")
+                         ).select("policy", "d.param", "d.default_value")
     nr = nation.join(region, nation.n_regionkey == region.r_regionkey).select(
         F.col("n_name").alias("assignment"), F.col("r_name").alias("policy"), "n_nationkey")
     vals = (nr.filter(F.col("n_nationkey") % 3 == 0).select("assignment", "policy", F.lit("effect").alias("param"),
