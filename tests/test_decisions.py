@@ -48,3 +48,17 @@ def test_fail_closed(spark):
     out = D.fail_closed(d, F.col("session_id") == "s0").filter("session_id = 's0'").first()
     assert (out.allow, out.requires_2fa, out.block, out.risk_score, out.latency_ms) == (False, True, True, 1.0, 0.0)
     assert out.denied_by_panic_mode
+
+
+def test_flatten_context_matches_binding_map(spark):
+    from trustlens.functions.events import ctx, ctx_number, flatten_context
+    from trustlens.plans.bindings import audit_events
+    a = audit_events(spark, "/root/testdata/sf0.001")
+    rows = a.select(flatten_context("context_snapshot").alias("f"), "context").collect()
+    assert rows and all(r.f == r.context for r in rows)
+    row = spark.createDataFrame([('{"a": "x", "b": {"c": 1}, "n": null}',), ("[1]",)], "j string") \
+        .select(flatten_context("j").alias("m")).collect()
+    assert row[0].m == {"a": "x", "b": '{"c":1}', "n": "null"} and row[1].m == {}
+    one = spark.createDataFrame([({"env": '{"distance_km": "bad"}'},)], "m map<string,string>")
+    r = one.select(ctx("m", "geo").alias("g"), ctx_number("m", "env", "$.distance_km").alias("d")).first()
+    assert (r.g, r.d) == ("", 0.0)

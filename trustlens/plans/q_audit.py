@@ -25,7 +25,9 @@ SELECT event_id, latency_ms, round(risk_score, {R}) AS risk_score, distance_km,
 FROM audit""")
 def feature_rows(spark, sf_dir):
     a = audit_events(spark, sf_dir)
-    f = a.select("event_id", "timestamp_ns", "latency_ms", "risk_score", "decision", "context")
+    # P1 on the wire form: the context map is re-derived from the JSON snapshot here
+    f = a.select("event_id", "timestamp_ns", "latency_ms", "risk_score", "decision",
+                 ev.flatten_context("context_snapshot").alias("context"))
     out = f.select("event_id", ev.feature_rows(f).columns and F.col("latency_ms"),
                    F.round("risk_score", R).alias("risk_score"),
                    ev.ctx_number("context", "env", "$.distance_km").alias("distance_km"),
