@@ -63,3 +63,14 @@ def test_half_space_outlier_ranks_first(spark):
     sc = half_space_scores(f, window_seconds=1000, n_trees=10, height=10).filter(F.col("hst_score").isNotNull())
     top = sc.orderBy(F.col("hst_score").desc()).first()
     assert top.latency == 250.0
+
+
+def test_normalize_and_denormalize(spark):
+    from trustlens.operators import normalize as NZ
+    df = spark.createDataFrame([(1, '{"Type":"VM","NAME":"a","properties":{"Size":"L","name":"b"}}')], "id int, raw string")
+    al = spark.createDataFrame([("vm", "size", "$.size")], "type string, alias string, path string")
+    n = NZ.normalize_resources(df, "raw", "id", al).first()
+    assert n.normalized == {"type": "VM", "name": "a", "size": "L"}
+    assert n.aliases == {"size": "L"}
+    d = NZ.denormalize(spark.createDataFrame([({"type": "VM"},)], "m map<string,string>"), "m", {"type": "Type"})
+    assert d.first().denormalized == '{"Type":"VM"}'

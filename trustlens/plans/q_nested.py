@@ -251,3 +251,20 @@ def resolve_ids(spark, sf_dir):
     ids = lab.select(F.concat(F.when(F.col("quality") == 1, F.lit(PREFIX)).otherwise(F.lit("did:y:")),
                               (F.col("doc_id") + F.col("toxic") * 1000000).cast("string")).alias("id"))
     return I.resolve_ids(ids, _docs(spark, sf_dir), PREFIX)
+
+
+@query("normalize_resources", "C24 C25")
+def normalize_resources(spark, sf_dir):
+    from ..operators import normalize as NZ
+    r = resources(spark, sf_dir)
+    raw = r.select("id", F.to_json(F.struct(F.col("type").alias("Type"), F.col("location").alias("Location"),
+                                            F.struct(F.col("totalprice").alias("TotalPrice"),
+                                                     F.col("type").alias("type"),
+                                                     F.col("tags").alias("Tags")).alias("properties"))).alias("raw"))
+    # Fixed values of the binding: one alias per resource type, and the casing table.
+    types = table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("type")).distinct()
+    aliases = types.select("type", F.lit("price").alias("alias"), F.lit("$.totalprice").alias("path"))
+    n = NZ.normalize_resources(raw, "raw", "id", aliases)
+    d = NZ.denormalize(n, "normalized", {"type": "Type", "location": "Location", "totalprice": "TotalPrice"})
+    return d.select("id", F.size("normalized").alias("keys"), F.element_at("aliases", F.lit("price")).alias("price"),
+                    "denormalized")
