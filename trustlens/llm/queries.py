@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bestfit, chat, embed_dedup, minhash, sharding, tokencount, tokenpack
+from . import bestfit, chat, decontam, embed_dedup, minhash, sharding, tokencount, tokenpack
 from .common import table
 
 SHARDS = [f"shard-{i:02d}" for i in range(48)]
@@ -26,6 +26,10 @@ def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.format_chats(table(spark, sf_dir, "conversations"))
 
 
+def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("h")
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id")
     return sharding.assign_shards(docs, "doc_id", SHARDS)
@@ -80,5 +84,31 @@ SELECT doc_id, slot, printf('shard-%02d', v[slot + 1]) AS shard FROM d, o
 """
 
 
+OP3_SQL = r"""
+WITH w AS (SELECT doc_id, list_filter(string_split_regex(translate(COALESCE(text, ''),
+                  'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                  '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS v,
+                  row_number() OVER () AS r FROM documents),
+b AS (SELECT item_id, list_filter(string_split_regex(translate(COALESCE(text, ''),
+             'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+             '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS v FROM benchmark),
+bw AS (SELECT DISTINCT item_id, least(len(v), 13) AS n,
+              array_to_string(v[s.i:s.i + 12], ' ') AS phrase
+       FROM b, UNNEST(range(1, greatest(len(v) - 12, 1) + 1)) AS s(i) WHERE len(v) > 0),
+lens AS (SELECT DISTINCT n FROM bw),
+dw AS (SELECT r, p.i AS p0, lens.n, array_to_string(v[p.i:p.i + lens.n - 1], ' ') AS phrase
+       FROM w, lens, UNNEST(range(1, len(v) - lens.n + 2)) AS p(i)),
+hits AS (SELECT dw.r, dw.p0, dw.n, bw.item_id FROM dw JOIN bw ON dw.phrase = bw.phrase AND dw.n = bw.n),
+pos AS (SELECT r, count(DISTINCT q.i) AS n_hit FROM hits, UNNEST(range(p0, p0 + n)) AS q(i) GROUP BY r),
+it AS (SELECT r, count(*) AS n_items, string_agg(CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS ids
+       FROM (SELECT DISTINCT r, item_id FROM hits) GROUP BY r)
+SELECT doc_id, CAST(len(v) AS BIGINT) AS n_words, COALESCE(n_hit, 0) AS n_hit, COALESCE(n_items, 0) AS n_items,
+       sha256(COALESCE(ids, '')) AS items_sha256,
+       COALESCE(n_hit, 0) > 0 AND 20 * COALESCE(n_hit, 0) >= len(v) AS contaminated
+FROM w LEFT JOIN pos USING (r) LEFT JOIN it USING (r)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_chat_formatting": OP2_SQL, "op6_sharding": op6_sql()}
+    return {"op2_chat_formatting": OP2_SQL, "op3_benchmark_decontamination": OP3_SQL,
+            "op6_sharding": op6_sql()}
