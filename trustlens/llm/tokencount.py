@@ -1,6 +1,7 @@
 """Token counts of whole texts; huge texts are counted by overlap resynchronisation.
 
-A text of up to ``chunk`` characters is encoded at once.  A longer one is cut into chunks that
+A text of up to ``chunk`` characters is encoded in its task, by pieces that a worker remembers
+(see ``tokens``).  A longer one is cut into chunks that
 overlap their successor by ``overlap`` characters; every chunk is a row of its own, so one huge
 text is the work of many tasks.  Each chunk is encoded with offsets.  Two neighbours are spliced
 at a position of their overlap where both start a token and that is provably stable: the
@@ -21,28 +22,19 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import store
+from .tokens import ByteEncoder, encoder
 
 CHUNK, OVERLAP, WIDEN = 32_768, 512, 8
 
 # Not white space to any reading of "white space", then white space to every reading of it.
 _STABLE = re.compile("(?<=[^\\s\x1c-\x1f\x85])(?=[ \\t\\n\\r])")
-_TOKENIZERS: dict = {}
-
-
-def _tokenizer(file: str):
-    import os
-    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-    if file not in _TOKENIZERS:
-        from tokenizers import Tokenizer
-        _TOKENIZERS[file] = Tokenizer.from_file(file)
-    return _TOKENIZERS[file]
 
 
 def _count_whole(file: str):
     def run(batches):
-        tok = _tokenizer(file)
+        enc = encoder(ByteEncoder, file)
         for b in batches:
-            n = [len(tok.encode(t, add_special_tokens=False)) for t in b.column("text").to_pylist()]
+            n = [len(enc.ids(t)) // 4 for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [b.column("doc_id"), b.column("n_bytes"), pa.array(n, pa.int64())],
                 ["doc_id", "n_bytes", "n_tokens"])
@@ -62,7 +54,7 @@ def _stable(text: str, starts: list[int], low: int, high: int) -> tuple[list[int
 
 def _encode_chunks(file: str, overlap: int):
     def run(batches):
-        tok = _tokenizer(file)
+        tok = encoder(ByteEncoder, file).tok
         for b in batches:
             rows = []
             for start, last, text in zip(b.column("start").to_pylist(), b.column("last").to_pylist(),
