@@ -24,6 +24,7 @@ from .common import store
 
 TRAINING_ROWS = 20_000  # at most so many labelled rows are fitted on
 FEATURES = 8192
+MIN_G2 = 10.8  # a chance of one in a thousand for a feature that means nothing
 MEMO_WORDS = 400_000
 NEUTRAL = "people"
 # Identity terms, by kind; a term is swapped for the others of its kind.
@@ -117,7 +118,7 @@ def choose_features(rows: DataFrame, top: int = FEATURES) -> list[str]:
     lacks = F.lit(t0 + t1) - has
     g2 = (cell(F.col("n0"), has, F.lit(t0)) + cell(F.col("n1"), has, F.lit(t1))
           + cell(t0 - F.col("n0"), lacks, F.lit(t0)) + cell(t1 - F.col("n1"), lacks, F.lit(t1)))
-    best = (n.filter(has < t0 + t1).withColumn("g2", g2).filter(F.col("g2") > 6.6)
+    best = (n.filter(has < t0 + t1).withColumn("g2", g2).filter(F.col("g2") > MIN_G2)
             .orderBy(F.desc("g2"), "feature").limit(top))
     return [r["feature"] for r in best.select("feature").collect()]
 
@@ -178,7 +179,7 @@ class _Rows:
         return np.bincount(self.col, weights=g[self.row], minlength=self.n)
 
 
-def fit(y, x, other, n: int, swap: float = 2.0, ridge: float = 1e-3, steps: int = 400):
+def fit(y, x, other, n: int, swap: float = 2.0, ridge: float = 2e-5, steps: int = 400):
     """(bias, weights): full-batch Adam on the log loss, ``swap`` times the mean squared score
     change under the counterfactuals and ``ridge`` times the squared weights."""
     y, rows = np.asarray(y, dtype=float), _Rows(x, n)
