@@ -232,3 +232,19 @@ def near_duplicate_components(docs: DataFrame, percent: int = PERCENT, places: i
                     F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
                     .alias("component_id"))
             .withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id"))))
+
+
+def keep_one_of_each(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """The rows of ``docs`` without near-duplicates, with all their columns: of each component one
+    row with its least id.  Rows without words all stay."""
+    d = docs.withColumn("_h", F.xxhash64("text"))
+    wordless = F.coalesce("text", F.lit("")).rlike(r"^[ \t\n\x0B\f\r]*$")
+    worded = d.filter(~wordless)
+    # the id of the pair (id, text) tells rows of one id with different texts apart
+    at = worded.select(F.struct("doc_id", F.col("_h").alias("h")).alias("doc_id"), "text")
+    kept = (near_duplicate_components(at, percent).filter("kept").select("doc_id.doc_id", "doc_id.h").distinct()
+            .alias("k"))
+    w = worded.alias("w")
+    on = F.col("w.doc_id").eqNullSafe(F.col("k.doc_id")) & (F.col("w._h") == F.col("k.h"))
+    one = w.join(kept, on, "left_semi").dropDuplicates(["doc_id", "_h"])
+    return one.unionByName(d.filter(wordless)).drop("_h")

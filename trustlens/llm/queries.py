@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bestfit, chat, decontam, embed_dedup, minhash, sharding, tokencount, tokenpack, toxicity
+from . import bestfit, chat, decontam, embed_dedup, minhash, pii, sharding, tokencount, tokenpack, toxicity
 from .common import table
 
 SHARDS = [f"shard-{i:02d}" for i in range(48)]
@@ -42,6 +42,12 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
+def op5_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find_personal_data(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone",
+                        F.sha2("base", 256).alias("base_sha256"), "spans", "n_term")
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id")
     return sharding.assign_shards(docs, "doc_id", SHARDS)
