@@ -5,7 +5,7 @@ inflected word that the labels never show still has its stem's weight.  The feat
 toxic labels from others best are chosen by an aggregate over the training rows.  For every
 training text with identity terms there are counterfactuals: the same text with each term swapped
 for others and for a neutral noun.  Logistic regression is fitted with a penalty on the squared
-difference between a text's score and its counterfactuals' scores, so that a group's mention by
+difference between a text's score and its counterfactuals' scores (as logits), so that a group's mention by
 itself neither raises nor lowers a score, however the labels are distributed over the groups.
 """
 
@@ -179,9 +179,9 @@ class _Rows:
         return np.bincount(self.col, weights=g[self.row], minlength=self.n)
 
 
-def fit(y, x, other, n: int, swap: float = 2.0, ridge: float = 2e-5, steps: int = 400):
-    """(bias, weights): full-batch Adam on the log loss, ``swap`` times the mean squared score
-    change under the counterfactuals and ``ridge`` times the squared weights."""
+def fit(y, x, other, n: int, swap: float = 1.0, ridge: float = 2e-5, steps: int = 400):
+    """(bias, weights): full-batch Adam on the log loss, ``swap`` times the mean squared change
+    of the score (before the logistic function) under the counterfactuals and ``ridge`` times the squared weights."""
     y, rows = np.asarray(y, dtype=float), _Rows(x, n)
     owner = np.array([i for i, o in enumerate(other) for _ in o], dtype=np.int64)
     swapped = _Rows([o for each in other for o in each], n)
@@ -189,15 +189,14 @@ def fit(y, x, other, n: int, swap: float = 2.0, ridge: float = 2e-5, steps: int
     m, v = np.zeros(n + 1), np.zeros(n + 1)
     sig = lambda z: 1 / (1 + np.exp(-np.clip(z, -35, 35)))
     for t in range(1, steps + 1):
-        p = sig(rows.dot(w) + b)
+        z = rows.dot(w) + b
+        p = sig(z)
         dz = (p - y) / len(y)
         gw, gb = ridge * w, 0.0
         if len(owner):
-            q = sig(swapped.dot(w) + b)
-            d = 2 * swap * (p[owner] - q) / len(owner)
-            dz = dz + np.bincount(owner, weights=d * (p * (1 - p))[owner], minlength=len(y))
-            dq = -d * q * (1 - q)
-            gw, gb = gw + swapped.back(dq), dq.sum()
+            d = 2 * swap * (z[owner] - swapped.dot(w) - b) / len(owner)
+            dz = dz + np.bincount(owner, weights=d, minlength=len(y))
+            gw, gb = gw - swapped.back(d), -d.sum()
         g = np.append(gw + rows.back(dz), gb + dz.sum())
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         step = 0.1 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
