@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from .common import store
 
 KINDS = ("email", "ip", "card", "phone", "term")
-NEAR, SUPPORT, GENERALISE_BITS, REMOVE_BITS = 8, 4, 1.0, 0.05
+NEAR, SUPPORT, GENERALISE_BITS, REMOVE_BITS = 8, 3, 1.0, 0.05
 BROADCAST_TERMS = 200_000
 FLUSH, MEMO_WORDS = 300_000, 400_000
 
