@@ -60,7 +60,7 @@ def local_roots(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
 
 
 def compare_groups(rows: DataFrame, bucket: str, found: Callable[[pa.Table, np.ndarray], list],
-                   names: list[str], types: list[pa.DataType], schema: str) -> DataFrame:
+                   names: list[str], types: list[pa.DataType], schema) -> DataFrame:
     """``found`` gets each group of ``in_blocks`` rows and which rows are of its first block
     (all, where it has one block), and gives a list of columns."""
     def run(batches):
@@ -70,7 +70,8 @@ def compare_groups(rows: DataFrame, bucket: str, found: Callable[[pa.Table, np.n
                 first = None if one else (t.column("_own").to_numpy() == t.column("_a")[0].as_py())
                 cols = found(t, first)
                 if len(cols[0]):
-                    yield pa.RecordBatch.from_arrays([pa.array(c, x) for c, x in zip(cols, types)], names)
+                    yield pa.RecordBatch.from_arrays(
+                        [c if isinstance(c, pa.Array) else pa.array(c, x) for c, x in zip(cols, types)], names)
     return rows.mapInArrow(run, schema)
 
 

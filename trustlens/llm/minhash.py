@@ -32,6 +32,11 @@ from .shingles import Signer, jaccard_at_least, shingle_set
 PLACES, BITS, DISTANCE, PERCENT, BLOCK = 96, 16, 37, 80, 1024
 
 
+# What is known of a node in a key whose nodes are in different components.
+_OPEN = {"key": pa.int64(), "node": pa.int64(), "component": pa.int64(), "n": pa.int64(), "m": pa.int64(),
+         "sig": pa.binary()}
+
+
 def _chunks(k: int, distance: int) -> list[np.ndarray]:
     return np.array_split(np.arange(k), distance // 2 + 1)
 
@@ -142,8 +147,8 @@ def _with_partner(k, distance, percent):
 
     def found(t, first):
         i, j = _across(t, first, k, distance, percent, chunks)
-        at = np.unique(np.concatenate([i, j])).astype(np.int64)
-        return [t.column("key").to_numpy()[at], t.column("node").to_numpy()[at]]
+        at = pa.array(np.unique(np.concatenate([i, j])).astype(np.int64))
+        return [t.column(c).take(at).combine_chunks() for c in _OPEN]
     return found
 
 
@@ -211,17 +216,17 @@ def near_duplicate_components(docs: DataFrame, percent: int = PERCENT, places: i
     split = (placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"),
                                        F.count("*").alias("m"))
              .filter(F.col("lo") != F.col("hi")).select("key", "m"))
-    open_ = store(placed.select("key", "node", "component").join(split, "key").join(sig, "node"))
-    columns = {"key": pa.int64(), "node": pa.int64()}
+    open_ = placed.select("key", "node", "component").join(split, "key").join(sig, "node").select(*_OPEN)
     partner = store(compare_groups(
         in_blocks(open_, "key", "node", "m", block), "key", _with_partner(places, distance, percent),
-        list(columns), list(columns.values()), "key long, node long").distinct())
-    sets = sets_of(partner.select("node").distinct())
-    sizes = partner.groupBy("key").agg(F.count("*").alias("m"))
-    again = (open_.drop("m").join(partner, ["key", "node"]).join(sizes, "key").join(sets, "node"))
-    more = compare_groups(in_blocks(again, "key", "node", "m", block), "key", _links(places, distance, percent),
-                          ["a", "b"], [pa.int64()] * 2, "a long, b long")
-    parts = connected_components(links.unionByName(more))
+        list(_OPEN), list(_OPEN.values()), open_.schema).dropDuplicates(["key", "node"]))
+    again = partner.join(sets_of(partner.select("node").distinct()), "node")
+    more = store(compare_groups(
+        in_blocks(again, "key", "node", "m", block), "key", _links(places, distance, percent),
+        ["a", "b"], [pa.int64()] * 2, "a long, b long"))
+    if more.limit(1).count():
+        parts = connected_components(more.unionByName(
+            parts.select(F.col("id").alias("a"), F.col("component").alias("b"))))
 
     of = classes.join(parts.withColumnRenamed("id", "node"), "node", "left").select(
         "cls", "least_id", F.coalesce("component", "node").alias("component"))
@@ -241,7 +246,8 @@ def keep_one_of_each(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     wordless = F.coalesce("text", F.lit("")).rlike(r"^[ \t\n\x0B\f\r]*$")
     worded = d.filter(~wordless)
     # the id of the pair (id, text) tells rows of one id with different texts apart
-    at = worded.select(F.struct("doc_id", F.col("_h").alias("h")).alias("doc_id"), "text")
+    at = worded.select(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", F.col("_h").alias("h"))
+                       .alias("doc_id"), "text")
     kept = (near_duplicate_components(at, percent).filter("kept").select("doc_id.doc_id", "doc_id.h").distinct()
             .alias("k"))
     w = worded.alias("w")
