@@ -74,3 +74,51 @@ def test_normalize_and_denormalize(spark):
     assert n.aliases == {"size": "L"}
     d = NZ.denormalize(spark.createDataFrame([({"type": "VM"},)], "m map<string,string>"), "m", {"type": "Type"})
     assert d.first().denormalized == '{"Type":"VM"}'
+
+
+def test_rules_with_literals_that_are_rule_names(spark):
+    df = spark.createDataFrame([("b",), ("a",)], "x string")
+    out = RuleSet().rule("a", F.col("x") == "b").rule("b", F.col("x") == "a").apply(df).collect()
+    assert [(r.a, r.b) for r in out] == [(True, None), (None, True)]
+
+
+def test_rules_out_of_order_cycles_and_declared_needs(spark):
+    import pytest
+    df = spark.createDataFrame([(3,)], "x int")
+    out = RuleSet().rule("top", F.col("low")).rule("low", F.col("x") > 1).apply(df).first()
+    assert out.top is True and out.low is True
+    with pytest.raises(ValueError):
+        RuleSet().rule("p", F.col("q")).rule("q", F.col("p")).apply(df)
+    shadow = RuleSet().rule("y", F.col("x") > 5).chain("x", ([F.lit(True)], 9)).needs("y", "x")
+    assert shadow.apply(df).first().y is True
+
+
+def test_patches_add_type_and_nest(spark):
+    import pytest
+    from trustlens.operators import compliance as C
+    df = spark.createDataFrame([(1, None, 2.0, ("a",)), (2, {"Env": "x"}, 3.0, ("b",))],
+                               "id int, tags map<string,string>, price double, sku struct<name:string>")
+    pol = C.Policy("p", F.lit(True), "modify", details=[
+        ("addOrReplace", "tags['env']", "dev"), ("add", "owner", "o"), ("addOrReplace", "price", "9"),
+        ("addOrReplace", "sku.name", "n"), ("add", "sku.tier", "t"), ("append", "zones", "1"), ("append", "zones", "2")])
+    rows = C.apply_patches(df, pol).orderBy("id").collect()
+    assert [r.tags for r in rows] == [{"env": "dev"}, {"env": "dev"}]
+    assert all((r.owner, r.price, r.sku.name, r.sku.tier, r.zones) == ("o", 9.0, "n", "t", ["1", "2"]) for r in rows)
+    with pytest.raises(ValueError):
+        C.apply_patches(df, C.Policy("q", F.lit(True), "modify", details=[("addOrReplace", "price", "cheap")]))
+
+
+def test_quantiles_with_ties_small_groups_and_nulls(spark):
+    import numpy as np
+    from trustlens.functions.stats import exact_quantile, floor_index_pick
+    rng = np.random.default_rng(3)
+    groups = {"one": [5.0], "ties": [1.0] * 4000 + [2.0] * 50, "many": rng.exponential(10, 20_000).tolist(),
+              "two": [1.0, 9.0], None: [3.0, 4.0, 8.0]}
+    df = spark.createDataFrame([(k, float(v)) for k, vs in groups.items() for v in vs] + [("one", None)], "k string, v double")
+    for q in (0.0, 0.5, 0.95, 0.99, 1.0):
+        got = {r.k: r.o for r in exact_quantile(df, ["k"], "v", q, "o").collect()}
+        assert all(abs(got[k] - float(np.quantile(v, q))) < 1e-9 for k, v in groups.items())
+        pick = {r.k: r.o for r in floor_index_pick(df, ["k"], "v", q, "o").collect()}
+        assert all(pick[k] == sorted(v)[min(int(len(v) * q), len(v) - 1)] for k, v in groups.items())
+    whole = [v for vs in groups.values() for v in vs]
+    assert abs(exact_quantile(df, [], "v", 0.99, "o").first().o - float(np.quantile(whole, 0.99))) < 1e-9

@@ -44,7 +44,7 @@ def test_entry_runs(spark):
     assert "z_score" in df.columns
 
 
-@pytest.mark.parametrize("name", sorted(E.oracle_sql()))
+@pytest.mark.parametrize("name", sorted(n for n in E.oracle_sql() if not n.startswith("op")))
 def test_query_matches_oracle(spark, duck, name):
     df = E.queries()[name](spark, SF)
     cols = df.columns
@@ -55,6 +55,8 @@ def test_query_matches_oracle(spark, duck, name):
     assert got == _rows(dcols, cur.fetchall())
 
 
-@pytest.mark.parametrize("name", sorted(set(E.queries()) - set(E.oracle_sql())))
-def test_rows_only_queries_run(spark, name):
-    assert E.queries()[name](spark, SF).count() >= 0
+def test_queries_without_sql_have_tests_of_their_own():
+    """half_space_scores and normalize_resources: test_nested_and_models; the training-data
+    queries without SQL: tests/llm."""
+    mine = {n for n in set(E.queries()) - set(E.oracle_sql()) if not n.startswith("op") and n != "pipeline"}
+    assert mine == {"half_space_scores", "normalize_resources"}

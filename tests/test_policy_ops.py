@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from trustlens.functions import conditions as B
 from trustlens.functions import policy as P
-from trustlens.functions.net import ip_to_long
+from trustlens.functions.net import ip_to_key, ip_to_long
 
 
 def _one(spark, expr, schema="s string", row=("x",)):
@@ -71,3 +71,40 @@ def test_quantifiers(spark):
     assert _one(spark, B.for_any_of_all_values(["x", "y"], ["x"])) is True
     assert _one(spark, B.for_all_of_all_values(["x", "y"], ["x"])) is False
     assert _one(spark, B.all_elements(F.array().cast("array<int>"), lambda x: x > 1)) is True
+
+
+def test_two_strings_compare_as_text(spark):
+    assert _one(spark, P.equals(F.lit("10"), "10.0")) is False
+    assert _one(spark, P.less(F.lit("10"), "9")) is True
+    assert _one(spark, P.equals(F.lit(10), "10.0")) is True
+    assert _one(spark, P.less(F.lit(10), "9")) is False
+    assert _one(spark, P.greater(F.lit(10), "x")) is False
+    assert _one(spark, P.contains(F.array(F.lit("10")), "10.0", "array")) is False
+
+
+def test_tag_names_are_case_insensitive(spark):
+    df = spark.createDataFrame([({"Env": "prod"},)], "tags map<string,string>")
+    assert df.select(P.field("tags['env']").alias("x")).first()["x"] == "prod"
+
+
+def test_conditions_fail_closed(spark):
+    null = F.lit(None).cast("string")
+    for c in (B.string_not_equals(null, "a"), B.string_not_equals(null, "a", ignore_case=True),
+              B.string_not_like(null, "a*"), B.string_not_starts_with(null, "a"), B.string_not_matches(null, "a"),
+              B.string_starts_with(F.lit(5), "5"), B.guid_not_equals(null, "a"), B.ip_not_match(F.lit("garbage"), "10.0.0.0/8"),
+              B.numeric_equals(F.lit("12.0"), 12), B.bool_equals(F.lit("true"), True)):
+        assert _one(spark, c) is None
+    assert _one(spark, B.string_equals(null, "a")) is False
+    assert _one(spark, B.ip_in_range(F.lit("10.0.0.5"), "10.0.0.9", "10.0.0.1")) is False
+    assert _one(spark, B.datetime_not_equals("2024-01-01T00:00:00Z", "2024-01-01T01:00:00+01:00")) is False
+
+
+def test_ipv6(spark):
+    cases = [("::1", True), ("2001:db8::1", True), ("2001:DB8:0:0:0:0:0:1", True), ("::ffff:10.0.0.1", True), ("::", True),
+             ("1:2:3:4:5:6:7:8:9", False), ("1::2::3", False), ("12345::", False), ("10.0.0.256", False), (":::", False)]
+    import ipaddress
+    for text, ok in cases:
+        want = f"{int(ipaddress.ip_address(text)):032x}" if ok else None
+        assert _one(spark, ip_to_key(F.lit(text))) == want, text
+    assert _one(spark, B.ip_match(F.lit("2001:db8::5"), "2001:db8::/32")) is True
+    assert _one(spark, B.ip_match(F.lit("10.0.0.1"), "2001:db8::/32")) is False

@@ -42,10 +42,19 @@ def test_reachable_with_cycle(spark):
 
 
 def test_reachable_paths(spark):
-    e = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("a", "d")], "src string, dst string")
-    seeds = spark.createDataFrame([("a",)], "node string")
-    got = sorted((tuple(r.path), r.truncated) for r in graphs.reachable_paths(e, seeds, 5).collect())
-    assert got == [(("a", "b", "c"), False), (("a", "d"), False)]
+    # d -> zz leaves the graph, c -> a repeats, "absent" is no node of the graph
+    e = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("c", "d"), ("d", "zz")], "src string, dst string")
+    nodes = spark.createDataFrame([(x,) for x in "abcd"], "node string")
+    seeds = spark.createDataFrame([("a",), ("absent",)], "node string")
+    got = sorted("".join(r.path) for r in graphs.reachable_paths(e, nodes, seeds).collect())
+    assert got == ["abc", "abcd"]
+
+
+def test_reachable_has_no_round_limit(spark):
+    n = 30
+    e = spark.createDataFrame([(i, i + 1) for i in range(n)], "src int, dst int")
+    nodes = spark.createDataFrame([(i,) for i in range(n + 1)], "node int")
+    assert graphs.reachable(e, nodes, spark.createDataFrame([(0,)], "node int")).count() == n + 1
 
 
 def test_exact_quantiles_match_numpy(spark):

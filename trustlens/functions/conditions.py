@@ -1,8 +1,9 @@
 """Attribute-based role-condition operators as Column helpers.
 
 Each returns a boolean Column; NULL means a type error (the bulk evaluator turns it
-into ``error`` and does not grant).  A missing attribute reads as NULL and the
-operators on it are false, except the negated forms, as documented per helper.
+into ``error`` and does not grant).  A missing attribute reads as NULL.  Conditions fail
+closed: only the case-sensitive ``string_equals``, the list and the quantifier helpers read
+a missing side as false; every other helper, and every negation, gives NULL for it.
 """
 
 from __future__ import annotations
@@ -23,6 +24,12 @@ def _c(x) -> Column:
     return F.lit(x)
 
 
+def _text(x) -> Column:
+    """A text operand; a value of another type is a type error (NULL)."""
+    c = _c(x)
+    return F.when(F.typeof(c) == "string", c.cast("string"))
+
+
 def _f(c: Column) -> Column:
     return F.coalesce(c, F.lit(False))
 
@@ -30,16 +37,22 @@ def _f(c: Column) -> Column:
 # B1/B2 ------------------------------------------------------------------------------
 def string_equals(left, right, ignore_case: bool = False) -> Column:
     """B1/B2: if exactly one side is a (Python) list -> containment."""
+    same = _string_equals(left, right, ignore_case)
+    return same if ignore_case else _f(same)
+
+
+def _string_equals(left, right, ignore_case: bool) -> Column:
     norm = (lambda c: F.lower(c)) if ignore_case else (lambda c: c)
     if isinstance(right, (list, tuple)) and not isinstance(left, (list, tuple)):
-        return _f(F.exists(_c(right), lambda e: norm(e) == norm(_c(left))))
+        return F.exists(_c(right), lambda e: norm(e) == norm(_c(left)))
     if isinstance(left, (list, tuple)) and not isinstance(right, (list, tuple)):
-        return _f(F.exists(_c(left), lambda e: norm(e) == norm(_c(right))))
-    return _f(norm(_c(left)) == norm(_c(right)))
+        return F.exists(_c(left), lambda e: norm(e) == norm(_c(right)))
+    return norm(_c(left)) == norm(_c(right))
 
 
 def string_not_equals(left, right, ignore_case: bool = False) -> Column:
-    return ~string_equals(left, right, ignore_case)
+    """NULL when a side is missing."""
+    return ~_string_equals(left, right, ignore_case)
 
 
 def like_regex(pattern: str) -> str:
@@ -48,7 +61,7 @@ def like_regex(pattern: str) -> str:
 
 
 def string_like(left, pattern: str) -> Column:
-    return _f(_c(left).rlike(like_regex(pattern)))
+    return _c(left).rlike(like_regex(pattern))
 
 
 def string_not_like(left, pattern: str) -> Column:
@@ -57,30 +70,46 @@ def string_not_like(left, pattern: str) -> Column:
 
 def string_starts_with(left, right) -> Column:
     """B4."""
-    return _f(F.startswith(_c(left), _c(right)))
+    return F.startswith(_text(left), _text(right))
+
+
+def string_not_starts_with(left, right) -> Column:
+    return ~string_starts_with(left, right)
 
 
 def string_ends_with(left, right) -> Column:
-    return _f(F.endswith(_c(left), _c(right)))
+    return F.endswith(_text(left), _text(right))
+
+
+def string_not_ends_with(left, right) -> Column:
+    return ~string_ends_with(left, right)
 
 
 def string_contains(left, right) -> Column:
-    return _f(F.contains(_c(left), _c(right)))
+    return F.contains(_text(left), _text(right))
+
+
+def string_not_contains(left, right) -> Column:
+    return ~string_contains(left, right)
 
 
 def string_matches(left, regex: str) -> Column:
     """Unanchored regex."""
-    return _f(_c(left).rlike(regex))
+    return _text(left).rlike(regex)
+
+
+def string_not_matches(left, regex: str) -> Column:
+    return ~string_matches(left, regex)
 
 
 # B6/B7 numbers: 64-bit integers; integer strings accepted; fractions are an error -----
 def to_int64(x) -> Column:
     c = _c(x).cast("string")
-    as_long = c.try_cast("long")
-    as_dbl = c.try_cast("double")
-    # NULL (type error) when the value is fractional or not a number
+    as_long = F.when(c.rlike(r"^[+-]?[0-9]+$"), c.try_cast("long"))
+    as_dbl = F.when(F.typeof(_c(x)) != "string", c.try_cast("double"))
+    # NULL (type error) when the value is fractional, not a number, or text like "12.0"
     return F.when(as_long.isNotNull(), as_long).when(as_dbl.isNotNull() & (as_dbl == F.floor(as_dbl)),
-                                                       as_dbl.cast("long"))
+                                                       as_dbl.try_cast("long"))
 
 
 def _num(op, left, right) -> Column:
@@ -118,8 +147,14 @@ def numeric_in_range(x, lo, hi) -> Column:
 
 
 # B8 ------------------------------------------------------------------------------------
+def _bool(x) -> Column:
+    """A boolean operand; anything else, text like "true" included, is a type error."""
+    c = _c(x)
+    return F.when(F.typeof(c) == "boolean", c.cast("string").try_cast("boolean"))
+
+
 def bool_equals(left, right) -> Column:
-    return _c(left).cast("string").try_cast("boolean") == _c(right).cast("string").try_cast("boolean")
+    return _bool(left) == _bool(right)
 
 
 def bool_not_equals(left, right) -> Column:
@@ -141,14 +176,26 @@ def datetime_equals(left, right):
     return datetime_cmp(lambda a, b: a == b, left, right)
 
 
+def datetime_not_equals(left, right):
+    return datetime_cmp(lambda a, b: a != b, left, right)
+
+
 def datetime_greater_than(left, right):
     return datetime_cmp(lambda a, b: a > b, left, right)
 
 
+def datetime_greater_than_or_equals(left, right):
+    return datetime_cmp(lambda a, b: a >= b, left, right)
+
+
 def datetime_less_than(left, right):
     return datetime_cmp(lambda a, b: a < b, left, right)
 
 
+def datetime_less_than_or_equals(left, right):
+    return datetime_cmp(lambda a, b: a <= b, left, right)
+
+
 # B10/B11 time of day --------------------------------------------------------------------
 def time_of_day_seconds(x) -> Column:
     """'HH:MM' or 'HH:MM:SS' -> seconds since midnight; malformed -> NULL (error)."""
@@ -172,7 +219,7 @@ def time_of_day_in_range(x, a, b) -> Column:
 
 # B12 ------------------------------------------------------------------------------------
 def guid_equals(left, right) -> Column:
-    return _f(F.lower(_c(left)) == F.lower(_c(right)))
+    return F.lower(_text(left)) == F.lower(_text(right))
 
 
 def guid_not_equals(left, right) -> Column:

@@ -21,6 +21,38 @@ def ip_to_long(col) -> Column:
     return F.when(F.coalesce(ok, F.lit(False)), val)
 
 
+def ip_key(ip: str) -> str:
+    """Driver-side: an address as hex of fixed width (8 digits, IPv6 32), in address order."""
+    a = ipaddress.ip_address(ip.strip())
+    return f"{int(a):0{a.max_prefixlen // 4}x}"
+
+
+_GROUPS = r"(?i)^([0-9a-f]{1,4}(:[0-9a-f]{1,4})*)?$"
+
+
+def ip_to_key(col) -> Column:
+    """Address text -> the key of ``ip_key``; anything else -> NULL.  An IPv6 address may have
+    one ``::`` and end in a dotted quad."""
+    c = F.col(col) if isinstance(col, str) else col
+    v4 = ip_to_long(c)
+    quad = F.regexp_extract(c, r":([0-9.]+\.[0-9.]+)$", 1)
+    q = ip_to_long(quad)
+    text = F.when(quad == "", c).otherwise(F.concat(
+        F.left(c, F.length(c) - F.length(quad)), F.hex(F.shiftright(q, 16)), F.lit(":"),
+        F.hex(q.bitwiseAND(F.lit(65535)))))
+    halves = F.split(text, "::")
+    left, right = F.element_at(halves, 1), F.coalesce(F.try_element_at(halves, F.lit(2)), F.lit(""))
+    groups = lambda h: F.filter(F.split(h, ":"), lambda g: g != "")
+    n = F.size(groups(left)) + F.size(groups(right))
+    short = F.size(halves) == 2
+    ok = (c.contains(":") & left.rlike(_GROUPS) & right.rlike(_GROUPS)
+          & ((short & (n <= 7)) | ((F.size(halves) == 1) & (n == 8))))
+    zeros = F.array_repeat(F.lit("0"), F.when(ok, F.lit(8) - n).otherwise(F.lit(0)))
+    v6 = F.array_join(F.transform(F.concat(groups(left), zeros, groups(right)),
+                                  lambda g: F.lpad(F.lower(g), 4, "0")), "")
+    return F.when(v4.isNotNull(), F.lpad(F.lower(F.hex(v4)), 8, "0")).when(F.coalesce(ok, F.lit(False)), v6)
+
+
 def cidr_bounds(cidr: str) -> tuple[int, int]:
     """Driver-side: 'a.b.c.d/n' (or a bare address) -> (lo, hi) as ints."""
     net = ipaddress.ip_network(cidr.strip(), strict=False)
@@ -38,23 +70,20 @@ def cidr_is_valid(cidr: str) -> bool:
 
 
 def ip_in_cidr(ip_col, cidr: str) -> Column:
-    lo, hi = cidr_bounds(cidr)
-    v = ip_to_long(ip_col)
-    return F.coalesce(v.between(F.lit(lo), F.lit(hi)), F.lit(False))
+    net = ipaddress.ip_network(cidr.strip(), strict=False)
+    return ip_in_range(ip_col, str(net.network_address), str(net.broadcast_address))
 
 
 def ip_in_range(ip_col, lo_ip: str, hi_ip: str) -> Column:
-    lo, hi = int(ipaddress.ip_address(lo_ip)), int(ipaddress.ip_address(hi_ip))
-    v = ip_to_long(ip_col)
-    return F.coalesce(v.between(F.lit(min(lo, hi)), F.lit(max(lo, hi))), F.lit(False))
+    lo, hi = ip_key(lo_ip), ip_key(hi_ip)
+    v = ip_to_key(ip_col)
+    # a reversed range holds nothing; an address of the other family is in no range
+    return F.when(v.isNotNull(), v.between(F.lit(lo), F.lit(hi)) & (F.length(v) == len(lo)))
 
 
-def cidr_expand(spark, cidr: str, max_addresses: int = 1 << 16):
-    """Row generator: one row per address of a CIDR (spark.range, distributed); the
-    size is checked first."""
+def cidr_expand(spark, cidr: str):
+    """Row generator: one row per address of a CIDR (spark.range, distributed, any size)."""
     lo, hi = cidr_bounds(cidr)
-    if hi - lo + 1 > max_addresses:
-        raise ValueError(f"{cidr} has {hi - lo + 1} addresses (> {max_addresses})")
     r = spark.range(lo, hi + 1)
     return r.select(F.concat_ws(".", *[((F.col("id") / (1 << s)).cast("long") % 256).cast("string")
                                       for s in (24, 16, 8, 0)]).alias("ip"))

@@ -27,9 +27,15 @@ def _num(c: Column) -> Column:
     return c.cast("string").try_cast("double")
 
 
+def _is_text(c: Column) -> Column:
+    """Folded to a constant by the optimizer: the column's type is known to it."""
+    return F.typeof(c) == "string"
+
+
 def _eq(lhs: Column, rhs) -> Column:
-    """C1 core on a present lhs: case-insensitive strings, numbers, bools, string/number
-    and string/bool coercion; NULL lhs equals '' and NULL."""
+    """C1 core on a present lhs, by the types of both sides: two strings are compared as
+    case-folded text, a string and a number (or boolean) as numbers (booleans), two numbers as
+    numbers; NULL lhs equals '' and NULL."""
     if rhs is None:
         return lhs.isNull()
     if isinstance(rhs, bool):
@@ -37,11 +43,11 @@ def _eq(lhs: Column, rhs) -> Column:
     if isinstance(rhs, (int, float)):
         return _b(_num(lhs) == F.lit(float(rhs)))
     if isinstance(rhs, str):
-        as_text = F.coalesce(_s(lhs), F.lit("")) == F.lit(rhs.lower())
-        n = _num(F.lit(rhs))
-        return _b(as_text | (_num(lhs) == n))
+        return _eq(lhs, F.lit(rhs))
     r = rhs if isinstance(rhs, Column) else F.lit(rhs)
-    return _b((F.coalesce(_s(lhs), F.lit("")) == F.coalesce(_s(r), F.lit(""))) | (_num(lhs) == _num(r)))
+    as_text = F.coalesce(_s(lhs), F.lit("")) == F.coalesce(_s(r), F.lit(""))
+    as_number = ~(_is_text(lhs) & _is_text(r)) & (_num(lhs) == _num(r))
+    return _b(as_text | _b(as_number))
 
 
 def equals(lhs: Column, rhs, present: Column | None = None) -> Column:
@@ -63,13 +69,10 @@ def _cmp(lhs: Column, rhs, op) -> Column:
     if isinstance(rhs, (int, float)):
         return _b(op(_num(lhs), F.lit(float(rhs))))
     if isinstance(rhs, str):
-        n = _num(F.lit(rhs))
-        # numeric when both sides read as numbers, else case-folded text order
-        return _b(F.when(_num(lhs).isNotNull() & n.isNotNull(), op(_num(lhs), n))
-                   .otherwise(op(_s(lhs), F.lit(rhs.lower()))))
+        return _cmp(lhs, F.lit(rhs), op)
     r = rhs if isinstance(rhs, Column) else F.lit(rhs)
-    return _b(F.when(_num(lhs).isNotNull() & _num(r).isNotNull(), op(_num(lhs), _num(r)))
-               .otherwise(op(_s(lhs), _s(r))))
+    # two strings: case-folded text order; else numbers, and undefined if a side is none
+    return _b(F.when(_is_text(lhs) & _is_text(r), op(_s(lhs), _s(r))).otherwise(op(_num(lhs), _num(r))))
 
 
 def greater(lhs, rhs):
@@ -228,10 +231,11 @@ def count_values(values, pred) -> Column:
 
 def nested_count(arr: Column, inner: str, pred=None) -> Column:
     """C17: ``A[*].B[*]`` count with access to the outer element; pred(outer, inner).
-    A missing inner array counts 0 elements."""
+    With ``pred`` a missing inner array counts 0 elements; without, the count is undefined
+    (NULL) when one is missing."""
     if pred is None:
-        return F.coalesce(F.aggregate(arr, F.lit(0), lambda acc, o: acc + F.coalesce(F.size(o[inner]), F.lit(0))),
-                          F.lit(0))
+        return F.when(arr.isNull(), F.lit(0)).otherwise(F.aggregate(
+            arr, F.lit(0), lambda acc, o: acc + F.when(o[inner].isNotNull(), F.size(o[inner]))))
     return F.coalesce(F.aggregate(arr, F.lit(0), lambda acc, o: acc + F.coalesce(
         F.size(F.filter(o[inner], lambda i: _b(pred(o, i)))), F.lit(0))), F.lit(0))
 
@@ -248,7 +252,8 @@ def field(path: str) -> Column:
     p = path.strip()
     m = re.fullmatch(r"tags\[['\"](.+)['\"]\]", p, re.I) or re.fullmatch(r"tags\.(.+)", p, re.I)
     if m:
-        return F.try_element_at(F.col("tags"), F.lit(m.group(1)))
+        mine = F.map_filter(F.col("tags"), lambda k, v: F.lower(k) == F.lit(m.group(1).lower()))
+        return F.try_element_at(F.map_values(mine), F.lit(1))
     if "[*]." in p:
         head, tail = p.split("[*].", 1)
         return collect_field(F.col(head), tail)

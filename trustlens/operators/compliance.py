@@ -11,6 +11,7 @@ from dataclasses import dataclass, field as dc_field
 
 from pyspark.sql import DataFrame, Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 EFFECTS = ("deny", "audit", "denyaction", "manual", "disabled", "modify", "append",
            "auditifnotexists", "deployifnotexists")
@@ -96,9 +97,39 @@ def patch_rows(noncompliant: DataFrame, policy: Policy, id_col: str = "id") -> D
     return noncompliant.select(F.col(id_col), F.lit(policy.name).alias("policy"), F.array(*ops).alias("operations"))
 
 
+def _typed(val, kind: T.DataType) -> Column:
+    """The patch value in a field's type; a value that the type cannot hold is refused here, on
+    the driver, instead of failing rows or turning into NULL."""
+    if val is None:
+        return F.lit(None).cast(kind)
+    if isinstance(kind, T.NumericType):
+        try:
+            float(val)
+        except (TypeError, ValueError):
+            raise ValueError(f"{val!r} does not fit a field of type {kind.simpleString()}") from None
+    elif isinstance(kind, T.BooleanType) and str(val).lower() not in ("true", "false"):
+        raise ValueError(f"{val!r} does not fit a boolean field")
+    return F.lit(str(val)).cast(kind)
+
+
+def _patched(c: Column | None, kind: T.DataType | None, op: str, val) -> Column:
+    """A field after one operation; ``c`` is None for a field that is not there yet."""
+    if isinstance(kind, T.ArrayType):
+        if op == "append":
+            return F.concat(F.coalesce(c, F.array().cast(kind)), F.array(_typed(val, kind.elementType)))
+        return F.lit(None).cast(kind) if op == "remove" else F.array(_typed(val, kind.elementType))
+    kind = kind or (T.ArrayType(T.StringType()) if op == "append" else T.StringType())
+    if c is None:
+        return F.array(F.lit(str(val))) if op == "append" else _typed(None if op == "remove" else val, kind)
+    if op == "remove":
+        return F.lit(None).cast(kind)
+    return F.coalesce(c, _typed(val, kind)) if op == "add" else _typed(val, kind)
+
+
 def apply_patches(resources: DataFrame, policy: Policy, where: Column | None = None) -> DataFrame:
-    """C22/C23 applied to the table: tag operations via map functions (``tags['k']``),
-    top-level string fields via ``withColumn``; rows outside ``where`` stay as they are."""
+    """C22/C23 applied to the table: tag operations via map functions (``tags['k']``; a missing
+    tag map becomes one, tag names are case-insensitive), other fields by path (``a.b`` inside a
+    struct), created where they are not there; rows outside ``where`` stay as they are."""
     # the condition is evaluated once, on the rows as they were before any operation
     out = resources.withColumn("_patch", F.coalesce(where, F.lit(False)) if where is not None else F.lit(True))
     cond = F.col("_patch")
@@ -107,26 +138,35 @@ def apply_patches(resources: DataFrame, policy: Policy, where: Column | None = N
         tag = fld[6:-2] if fld.lower().startswith("tags['") else None
         if tag is not None:
             t = F.col("tags")
+            have = F.coalesce(t, F.create_map().cast("map<string,string>"))
+            others = F.map_filter(have, lambda k, v: F.lower(k) != F.lit(tag.lower()))
+            put = F.map_concat(others, F.create_map(F.lit(tag), F.lit(str(val))))
             if op_l == "remove":
-                new = F.map_filter(t, lambda k, v: k != F.lit(tag))
+                new = F.when(t.isNotNull(), others)
             elif op_l == "add":
-                new = F.when(F.map_contains_key(t, F.lit(tag)), t).otherwise(
-                    F.map_concat(t, F.create_map(F.lit(tag), F.lit(str(val)))))
+                new = F.when(F.size(others) < F.size(have), t).otherwise(put)
             else:  # addOrReplace / append on a tag
-                new = F.map_concat(F.map_filter(t, lambda k, v: k != F.lit(tag)),
-                                   F.create_map(F.lit(tag), F.lit(str(val))))
+                new = put
             out = out.withColumn("tags", F.when(cond, new).otherwise(t))
-        else:
-            c = F.col(fld)
-            if op_l == "remove":
-                new = F.lit(None).cast("string")
-            elif op_l == "add":
-                new = F.coalesce(c, F.lit(str(val)))
-            elif op_l == "append":
-                new = F.array_union(F.coalesce(c, F.array().cast("array<string>")), F.array(F.lit(str(val))))
-            else:
-                new = F.lit(str(val))
-            out = out.withColumn(fld, F.when(cond, new).otherwise(c))
+            continue
+        head, *rest = fld.split(".")
+        kinds = {f.name.lower(): f.dataType for f in out.schema.fields}
+        kind = kinds.get(head.lower())
+        if not rest:
+            c = F.col(head) if kind is not None else None
+            new = _patched(c, kind, op_l, val)
+            out = out.withColumn(head, F.when(cond, new).otherwise(c) if c is not None else F.when(cond, new))
+            continue
+        inner, c = kind, F.col(head)
+        for name in rest:  # the type at the end of the path, None where it is not there
+            inner = ({f.name.lower(): f.dataType for f in inner.fields}.get(name.lower())
+                     if isinstance(inner, T.StructType) else None)
+        if not isinstance(kind, T.StructType):
+            raise ValueError(f"{head} of {fld} is not a struct column")
+        old = F.col(fld) if inner is not None else None
+        new = _patched(old, inner, op_l, val)
+        mine = F.when(cond, new).otherwise(old) if old is not None else F.when(cond, new)
+        out = out.withColumn(head, F.coalesce(c, F.lit(None).cast(kind)).withField(".".join(rest), mine))
     return out.drop("_patch")
 
 

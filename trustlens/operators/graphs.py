@@ -24,57 +24,47 @@ def _cut(df: DataFrame) -> DataFrame:
     return out
 
 
-def reachable(edges: DataFrame, nodes: DataFrame, seeds: DataFrame, max_rounds: int = 10_000) -> DataFrame:
+def reachable(edges: DataFrame, nodes: DataFrame, seeds: DataFrame) -> DataFrame:
     """G1: nodes reachable from the seeds (seeds included).  Only nodes of the graph
     (``nodes.node``) are reported; cycles are safe.  edges(src, dst).  Each round's new
     frontier and the visited set are checkpointed, so every round plans a fixed-size
-    join (frontier x edges, anti-join visited) and survives executor loss."""
+    join (frontier x edges, anti-join visited) and survives executor loss.  The loop ends
+    when the frontier is empty."""
     graph_nodes = nodes.select("node").distinct()
     e = _cut(edges.select("src", "dst").join(graph_nodes.withColumnRenamed("node", "dst"), "dst", "left_semi"))
     visited = _cut(seeds.select("node").distinct().join(graph_nodes, "node", "left_semi"))
-    frontier = visited
-    for i in range(1, max_rounds + 1):
+    frontier, i = visited, 0
+    while True:
         nxt = _cut(frontier.join(e, frontier["node"] == e["src"]).select(F.col("dst").alias("node")).distinct()
                    .join(visited, "node", "left_anti"))
         if nxt.isEmpty():
-            break
+            return visited
         # a union of checkpointed leaves grows linearly; re-cut it every 8 rounds
-        visited = visited.unionByName(nxt)
+        visited, i = visited.unionByName(nxt), i + 1
         if i % 8 == 0:
             visited = _cut(visited)
         frontier = nxt
-    return visited
 
 
-def reachable_paths(edges: DataFrame, seeds: DataFrame, max_len: int) -> DataFrame:
-    """Maximal simple paths from the seeds, as arrays of nodes.  A path ends at a
-    leaf, a node absent from the graph, an empty node name, or before a repeated node.
-    The number of paths can grow exponentially, so ``max_len`` is required; a path that
-    reaches it is reported with ``truncated = true`` (nothing is dropped silently)."""
-    if max_len < 1:
-        raise ValueError("max_len must be >= 1")
-    srcs = edges.select(F.col("src").alias("node")).distinct()
-    paths = seeds.select(F.array(F.col("node")).alias("path"), F.col("node").alias("tail"))
-    done = None
-    for _ in range(max_len - 1):
-        ext = paths.join(edges, paths["tail"] == edges["src"], "left")
-        cont = ext.filter(F.col("dst").isNotNull() & (F.col("dst") != "") & ~F.array_contains("path", F.col("dst")))
-        # a path ends when it has no continuing edge
-        ended = (ext.groupBy("path").agg(F.count(F.when(F.col("dst").isNotNull() & (F.col("dst") != "")
-                                                        & ~F.array_contains("path", F.col("dst")), 1)).alias("c"))
-                 .filter(F.col("c") == 0).select("path"))
-        done = ended if done is None else done.unionByName(ended)
-        paths = _cut(cont.select(F.concat("path", F.array("dst")).alias("path"), F.col("dst").alias("tail")))
+def reachable_paths(edges: DataFrame, nodes: DataFrame, seeds: DataFrame) -> DataFrame:
+    """Simple paths from the seeds, as arrays of nodes: one for each place where a walk
+    stops.  It stops at a node without edges, and before a neighbour that is not in the graph
+    (``nodes.node``) or already on the path; other neighbours continue it.  Seeds that are not
+    in the graph give no path.  The number of paths can grow exponentially with the graph;
+    their length cannot, as no node repeats."""
+    graph_nodes = nodes.select("node").distinct()
+    e = _cut(edges.select("src", "dst").distinct()
+             .join(graph_nodes.select(F.col("node").alias("dst"), F.lit(True).alias("known")), "dst", "left"))
+    seed = seeds.select("node").distinct().join(graph_nodes, "node", "left_semi")
+    paths, done = seed.select(F.array("node").alias("path"), F.col("node").alias("tail")), []
+    while True:
+        go = F.coalesce(F.col("known") & ~F.array_contains("path", F.col("dst")), F.lit(False))
+        step = _cut(paths.join(e, paths["tail"] == e["src"], "left").select("path", "dst", go.alias("go")))
+        done.append(step.filter(~F.col("go")).select("path").distinct())
+        paths = step.filter("go").select(F.concat("path", F.array("dst")).alias("path"), F.col("dst").alias("tail"))
         if paths.isEmpty():
             break
-    out = done.withColumn("truncated", F.lit(False)) if done is not None else None
-    rest = paths.select("path", F.lit(True).alias("truncated"))
-    if not paths.isEmpty():
-        # paths at the cap whose tail has no continuation are complete, not truncated
-        tails = paths.join(edges, paths["tail"] == edges["src"], "left").groupBy("path").agg(
-            F.count(F.when(F.col("dst").isNotNull() & (F.col("dst") != "") & ~F.array_contains("path", F.col("dst")), 1))
-            .alias("c"))
-        rest = tails.select("path", (F.col("c") > 0).alias("truncated"))
-    out = rest if out is None else out.unionByName(rest)
-    del srcs
+    out = done[0]
+    for d in done[1:]:
+        out = out.unionByName(d)
     return out

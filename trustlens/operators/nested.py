@@ -17,7 +17,7 @@ def _kind(v: Column) -> Column:
              .when(t == "STRING", "string").when(t == "BOOLEAN", "boolean").otherwise("number"))
 
 
-def walk(df: DataFrame, json_col: str, id_col: str, max_depth: int = 64) -> DataFrame:
+def walk(df: DataFrame, json_col: str, id_col: str) -> DataFrame:
     """One row per (document, path, node) for every node, the root included.
     Paths use the ``$.key[0]`` form.  Level-by-level explode of containers; stops when
     no container is left (one small emptiness check per level)."""
@@ -29,7 +29,7 @@ def walk(df: DataFrame, json_col: str, id_col: str, max_depth: int = 64) -> Data
     # levels above it, and the loop's plans stay small
     cur = cur.withColumn("kind", _kind(F.col("v"))).checkpoint(eager=True)
     out = cur
-    for _ in range(max_depth):
+    while True:
         cont = cur.filter(F.col("kind").isin("object", "array"))
         if cont.isEmpty():
             return out.select("id", "path", "kind", F.to_json(F.col("v")).alias("value"))
@@ -42,7 +42,6 @@ def walk(df: DataFrame, json_col: str, id_col: str, max_depth: int = 64) -> Data
                WHERE e.pos IS NOT NULL""", cont=cont)
         cur = nxt.withColumn("kind", _kind(F.col("v"))).checkpoint(eager=True)
         out = out.unionByName(cur)
-    raise ValueError(f"documents nested deeper than {max_depth}")
 
 
 def type_profile(walked: DataFrame) -> DataFrame:

@@ -2,45 +2,41 @@
 
 from __future__ import annotations
 
+import ipaddress
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.net import ip_to_long
+from ..functions.net import ip_key, ip_to_key
 
-_K8_BASE = 65536  # key space: /16 buckets 0..65535, then /8 buckets 65536..65791
+_BITS = 16  # a bucket is what addresses share in their first 16 bits
 
 
 def networks_frame(spark, nets: list[tuple[str, str]]) -> DataFrame:
-    """(net_id, cidr or 'lo-hi') list -> DataFrame(net_id, lo, hi) (bounds computed on the driver)."""
-    import ipaddress
-    from ..functions.net import cidr_bounds
+    """(net_id, cidr or 'lo-hi') list -> DataFrame(net_id, lo, hi) of address keys, IPv4 or IPv6.
+    A reversed range is kept and holds nothing."""
     rows = []
     for nid, spec in nets:
         if "-" in spec:
-            a, b = spec.split("-", 1)
-            lo, hi = int(ipaddress.ip_address(a.strip())), int(ipaddress.ip_address(b.strip()))
-            rows.append((nid, min(lo, hi), max(lo, hi)))
+            rows.append((nid, *map(ip_key, spec.split("-", 1))))
         else:
-            rows.append((nid, *cidr_bounds(spec)))
-    return spark.createDataFrame(rows, "net_id string, lo long, hi long")
+            net = ipaddress.ip_network(spec.strip(), strict=False)
+            rows.append((nid, ip_key(str(net.network_address)), ip_key(str(net.broadcast_address))))
+    return spark.createDataFrame(rows, "net_id string, lo string, hi string")
 
 
 def match_networks(df: DataFrame, ip_col: str, nets: DataFrame) -> DataFrame:
     """Rows x networks (lo, hi) with lo <= ip <= hi.
 
-    A range spanning at most 256 /16 buckets is expanded over those /16 keys; a wider
-    one over its (at most 256) /8 keys.  Every row carries both its /16 and /8 key, so
-    each (row, network) pair meets exactly once through an equi join; the range test is
-    the residual.  No nested-loop join, no unbounded expansion."""
-    lo16, hi16 = F.shiftright(F.col("lo"), 16), F.shiftright(F.col("hi"), 16)
-    narrow = (hi16 - lo16) < 256
-    keys = F.when(narrow, F.sequence(lo16, hi16)).otherwise(
-        F.transform(F.sequence(F.shiftright(F.col("lo"), 24), F.shiftright(F.col("hi"), 24)),
-                    lambda k: k + F.lit(_K8_BASE)))
-    n = nets.withColumn("_k", F.explode(keys))
-    v = ip_to_long(F.col(ip_col))
-    r = (df.withColumn("_ip", v).filter(F.col("_ip").isNotNull())
-           .withColumn("_k", F.explode(F.array(F.shiftright(F.col("_ip"), 16),
-                                               F.shiftright(F.col("_ip"), 24) + F.lit(_K8_BASE)))))
-    j = r.join(n, "_k", "inner").filter((F.col("_ip") >= F.col("lo")) & (F.col("_ip") <= F.col("hi")))
-    return j.drop("_k", "_ip")
+    A range is expanded over the buckets it touches (at most 65,536); an address has one
+    bucket, so each (row, network) pair meets once through an equi join and the range test is
+    the residual.  A bucket that holds much of the table is left to AQE's skew join."""
+    digits = _BITS // 4
+    bucket = lambda c: F.conv(F.left(c, F.lit(digits)), 16, 10).cast("int")
+    n = (nets.filter((F.length("lo") == F.length("hi")) & (F.col("lo") <= F.col("hi")))
+         .withColumn("_len", F.length("lo"))
+         .withColumn("_k", F.explode(F.sequence(bucket(F.col("lo")), bucket(F.col("hi"))))))
+    r = (df.withColumn("_ip", ip_to_key(ip_col)).filter(F.col("_ip").isNotNull())
+         .withColumn("_len", F.length("_ip")).withColumn("_k", bucket(F.col("_ip"))))
+    j = r.join(n, ["_k", "_len"], "inner").filter((F.col("_ip") >= F.col("lo")) & (F.col("_ip") <= F.col("hi")))
+    return j.drop("_k", "_len", "_ip")

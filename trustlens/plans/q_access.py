@@ -51,7 +51,8 @@ def _assignments(spark, sf_dir):
 _REQ_CTE = """rq AS (SELECT o_orderkey AS request_id, 'c' || CAST(o_custkey AS VARCHAR) AS principal_id,
         'Shop/' || c_mktsegment || '/' || CASE WHEN o_orderkey % 2 = 0 THEN 'read' ELSE 'write' END AS action,
         '/nations/' || CAST(c_nationkey AS VARCHAR) || '/orders/' || CAST(o_orderkey AS VARCHAR) AS request_scope,
-        o_totalprice AS totalprice, c_acctbal AS acctbal, o_orderpriority AS priority, c_mktsegment AS segment
+        o_totalprice AS totalprice, c_acctbal AS acctbal, o_orderpriority AS priority, c_mktsegment AS segment,
+        o_orderdate AS orderdate
       FROM orders JOIN customer ON o_custkey = c_custkey),
 asg AS (SELECT 'c' || CAST(c_custkey AS VARCHAR) AS principal_id, 'reader' AS role, 'Shop/*/read' AS pattern,
                '/nations/' || CAST(c_nationkey AS VARCHAR) AS scope, NULL AS condition_id FROM customer
@@ -105,15 +106,16 @@ SELECT request_id,
   CAST(substr(priority, 1, 1) AS BIGINT) >= 3 AS b6_ge,
   CAST(substr(priority, 1, 1) AS BIGINT) BETWEEN 2 AND 4 AS b7_in_range,
   (request_id % 2 = 0) = true AS b8_bool,
-  make_timestamp(1997, 1, 1, 0, 0, 0) < make_timestamp(1998, 1, 1, 0, 0, 0) AS b9_dt,
+  orderdate < DATE '1995-06-01' AS b9_dt, orderdate <= DATE '1995-06-01' AS b9_dt_le,
+  orderdate >= DATE '1995-06-01' AS b9_dt_ge, orderdate <> DATE '1995-06-01' AS b9_dt_ne,
   (request_id % 86400) >= 12 * 3600 AS b10_tod,
   (request_id % 86400) BETWEEN 9 * 3600 AND 17 * 3600 AS b11_tod_range,
   lower('C' || CAST(request_id % 7 AS VARCHAR)) = 'c3' AS b12_guid,
   list_contains(string_split(action, '/'), 'read') AS b14_list_contains,
   len(list_filter(string_split(action, '/'), lambda x: x IN ('Shop', 'read', 'write', 'BUILDING'))) > 0 AS b15_any_any,
   len(list_filter(string_split(action, '/'), lambda x: x NOT IN ('Shop', 'read', 'write', 'BUILDING', 'FURNITURE'))) = 0 AS b16_all_any,
-  list_contains(string_split(action, '/'), 'Shop') AND false AS b17_any_all,
-  false AS b18_all_all,
+  list_contains(['read', 'Shop'], string_split(action, '/')[3]) AS b17_any_all,
+  request_id % 2 = 0 AS b18_all_all,
   coalesce(list_bool_or(list_transform(string_split(action, '/'), lambda x: length(x) > 8)), false) AS b19_any,
   coalesce(list_bool_and(list_transform(string_split(action, '/'), lambda x: length(x) >= 4)), false) AS b19_all,
   priority = '1-URGENT' AS b21_subop,
@@ -136,16 +138,19 @@ def condition_operators(spark, sf_dir):
         B.string_matches(F.col("request_scope"), "/orders/1[0-9]{3}$").alias("b5_matches"),
         B.numeric_greater_than_equals(F.substring("priority", 1, 1), 3).alias("b6_ge"),
         B.numeric_in_range(F.substring("priority", 1, 1), 2, "4").alias("b7_in_range"),
-        B.bool_equals(F.col("request_id") % 2 == 0, "true").alias("b8_bool"),
-        B.datetime_less_than(F.lit("1997-01-01T00:00:00+00:00"), F.lit("1998-01-01T01:00:00+01:00")).alias("b9_dt"),
+        B.bool_equals(F.col("request_id") % 2 == 0, True).alias("b8_bool"),
+        B.datetime_less_than(_stamp(), "1995-06-01T01:00:00+01:00").alias("b9_dt"),
+        B.datetime_less_than_or_equals(_stamp(), "1995-06-01T00:00:00Z").alias("b9_dt_le"),
+        B.datetime_greater_than_or_equals(_stamp(), "1995-06-01T00:00:00Z").alias("b9_dt_ge"),
+        B.datetime_not_equals(_stamp(), "1995-06-01T02:00:00+02:00").alias("b9_dt_ne"),
         B.time_of_day_cmp(lambda a, b: a >= b, tod, "12:00").alias("b10_tod"),
         B.time_of_day_in_range(tod, "17:00:00", "09:00").alias("b11_tod_range"),
         B.guid_equals(F.concat(F.lit("C"), (F.col("request_id") % 7).cast("string")), "c3").alias("b12_guid"),
         B.list_contains(segs, "read").alias("b14_list_contains"),
         B.for_any_of_any_values(segs, ["Shop", "read", "write", "BUILDING"]).alias("b15_any_any"),
         B.for_all_of_any_values(segs, ["Shop", "read", "write", "BUILDING", "FURNITURE"]).alias("b16_all_any"),
-        B.for_any_of_all_values(segs, ["Shop", "read"]).alias("b17_any_all"),
-        B.for_all_of_all_values(segs, ["Shop", "read"]).alias("b18_all_all"),
+        B.for_any_of_all_values(segs, ["read", "read"]).alias("b17_any_all"),
+        B.for_all_of_all_values(F.slice(segs, 3, 1), ["read", "read"]).alias("b18_all_all"),
         B.any_element(segs, lambda x: F.length(x) > 8).alias("b19_any"),
         B.all_elements(segs, lambda x: F.length(x) >= 4).alias("b19_all"),
         B.sub_operation_matches(F.col("priority"), "1-URGENT").alias("b21_subop"),
@@ -153,6 +158,59 @@ def condition_operators(spark, sf_dir):
     )
 
 
+def _stamp():
+    return F.date_format("orderdate", "yyyy-MM-dd'T'HH:mm:ss'Z'")
+
+
+# B-FC: order rows as condition inputs, every third missing and every fifth malformed.
+_FC_CTE = """fc AS (SELECT o_orderkey AS request_id,
+  CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE o_orderpriority END AS s,
+  CASE WHEN o_orderkey % 3 = 0 THEN NULL WHEN o_orderkey % 5 = 0 THEN CAST(o_orderkey AS VARCHAR) || '.0'
+       ELSE CAST(o_orderkey AS VARCHAR) END AS n,
+  CASE WHEN o_orderkey % 3 = 0 THEN NULL WHEN o_orderkey % 5 = 0 THEN 'garbage'
+       ELSE '10.' || CAST(o_orderkey % 4 AS VARCHAR) || '.0.1' END AS ip,
+  CASE WHEN o_orderkey % 3 = 0 THEN NULL WHEN o_orderkey % 5 = 0 THEN '2001:db8:::1'
+       WHEN o_orderkey % 2 = 0 THEN '2001:db8::' || CAST(o_orderkey % 1000 AS VARCHAR)
+       ELSE '2001:DB9:0:0:0:0:0:' || CAST(o_orderkey % 1000 AS VARCHAR) END AS ip6 FROM orders)"""
+
+
+@query("fail_closed_conditions", "B2 B3 B4 B5 B6 B7 B8 B12 B13", f"""WITH {_FC_CTE}
+SELECT request_id, lower(s) <> '1-urgent' AS b2_ne_ic, s <> '1-URGENT' AS b2_ne,
+  NOT starts_with(s, '1-') AS b3_not_like, NOT starts_with(s, '1-') AS b4_not_starts,
+  NOT ends_with(s, 'HIGH') AS b4_not_ends, NOT contains(s, 'E') AS b4_not_contains,
+  NOT regexp_matches(s, '^[12]') AS b5_not_matches,
+  CASE WHEN contains(n, '.') THEN NULL ELSE CAST(n AS BIGINT) <> 7 END AS b6_ne,
+  CASE WHEN contains(n, '.') THEN NULL ELSE CAST(n AS BIGINT) BETWEEN 10 AND 5000 END AS b7_in_range,
+  CAST(NULL AS BOOLEAN) AS b8_text, lower(s) <> '2-high' AS b12_ne,
+  CASE WHEN ip <> 'garbage' THEN NOT starts_with(ip, '10.2.') END AS b13_not_match,
+  CASE WHEN ip <> 'garbage' THEN false END AS b13_reversed,
+  CASE WHEN NOT contains(ip6, ':::') THEN contains(ip6, 'db8') END AS b13_v6,
+  CASE WHEN NOT contains(ip6, ':::') THEN false END AS b13_other_family FROM fc""")
+def fail_closed_conditions(spark, sf_dir):
+    k = F.col("o_orderkey")
+    text = k.cast("string")
+    missing = lambda c: F.when(k % 3 != 0, c)
+    d = table(spark, sf_dir, "orders").select(
+        k.alias("request_id"), missing(F.col("o_orderpriority")).alias("s"),
+        missing(F.when(k % 5 == 0, F.concat(text, F.lit(".0"))).otherwise(text)).alias("n"),
+        missing(F.when(k % 5 == 0, F.lit("garbage")).otherwise(
+            F.concat(F.lit("10."), (k % 4).cast("string"), F.lit(".0.1")))).alias("ip"),
+        missing(F.when(k % 5 == 0, F.lit("2001:db8:::1")).when(
+            k % 2 == 0, F.concat(F.lit("2001:db8::"), (k % 1000).cast("string"))).otherwise(
+            F.concat(F.lit("2001:DB9:0:0:0:0:0:"), (k % 1000).cast("string")))).alias("ip6"))
+    s, n, ip, ip6 = (F.col(c) for c in ("s", "n", "ip", "ip6"))
+    return d.select(
+        "request_id", B.string_not_equals(s, "1-urgent", ignore_case=True).alias("b2_ne_ic"),
+        B.string_not_equals(s, "1-URGENT").alias("b2_ne"), B.string_not_like(s, "1-*").alias("b3_not_like"),
+        B.string_not_starts_with(s, "1-").alias("b4_not_starts"), B.string_not_ends_with(s, "HIGH").alias("b4_not_ends"),
+        B.string_not_contains(s, "E").alias("b4_not_contains"), B.string_not_matches(s, "^[12]").alias("b5_not_matches"),
+        B.numeric_not_equals(n, 7).alias("b6_ne"), B.numeric_in_range(n, 10, "5000").alias("b7_in_range"),
+        B.bool_equals(s, True).alias("b8_text"), B.guid_not_equals(s, "2-high").alias("b12_ne"),
+        B.ip_not_match(ip, "10.2.0.0/16").alias("b13_not_match"),
+        B.ip_in_range(ip, "10.3.0.0", "10.0.0.0").alias("b13_reversed"),
+        B.ip_match(ip6, "2001:db8::/32").alias("b13_v6"), B.ip_match(ip6, "10.0.0.0/8").alias("b13_other_family"))
+
+
 # Fixed values of the B-IP binding: the network list.
 NETWORKS = (("lab", "10.0.0.0/16"), ("half", "10.1.128.0/17"), ("tiny", "10.2.5.0/24"),
             ("corp", "10.0.0.0/8"), ("span", "10.3.10.0-10.3.20.255"), ("home", "192.168.0.0/16"))

@@ -18,6 +18,8 @@ SELECT id,
   coalesce(totalprice > 200000, false) AS c3_gt,
   coalesce(lower(type) < '3-medium', false) AS c3_lt_text,
   coalesce(key >= 100, false) AS c3_ge_coerced,
+  lower(CAST(key AS VARCHAR)) = '7' AS c1_text_text, CAST(key AS VARCHAR) < '2' AS c3_text_text,
+  key IN (7, 15, 100) AS c4_coerced, false AS c1_text_not_number,
   CASE WHEN status IS NULL THEN false ELSE lower(status) IN ('f', 'o') END AS c4_in,
   CASE WHEN env IS NULL THEN true ELSE lower(env) NOT IN ('prod') END AS c5_not_in,
   contains(lower(name), '12') AS c6_contains_text,
@@ -44,7 +46,11 @@ def policy_operators(spark, sf_dir):
         P.greater(F.col("totalprice"), 200000).alias("c3_gt"),
         P.less(P.field("type"), "3-medium").alias("c3_lt_text"),
         P.greater_or_equals(F.col("key"), "100").alias("c3_ge_coerced"),
-        P.in_(P.field("tags.status"), ["f", "O"]).alias("c4_in"),
+        P.equals(F.col("key").cast("string"), "7").alias("c1_text_text"),
+        P.less(F.col("key").cast("string"), "2").alias("c3_text_text"),
+        P.in_(F.col("key"), ["7", 15, "100.0"]).alias("c4_coerced"),
+        P.equals(F.concat(F.col("key").cast("string"), F.lit(".0")), F.col("key").cast("string")).alias("c1_text_not_number"),
+        P.in_(P.field("TAGS.Status"), ["f", "O"]).alias("c4_in"),
         P.not_in(env, ["prod"]).alias("c5_not_in"),
         P.contains(F.col("name"), "12").alias("c6_contains_text"),
         P.contains(flags, "r", "array").alias("c6_contains_array"),
@@ -59,6 +65,13 @@ def policy_operators(spark, sf_dir):
     )
 
 
+def _pair(lines):
+    """Two outer elements that hold the lines; with more than three lines the second holds none."""
+    one = F.struct(F.lit(0).alias("least"), lines.alias("items"))
+    two = F.struct(F.lit(0).alias("least"), F.when(F.size(lines) <= 3, lines).alias("items"))
+    return F.array(one, two)
+
+
 @query("policy_arrays", "C12 C14 C15 C16 C17 C18", f"""WITH {RESOURCES_CTE}
 SELECT id,
   coalesce(list_bool_and(list_transform(lines, lambda e: e.quantity <= 45)), false) AS c14_all,
@@ -66,6 +79,9 @@ SELECT id,
   coalesce(list_bool_or(list_transform(lines, lambda e: e.quantity > 49)), false) AS c15_exists,
   len(list_filter(['A', 'N', 'R'], lambda v: coalesce(list_bool_or(list_transform(lines, lambda e: lower(e.returnflag) = lower(v))), false))) AS c16_count_values,
   list_transform(lines, lambda e: e.linestatus) AS c18_collect,
+  CASE WHEN lines IS NULL OR len(lines) > 3 THEN NULL ELSE len(lines) * 2 END AS c17_nested,
+  CASE WHEN lines IS NULL THEN 0 WHEN len(lines) > 3 THEN len(list_filter(lines, lambda e: e.quantity > 25))
+       ELSE 2 * len(list_filter(lines, lambda e: e.quantity > 25)) END AS c17_nested_where,
   (lower(coalesce(type, '')) = '1-urgent' AND coalesce(len(list_filter(lines, lambda e: e.quantity > 25)), 0) >= 2)
     OR NOT (coalesce(totalprice > 100000, false)) AS c12_logic
 FROM res""")
@@ -80,6 +96,9 @@ def policy_arrays(spark, sf_dir):
         P.count_values(["A", "N", "R"], lambda v: P.contains(P.collect_field(lines, "returnflag"), v, "array"))
          .alias("c16_count_values"),
         P.collect_field(lines, "linestatus").alias("c18_collect"),
+        P.nested_count(_pair(lines), "items").alias("c17_nested"),
+        P.nested_count(_pair(lines), "items", lambda o, i: (o["least"] <= i["quantity"])
+                       & (i["quantity"] > 25)).alias("c17_nested_where"),
         P.any_of(P.all_of(P.equals(F.col("type"), "1-urgent"), P.count_where(lines, lambda e: e["quantity"] > 25) >= 2),
                  P.not_(P.greater(F.col("totalprice"), 100000))).alias("c12_logic"),
     )
@@ -144,27 +163,34 @@ def audit_if_not_exists(spark, sf_dir):
 
 def _modify_policy():
     return C.Policy("tag-env", P.exists(P.field("tags['env']"), False), "modify",
-                    details=[("addOrReplace", "tags['env']", "dev"), ("remove", "tags['status']", None)])
+                    details=[("addOrReplace", "tags['env']", "dev"), ("remove", "tags['status']", None),
+                             ("add", "owner", "nobody"), ("addOrReplace", "totalprice", "10.5"),
+                             ("append", "zones", "z1")])
 
 
 @query("modify_patches", "C22 C23", f"""WITH {RESOURCES_CTE}
-SELECT id, 'tag-env' AS policy, 2 AS n_ops FROM res WHERE env IS NULL""")
+SELECT id, 'tag-env' AS policy, 5 AS n_ops, 'addorreplace' AS first_op, 'nobody' AS owner FROM res WHERE env IS NULL""")
 def modify_patches(spark, sf_dir):
     r = resources(spark, sf_dir)
     pol = _modify_policy()
     nc = r.filter(pol.condition)
-    return C.patch_rows(nc, pol).select("id", "policy", F.size("operations").alias("n_ops"))
+    return C.patch_rows(nc, pol).select(
+        "id", "policy", F.size("operations").alias("n_ops"), F.col("operations")[0]["operation"].alias("first_op"),
+        F.filter("operations", lambda o: o["field"] == "owner")[0]["value"].alias("owner"))
 
 
 @query("apply_patches", "C22 C23", f"""WITH {RESOURCES_CTE}
 SELECT id, CASE WHEN env IS NULL THEN 'dev' ELSE env END AS env,
-       CASE WHEN env IS NULL THEN NULL ELSE status END AS status FROM res""")
+       CASE WHEN env IS NULL THEN NULL ELSE status END AS status,
+       CASE WHEN env IS NULL THEN 'nobody' END AS owner, CASE WHEN env IS NULL THEN 10.5 ELSE totalprice END AS totalprice,
+       CASE WHEN env IS NULL THEN 'z1' END AS zone FROM res""")
 def apply_patches(spark, sf_dir):
     r = resources(spark, sf_dir)
     pol = _modify_policy()
     out = C.apply_patches(r, pol, where=pol.condition)
     return out.select("id", F.try_element_at("tags", F.lit("env")).alias("env"),
-                      F.try_element_at("tags", F.lit("status")).alias("status"))
+                      F.try_element_at("tags", F.lit("status")).alias("status"), "owner", "totalprice",
+                      F.col("zones")[0].alias("zone"))
 
 
 _PARAM_CTE = """defs AS (SELECT r_name AS policy, p.param, p.default_value FROM region,

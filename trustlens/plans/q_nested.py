@@ -9,24 +9,25 @@ from .bindings import RESOURCES_CTE, resources, table
 from .registry import query
 
 _EDGES_SQL = """e AS (
-  SELECT 'p' || CAST(l_partkey AS VARCHAR) AS src, 's' || CAST(l_suppkey AS VARCHAR) AS dst FROM lineitem WHERE l_quantity >= 48
-  UNION SELECT 's' || CAST(l_suppkey AS VARCHAR), 'p' || CAST(l_partkey AS VARCHAR) FROM lineitem
-  WHERE l_quantity <= 2 AND l_discount >= 0.09),
-nodes AS (SELECT src AS node FROM e UNION SELECT 'p' || CAST(p_partkey AS VARCHAR) FROM part WHERE p_partkey % 10 = 0)"""
+  SELECT 'p' || CAST(l_partkey AS VARCHAR) AS src, 's' || CAST(l_suppkey AS VARCHAR) AS dst FROM lineitem
+  UNION SELECT 's' || CAST(l_suppkey AS VARCHAR), 'p' || CAST(l_partkey AS VARCHAR) FROM lineitem),
+nodes AS (SELECT 'p' || CAST(p_partkey AS VARCHAR) AS node FROM part
+          UNION SELECT 's' || CAST(s_suppkey AS VARCHAR) FROM supplier)"""
+
+
+def _id(prefix, col):
+    return F.concat(F.lit(prefix), F.col(col).cast("string"))
 
 
 def _graph(spark, sf_dir):
-    li = table(spark, sf_dir, "lineitem")
-    p = F.concat(F.lit("p"), F.col("l_partkey").cast("string"))
-    s = F.concat(F.lit("s"), F.col("l_suppkey").cast("string"))
-    e = (li.filter(F.col("l_quantity") >= 48).select(p.alias("src"), s.alias("dst"))
-         .unionByName(li.filter((F.col("l_quantity") <= 2) & (F.col("l_discount") >= 0.09))
-                      .select(s.alias("src"), p.alias("dst"))).distinct())
+    """B-GR: every line item's part -> supplier and back."""
+    li = table(spark, sf_dir, "lineitem").select("l_partkey", "l_suppkey").distinct()
+    p, s = _id("p", "l_partkey"), _id("s", "l_suppkey")
+    e = li.select(p.alias("src"), s.alias("dst")).unionByName(li.select(s.alias("src"), p.alias("dst")))
     part = table(spark, sf_dir, "part")
-    nodes = e.select(F.col("src").alias("node")).unionByName(
-        part.filter(F.col("p_partkey") % 10 == 0).select(F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("node")))
-    seeds = part.filter(F.col("p_partkey") % 500 == 7).select(
-        F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("node"))
+    nodes = part.select(_id("p", "p_partkey").alias("node")).unionByName(
+        table(spark, sf_dir, "supplier").select(_id("s", "s_suppkey").alias("node")))
+    seeds = part.filter(F.col("p_partkey") % 500 == 7).select(_id("p", "p_partkey").alias("node"))
     return e, nodes, seeds
 
 
@@ -40,10 +41,34 @@ def reachable(spark, sf_dir):
     return graphs.reachable(e, nodes, seeds)
 
 
-@query("reachable_paths", "G2")
+# B-GP: region -> nation -> customer -> order -> back to the customer's nation.  Orders with
+# status P are referred to but are not nodes; a region 'r9' is a seed that is not one either.
+@query("reachable_paths", "G2", """WITH RECURSIVE
+c AS (SELECT 'c' || CAST(c_custkey AS VARCHAR) AS c, 'n' || CAST(c_nationkey AS VARCHAR) AS n FROM customer),
+o AS (SELECT 'o' || CAST(o_orderkey AS VARCHAR) AS o, 'c' || CAST(o_custkey AS VARCHAR) AS c, o_orderstatus AS st FROM orders),
+e AS (SELECT 'r' || CAST(n_regionkey AS VARCHAR) AS src, 'n' || CAST(n_nationkey AS VARCHAR) AS dst FROM nation
+      UNION SELECT n, c FROM c UNION SELECT c, o FROM o UNION SELECT o.o, c.n FROM o JOIN c USING (c)),
+nodes AS (SELECT 'r' || CAST(r_regionkey AS VARCHAR) AS node FROM region
+          UNION SELECT 'n' || CAST(n_nationkey AS VARCHAR) FROM nation UNION SELECT c FROM c
+          UNION SELECT o FROM o WHERE st <> 'P'),
+p(path, tail) AS (SELECT [node], node FROM nodes WHERE node[1] = 'r'
+                  UNION ALL SELECT list_append(p.path, e.dst), e.dst FROM p JOIN e ON e.src = p.tail
+                  WHERE e.dst IN (SELECT node FROM nodes) AND NOT list_contains(p.path, e.dst))
+SELECT DISTINCT array_to_string(p.path, '>') AS path FROM p LEFT JOIN e ON e.src = p.tail
+WHERE e.dst IS NULL OR e.dst NOT IN (SELECT node FROM nodes) OR list_contains(p.path, e.dst)""")
 def reachable_paths(spark, sf_dir):
-    e, _, seeds = _graph(spark, sf_dir)
-    return graphs.reachable_paths(e, seeds, max_len=6).select(F.array_join("path", ">").alias("path"), "truncated")
+    n = table(spark, sf_dir, "nation").select(_id("r", "n_regionkey").alias("r"), _id("n", "n_nationkey").alias("n"))
+    c = table(spark, sf_dir, "customer").select(_id("c", "c_custkey").alias("c"), _id("n", "c_nationkey").alias("n"))
+    o = table(spark, sf_dir, "orders").select(_id("o", "o_orderkey").alias("o"), _id("c", "o_custkey").alias("c"),
+                                              "o_orderstatus")
+    regions = table(spark, sf_dir, "region").select(_id("r", "r_regionkey").alias("node"))
+    e = (n.select(F.col("r").alias("src"), F.col("n").alias("dst")).unionByName(c.select(F.col("n").alias("src"), F.col("c").alias("dst")))
+         .unionByName(o.select(F.col("c").alias("src"), F.col("o").alias("dst")))
+         .unionByName(o.join(c, "c").select(F.col("o").alias("src"), F.col("n").alias("dst"))))
+    nodes = (regions.unionByName(n.select(F.col("n").alias("node"))).unionByName(c.select(F.col("c").alias("node")))
+             .unionByName(o.filter("o_orderstatus <> 'P'").select(F.col("o").alias("node"))))
+    seeds = regions.unionByName(regions.limit(1).select(F.lit("r9").alias("node")))
+    return graphs.reachable_paths(e, nodes, seeds).select(F.array_join("path", ">").alias("path"))
 
 
 def _res_json(spark, sf_dir):
@@ -142,6 +167,7 @@ SELECT id,
   env IS NOT NULL AS kept_has_env,
   CASE WHEN env IS NULL THEN 1 ELSE 1 END AS dropped_size,
   CASE WHEN env IS NULL THEN 'dflt' ELSE env END AS merged_env,
+  CASE WHEN env IS NULL THEN 'dflt' ELSE env END AS deep_env, CAST(key % 5 AS VARCHAR) AS deep_other,
   status AS merged_status,
   coalesce(env = 'prod', false) AS is_subset_prod
 FROM res""")
@@ -150,11 +176,16 @@ def document_ops(spark, sf_dir):
     t = F.col("tags")
     defaults = F.create_map(F.lit("env"), F.lit("dflt"))
     merged = N.merge_maps(defaults, t)
+    deep = N.deep_merge(F.create_map(F.lit("tags"), defaults, F.lit("other"), F.create_map(F.lit("k"), F.lit("x"))),
+                        F.create_map(F.lit("tags"), t, F.lit("other"),
+                                     F.create_map(F.lit("k"), (F.col("key") % 5).cast("string"))))
     return r.select(
         "id",
         F.map_contains_key(N.keys_keep(t, ["env"]), F.lit("env")).alias("kept_has_env"),
         F.size(N.keys_drop(t, ["env"])).alias("dropped_size"),
         F.element_at(merged, F.lit("env")).alias("merged_env"),
+        F.try_element_at(F.try_element_at(deep, F.lit("tags")), F.lit("env")).alias("deep_env"),
+        F.try_element_at(F.try_element_at(deep, F.lit("other")), F.lit("k")).alias("deep_other"),
         F.element_at(merged, F.lit("status")).alias("merged_status"),
         N.is_subset(t, F.create_map(F.lit("env"), F.lit("prod"))).alias("is_subset_prod"))
 
@@ -179,6 +210,13 @@ def url_key_counts(spark, sf_dir):
 PREFIX = "did:x:"
 
 
+def _key(did, k, n):
+    return F.struct(F.concat(did, F.lit(f"#key-{n}")).alias("id"), F.lit("Multikey").alias("type"),
+                    did.alias("controller"),
+                    F.concat(F.lit("z"), F.substring(F.sha2(k.cast("string"), 256), 16 * n - 15, 16))
+                    .alias("publicKeyMultibase"))
+
+
 def _docs(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
     k = F.col("doc_id")
@@ -186,10 +224,7 @@ def _docs(spark, sf_dir):
         F.concat(F.lit(PREFIX), k.cast("string")))
     ctx = F.when(k % 13 == 0, F.array(F.lit("https://example.org/ctx"))).otherwise(F.array(F.lit(I.DID_CONTEXT_V1)))
     vm = F.when(k % 11 == 0, F.array().cast("array<struct<id:string,type:string,controller:string,publicKeyMultibase:string>>")) \
-        .otherwise(F.array(F.struct(F.concat(did, F.lit("#key-1")).alias("id"), F.lit("Multikey").alias("type"),
-                                    did.alias("controller"),
-                                    F.concat(F.lit("z"), F.substring(F.sha2(k.cast("string"), 256), 1, 16))
-                                    .alias("publicKeyMultibase"))))
+        .when(k % 5 == 0, F.array(_key(did, k, 1), _key(did, k, 2))).otherwise(F.array(_key(did, k, 1)))
     return d.select(did.alias("id"), ctx.alias("context"), vm.alias("verification_method"), "text", "doc_id")
 
 
@@ -234,10 +269,12 @@ def registry_delete(spark, sf_dir):
 
 
 @query("key_fingerprints", "I5", f"""WITH {_DOCS_CTE}
-SELECT id, sha256('z' || substr(sha256(CAST(doc_id AS VARCHAR)), 1, 16)) AS fingerprint FROM docs WHERE has_vm""")
+SELECT id, sha256('z' || substr(sha256(CAST(doc_id AS VARCHAR)), 16 * n - 15, 16)) AS fingerprint
+FROM docs, (VALUES (1), (2)) m(n) WHERE has_vm AND (n = 1 OR doc_id % 5 = 0)""")
 def key_fingerprints(spark, sf_dir):
     d = _docs(spark, sf_dir).filter(F.size("verification_method") > 0)
-    return d.select("id", I.fingerprint(F.col("verification_method")[0]["publicKeyMultibase"]).alias("fingerprint"))
+    vm = d.select("id", F.explode("verification_method").alias("vm"))
+    return vm.select("id", I.fingerprint(F.col("vm.publicKeyMultibase")).alias("fingerprint"))
 
 
 @query("resolve_ids", "J7", f"""WITH {_DOCS_CTE},

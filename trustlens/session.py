@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
 
 from pyspark.sql import SparkSession
 
@@ -38,15 +37,12 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
-
-    On a cluster the platform sets it to a shared file system; we only create a
-    scratch folder when it is unset (local runs and tests).
-    """
-    d = spark.conf.get("spark.checkpoint.dir", None)
+    """The shared checkpoint folder: the one ``spark.checkpoint.dir`` names, else the one the
+    session already checkpoints to, else a folder below the session's warehouse, on its file
+    system.  Never a machine-local temporary folder, which other executors could not read."""
+    d = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not d:
-        d = tempfile.mkdtemp(prefix="trustlens-ckpt-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", d)
+        d = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(d)
     return d

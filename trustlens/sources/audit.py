@@ -13,20 +13,27 @@ REQUIRED = ("timestamp_ns", "session_id", "user_did", "decision")
 
 
 def read_audit_stream(spark: SparkSession, path: str, fmt: str = "text", start: str = "earliest",
-                      max_files_per_trigger: int | None = None, kafka_options: dict | None = None) -> DataFrame:
+                      max_files_per_trigger: int | None = None, kafka_options: dict | None = None,
+                      since: str | None = None) -> DataFrame:
     """A stream of envelopes ``{"data": "<event json>"}`` one per line (files), or
-    Kafka records whose value is the envelope.  Returns raw text in ``raw``."""
+    Kafka records whose value is the envelope.  Returns raw text in ``raw``.
+
+    ``start="latest"`` reads only what is new: Kafka's latest offsets, or files written at or
+    after ``since`` (a UTC timestamp that the caller keeps over restarts)."""
     if fmt == "kafka":
         opts = dict(kafka_options or {})
         opts.setdefault("startingOffsets", "earliest" if start == "earliest" else "latest")
         r = spark.readStream.format("kafka").options(**opts).load()
         return r.select(F.col("value").cast("string").alias("raw"))
     rs = spark.readStream.format("text")
-    if start == "latest":
-        rs = rs.option("latestFirst", "true")
+    if start == "latest" and since is None:
+        raise ValueError('start="latest" on files needs since, the time from which files are new')
     if max_files_per_trigger:
         rs = rs.option("maxFilesPerTrigger", str(max_files_per_trigger))
-    return rs.load(path).select(F.col("value").alias("raw"))
+    lines = rs.load(path)
+    if start == "latest":
+        lines = lines.filter(F.col("_metadata.file_modification_time") >= F.lit(since).cast("timestamp"))
+    return lines.select(F.col("value").alias("raw"))
 
 
 def trigger_opts(max_rows: int = 1000, interval_ms: int = 500) -> dict:
@@ -96,10 +103,11 @@ def load_audit(spark: SparkSession, path: str, users=None, since=None) -> DataFr
     return df
 
 
-def export_features(df: DataFrame, path: str, limit: int = 100_000, order=("timestamp_ns",)) -> None:
-    """Feature rows as CSV with a header, at most ``limit`` rows (a total order makes
-    the cut deterministic; TakeOrderedAndProject keeps only ``limit`` rows per task)."""
-    df.orderBy(*order).limit(limit).write.mode("overwrite").option("header", True).csv(path)
+def export_features(df: DataFrame, path: str, limit: int | None = None, order=("timestamp_ns",)) -> None:
+    """Feature rows as CSV with a header, all of them or the first ``limit`` (a total order
+    makes the cut deterministic; TakeOrderedAndProject keeps only ``limit`` rows per task)."""
+    rows = df.orderBy(*order)
+    (rows if limit is None else rows.limit(limit)).write.mode("overwrite").option("header", True).csv(path)
 
 
 def save_json_rows(df: DataFrame, path: str) -> None:
