@@ -94,19 +94,25 @@ def severity_pct(score) -> Column:
     return F.floor(_c(score) * 100 + 0.5).cast("long")
 
 
-def feature_rows(df):
+def feature_columns() -> list[Column]:
     """Training feature row (latency, risk, distance, hour, decision code, device trust)."""
-    return df.select(
-        F.col("latency_ms"), F.col("risk_score"),
-        ctx_number("context", "env", "$.distance_km").alias("distance_km"),
-        hour_of_day(ns_to_ts("timestamp_ns")).alias("hour_of_day"),
-        decision_code("decision").alias("decision"),
-        ctx_number("context", "device", "$.trust_score").alias("device_trust_score"))
+    return [F.col("latency_ms"), F.col("risk_score"),
+            ctx_number("context", "env", "$.distance_km").alias("distance_km"),
+            hour_of_day(ns_to_ts("timestamp_ns")).alias("hour_of_day"),
+            decision_code("decision").alias("decision"),
+            ctx_number("context", "device", "$.trust_score").alias("device_trust_score")]
 
 
-def stream_features(df):
+def feature_rows(df):
+    return df.select(*feature_columns())
+
+
+def stream_columns() -> list[Column]:
     """Streaming feature vector, each defaulting to 0.0."""
-    return df.select(
-        F.coalesce(F.col("latency_ms").cast("double"), F.lit(0.0)).alias("latency"),
-        F.coalesce(F.col("risk_score").cast("double"), F.lit(0.0)).alias("risk_score"),
-        ctx_number("context", "env", "$.distance_km").alias("distance"))
+    return [F.coalesce(F.col("latency_ms").cast("double"), F.lit(0.0)).alias("latency"),
+            F.coalesce(F.col("risk_score").cast("double"), F.lit(0.0)).alias("risk_score"),
+            ctx_number("context", "env", "$.distance_km").alias("distance")]
+
+
+def stream_features(df):
+    return df.select(*stream_columns())

@@ -55,39 +55,6 @@ def _geo(df: DataFrame) -> Column:
     return ctx("context", "geo") if "geo" not in df.columns else F.coalesce(F.col("geo"), F.lit(""))
 
 
-def window_stats(df: DataFrame, as_of, window_seconds: int) -> DataFrame:
-    """A1-A3 for every user with events in the window."""
-    w = trailing(df, as_of, window_seconds)
-    return (w.groupBy("user_did").agg(
-        F.count(F.lit(1)).alias("event_count"),
-        F.avg("latency_ms").alias("avg_latency"),
-        F.avg((F.col("decision") == "DENY").cast("double")).alias("deny_rate"),
-        (F.count_distinct(_geo(w)) / F.count(F.lit(1))).alias("geo_velocity")))
-
-
-def bucket_rates(df: DataFrame) -> DataFrame:
-    """First level of A5/A6: deny rate and geo velocity per (user, 5-minute bucket)."""
-    return (df.withColumn("bucket_ns", bucket_ns("timestamp_ns", BUCKET_SECONDS))
-            .groupBy("user_did", "bucket_ns").agg(
-                F.avg((F.col("decision") == "DENY").cast("double")).alias("deny_rate"),
-                (F.count_distinct(_geo(df)) / F.count(F.lit(1))).alias("geo_velocity")))
-
-
-def baseline_stats(df: DataFrame, as_of, exclude_window_seconds: int | None = None) -> DataFrame:
-    """Latency mean / population sd over raw events, and the unweighted mean /
-    population sd of the per-bucket deny rate and geo velocity, over 7 days."""
-    b = trailing(df, as_of, BASELINE_SECONDS)
-    if exclude_window_seconds:
-        b = b.filter(F.col("timestamp_ns") < F.lit(to_ns(as_of) - exclude_window_seconds * NS_PER_SEC))
-    lat = b.groupBy("user_did").agg(F.avg("latency_ms").alias("mean_avg_latency"),
-                                    F.stddev_pop("latency_ms").alias("sd_avg_latency"))
-    br = bucket_rates(b).groupBy("user_did").agg(
-        F.avg("deny_rate").alias("mean_deny_rate"), F.stddev_pop("deny_rate").alias("sd_deny_rate"),
-        F.avg("geo_velocity").alias("mean_geo_velocity"),
-        F.stddev_pop("geo_velocity").alias("sd_geo_velocity"))
-    return lat.join(br, "user_did", "full")
-
-
 def _user_stats(df: DataFrame, as_of, window_seconds: int, metrics, users: DataFrame | None,
                 exclude_window: bool) -> DataFrame:
     """Wide per-user table: event_count, raw_<m>, mean_<m>, sd_<m> for the asked metrics."""

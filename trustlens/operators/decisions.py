@@ -100,6 +100,13 @@ def fail_closed(df: DataFrame, bad: Column) -> DataFrame:
         out = out.withColumn("risk_score", F.when(F.col("_bad"), F.lit(1.0)).otherwise(F.col("risk_score")))
     if "latency_ms" in df.columns:
         out = out.withColumn("latency_ms", F.when(F.col("_bad"), F.lit(0.0)).otherwise(F.col("latency_ms")))
+    if "context_snapshot" in df.columns:
+        c = F.trim(F.coalesce(F.col("context_snapshot"), F.lit("{}")))
+        head = F.rtrim(F.expr("substring(trim(coalesce(context_snapshot, '{}')), 1, "
+                              "length(trim(coalesce(context_snapshot, '{}'))) - 1)"))
+        tagged = F.concat(head, F.when(c.rlike(r"^\{\s*\}$"), F.lit("")).otherwise(F.lit(",")),
+                          F.lit('"denied_by_panic_mode":"true"}'))
+        out = out.withColumn("context_snapshot", F.when(F.col("_bad"), tagged).otherwise(F.col("context_snapshot")))
     return out.withColumnRenamed("_bad", "denied_by_panic_mode")
 
 

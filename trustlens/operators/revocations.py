@@ -102,30 +102,28 @@ def load_or_rebuild(spark: SparkSession, path: str, log: DataFrame) -> DataFrame
     return merge_replicas(snap, log)
 
 
-def convergence(log: DataFrame, replicas: list | None = None, replica: str = "replica") -> DataFrame:
+def convergence(log: DataFrame, replica: str = "replica") -> DataFrame:
     """Per pair of replicas: entries only in a, only in b, present in both but
-    different, and a converged flag.  One pivot (per-credential row with one entry column
-    per replica), then one aggregate of conditional counts - no row pairs."""
-    st = (log.groupBy(replica, KEY).agg(F.max(_entry()).alias("e")))
-    if replicas is None:
-        replicas = sorted(r[0] for r in st.select(replica).distinct().collect())  # replica ids: a handful
-    wide = st.groupBy(KEY).pivot(replica, replicas).agg(F.first("e"))
-    aggs, pairs = [], []
-    for i, a in enumerate(replicas):
-        for b in replicas[i + 1:]:
-            ca, cb = F.col(f"`{a}`"), F.col(f"`{b}`")
-            tag = f"{a}_{b}"
-            aggs += [F.count(F.when(ca.isNotNull() & cb.isNull(), 1)).alias(f"oa_{tag}"),
-                     F.count(F.when(ca.isNull() & cb.isNotNull(), 1)).alias(f"ob_{tag}"),
-                     F.count(F.when(ca.isNotNull() & cb.isNotNull() & (ca != cb), 1)).alias(f"d_{tag}")]
-            pairs.append((a, b, tag))
-    g = wide.agg(*aggs)
-    rows = F.explode(F.array(*[F.struct(F.lit(a).alias("replica_a"), F.lit(b).alias("replica_b"),
-                                        F.col(f"oa_{t}").alias("only_a"), F.col(f"ob_{t}").alias("only_b"),
-                                        F.col(f"d_{t}").alias("differing"))
-                               for a, b, t in pairs]))
-    out = g.select(rows.alias("r")).select("r.*")
-    return out.withColumn("converged", (F.col("only_a") + F.col("only_b") + F.col("differing")) == 0)
+    different, and a converged flag.  Counts per replica, and counts per pair over the
+    credentials that both hold; what only one holds is the difference."""
+    st = log.groupBy(F.col(replica).alias("r"), KEY).agg(F.max(_entry()).alias("e"))
+    n = st.groupBy("r").agg(F.count(F.lit(1)).alias("n"))
+    # a credential's replicas in one row: as many as there are replicas
+    per = st.groupBy(KEY).agg(F.array_sort(F.collect_list(F.struct("r", "e"))).alias("x"))
+    pair = F.explode(F.flatten(F.transform("x", lambda a: F.transform(
+        F.filter("x", lambda b: b["r"] > a["r"]), lambda b: F.struct(
+            a["r"].alias("a"), b["r"].alias("b"), (a["e"] != b["e"]).cast("long").alias("d"))))))
+    both = (per.select(pair.alias("p")).groupBy("p.a", "p.b")
+            .agg(F.count(F.lit(1)).alias("both"), F.sum("p.d").alias("differing")))
+    whole = n.agg(F.array_sort(F.collect_list(F.struct("r", "n"))).alias("x"))  # a row of replicas
+    of = whole.select(F.explode(F.flatten(F.transform("x", lambda a: F.transform(
+        F.filter("x", lambda b: b["r"] > a["r"]), lambda b: F.struct(
+            a["r"].alias("a"), b["r"].alias("b"), a["n"].alias("na"), b["n"].alias("nb")))))).alias("p")).select("p.*")
+    out = of.join(both, ["a", "b"], "left").na.fill(0, ["both", "differing"])
+    only_a, only_b = F.col("na") - F.col("both"), F.col("nb") - F.col("both")
+    return out.select(F.col("a").alias("replica_a"), F.col("b").alias("replica_b"), only_a.alias("only_a"),
+                      only_b.alias("only_b"), "differing",
+                      (only_a + only_b + F.col("differing") == 0).alias("converged"))
 
 
 # ---- R12 set operations -------------------------------------------------------------

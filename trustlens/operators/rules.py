@@ -9,10 +9,10 @@ order.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable
 from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Column
 from pyspark.sql import functions as F
 
@@ -99,6 +99,7 @@ class RuleSet:
         self._collect: dict[str, tuple] = {}
         self._valued: set[str] = set()
         self._funcs: dict[str, Callable] = {}
+        self._needs: dict[str, set[str]] = {}
 
     def _touch(self, name):
         if name not in self._order:
@@ -160,9 +161,25 @@ class RuleSet:
         value = F.when(F.size(vals) == 1, vals[0]).when(F.size(vals) == 0, dflt if dflt is not None else F.lit(None))
         return value, F.size(vals) > 1
 
-    def _deps(self, name: str) -> set[str]:
-        text = " ".join(str(x) for pair in self._defs.get(name, []) + self._chains.get(name, []) for x in pair)
-        return {o for o in self._order if o != name and re.search(rf"\b{re.escape(o)}\b", text)}
+    def needs(self, name: str, *others: str) -> "RuleSet":
+        """Declare that ``name`` reads the rules ``others``: needed only where an input column
+        has the name of a rule that is read; other references are found by analysis."""
+        self._touch(name)
+        self._needs.setdefault(name, set()).update(others)
+        return self
+
+    def _ready(self, df: DataFrame, name: str, done: set[str]) -> bool:
+        """Whether the rules that ``name`` declares are done and its columns resolve."""
+        if not self._needs.get(name, set()) <= done:
+            return False
+        value, conflict = self._expr(name)
+        try:
+            df.select(*[c for c in (value, conflict) if c is not None]).schema
+        except AnalysisException as e:
+            if (e.getCondition() or "").startswith("UNRESOLVED_COLUMN"):
+                return False
+            raise
+        return True
 
     def apply(self, df: DataFrame, overrides: dict | None = None) -> DataFrame:
         """Adds the rule columns.  D6l: ``overrides`` replaces input columns first (what-if)."""
@@ -170,8 +187,8 @@ class RuleSet:
             df = df.withColumns({k: _c(v) for k, v in overrides.items()})
         done: list[str] = []
         pending = list(self._order)
-        while pending:  # topological order by name references
-            ready = [n for n in pending if self._deps(n) <= set(done)]
+        while pending:  # in the order in which the columns they read are there
+            ready = [n for n in pending if self._ready(df, n, set(done))]
             if not ready:
                 raise ValueError(f"cyclic rules: {pending}")
             cols = {}

@@ -23,9 +23,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 # ---------------------------------------------------------------- B-EV audit events
-def audit_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """events -> audit table (user_did, timestamp_ns, decision, latency_ms, context map ...)."""
+def audit_users(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every user of the audit table, from the user column alone."""
+    return table(spark, sf_dir, "events").select(
+        F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("user_did")).distinct()
+
+
+def audit_events(spark: SparkSession, sf_dir: str, since_ns: int | None = None,
+                 user_did: str | None = None) -> DataFrame:
+    """events -> audit table (user_did, timestamp_ns, decision, latency_ms, context map ...).
+    ``since_ns`` and ``user_did`` filter the stored columns, so they reach the Parquet scan."""
     ev = table(spark, sf_dir, "events")
+    if since_ns is not None:
+        since = F.timestamp_micros(F.lit(since_ns // 1000)).cast(ev.schema["ts"].dataType)
+        ev = ev.filter(F.col("ts") >= since)
+    if user_did is not None:
+        ev = ev.filter(F.col("user_id") == F.lit(int(user_did[1:])))
     k = F.get_json_object("props", "$.k").cast("int")
     geo = F.element_at(F.array(*[F.lit(g) for g in GEOS]), (k % 5) + 1)  # k%5 = 4 -> NULL
     geo = F.when(k % 5 < 4, geo)

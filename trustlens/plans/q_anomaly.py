@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import anomaly
-from .bindings import AS_OF, AS_OF_NS, AUDIT_CTE, audit_events
+from .bindings import AS_OF, AS_OF_NS, AUDIT_CTE, audit_events, audit_users
 from .registry import query
 
 R = 6  # doubles are rounded to 6 places on both sides (sums are order dependent)
@@ -52,7 +52,8 @@ SCORE_COLS = ("raw_value", "mean_baseline", "stddev_baseline", "z_score", "anoma
 
 def m1(metric: str, window: int = W):
     def build(spark, sf_dir):
-        df = anomaly.anomaly_scores(audit_events(spark, sf_dir), AS_OF, window, metric)
+        df = anomaly.anomaly_scores(audit_events(spark, sf_dir, AS_OF_NS - BASE * NS), AS_OF, window, metric,
+                                    users=audit_users(spark, sf_dir))
         return rnd(df, *SCORE_COLS)
     return build
 
@@ -66,4 +67,5 @@ query("anomaly_avg_latency_300s", "M1 A1 A4 F2", _m1_sql("avg_latency", 300))(m1
        " UNION ALL ".join(f"SELECT * FROM ({_m1_sql(m, 3600)})"
                           for m in ("avg_latency", "deny_rate", "geo_velocity")))
 def anomaly_matrix(spark, sf_dir):
-    return rnd(anomaly.anomaly_matrix(audit_events(spark, sf_dir), AS_OF, 3600), *SCORE_COLS)
+    recent = audit_events(spark, sf_dir, AS_OF_NS - BASE * NS)
+    return rnd(anomaly.anomaly_matrix(recent, AS_OF, 3600, users=audit_users(spark, sf_dir)), *SCORE_COLS)

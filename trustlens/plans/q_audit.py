@@ -28,33 +28,24 @@ def feature_rows(spark, sf_dir):
     # P1 on the wire form: the context map is re-derived from the JSON snapshot here
     f = a.select("event_id", "timestamp_ns", "latency_ms", "risk_score", "decision",
                  ev.flatten_context("context_snapshot").alias("context"))
-    out = f.select("event_id", ev.feature_rows(f).columns and F.col("latency_ms"),
-                   F.round("risk_score", R).alias("risk_score"),
-                   ev.ctx_number("context", "env", "$.distance_km").alias("distance_km"),
-                   ev.hour_of_day(ev.ns_to_ts("timestamp_ns")).alias("hour_of_day"),
-                   ev.decision_code("decision").alias("decision"),
-                   F.round(ev.ctx_number("context", "device", "$.trust_score"), R).alias("device_trust_score"),
-                   ev.ctx("context", "geo").alias("geo"),
-                   F.date_format(ev.ns_to_ts(ev.minute_ns("timestamp_ns")), "yyyy-MM-dd HH:mm").alias("minute"),
-                   ev.yyyymm(ev.ns_to_ts("timestamp_ns")).alias("yyyymm"))
-    return out
+    return f.select("event_id", *ev.feature_columns(), ev.ctx("context", "geo").alias("geo"),
+                    F.date_format(ev.ns_to_ts(ev.minute_ns("timestamp_ns")), "yyyy-MM-dd HH:mm").alias("minute"),
+                    ev.yyyymm(ev.ns_to_ts("timestamp_ns")).alias("yyyymm")
+                    ).withColumns({c: F.round(c, R) for c in ("risk_score", "device_trust_score")})
 
 
 @query("stream_features", "P9", f"""WITH {AUDIT_CTE}
 SELECT event_id, latency_ms AS latency, round(risk_score, {R}) AS risk_score, distance_km AS distance FROM audit""")
 def stream_features(spark, sf_dir):
     a = audit_events(spark, sf_dir)
-    return a.select("event_id", *ev.stream_features(a).columns and [
-        F.coalesce(F.col("latency_ms"), F.lit(0.0)).alias("latency"),
-        F.round(F.coalesce(F.col("risk_score"), F.lit(0.0)), R).alias("risk_score"),
-        ev.ctx_number("context", "env", "$.distance_km").alias("distance")])
+    return a.select("event_id", *ev.stream_columns()).withColumn("risk_score", F.round("risk_score", R))
 
 
 @query("scan_user_window", "S8 F1 F2", f"""WITH {AUDIT_CTE}
 SELECT event_id, user_did, latency_ms FROM audit
 WHERE user_did = 'u7' AND timestamp_ns >= {AS_OF_NS - 10 * 86400 * NS}""")
 def scan_user_window(spark, sf_dir):
-    a = audit_events(spark, sf_dir)
+    a = audit_events(spark, sf_dir, AS_OF_NS - 10 * 86400 * NS, "u7")
     return trailing(for_user(a, "u7"), AS_OF, 10 * 86400).select("event_id", "user_did", "latency_ms")
 
 

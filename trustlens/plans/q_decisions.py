@@ -72,12 +72,15 @@ SELECT request_id, resource_hash = 'P' AS denied_by_panic_mode,
        CASE WHEN resource_hash = 'P' THEN true ELSE requires_biometric END AS requires_biometric,
        CASE WHEN resource_hash = 'P' THEN true ELSE block END AS block,
        CASE WHEN resource_hash = 'P' THEN true ELSE alert END AS alert,
-       round(CASE WHEN resource_hash = 'P' THEN 1.0 ELSE risk END, {R}) AS risk_score FROM r""")
+       round(CASE WHEN resource_hash = 'P' THEN 1.0 ELSE risk END, {R}) AS risk_score,
+       CASE WHEN resource_hash = 'P' THEN 'true' END AS tag FROM r""")
 def fail_closed(spark, sf_dir):
     r = access_requests(spark, sf_dir)
-    d = D.decide(r).withColumn("risk_score", D.request_risk(r))
+    d = D.decide(r).withColumn("risk_score", D.request_risk(r)).withColumn(
+        "context_snapshot", F.to_json(F.struct(F.col("context.distance_km").alias("km"))))
     out = D.fail_closed(d, F.col("resource.hash") == "P")
-    return out.select("request_id", "denied_by_panic_mode", *D.FLAGS, F.round("risk_score", R).alias("risk_score"))
+    return out.select("request_id", "denied_by_panic_mode", *D.FLAGS, F.round("risk_score", R).alias("risk_score"),
+                      F.get_json_object("context_snapshot", "$.denied_by_panic_mode").alias("tag"))
 
 
 @query("decision_report", "D7", f"""WITH {DECIDED}

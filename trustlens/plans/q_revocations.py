@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
+from ..session import ensure_checkpoint_dir
 from ..operators import revocations as RV
 from .bindings import REVOCATIONS_CTE, credential_probe, revocation_log
 from .registry import query
@@ -29,9 +32,11 @@ def current_revocations(spark, sf_dir):
 @query("merge_replicas", "R5 R7 R8", f"WITH {LWW} SELECT * FROM cur")
 def merge_replicas(spark, sf_dir):
     log = revocation_log(spark, sf_dir)
-    # each replica's own state, merged in a different order than written: same answer
-    parts = [RV.current_revocations(log.filter(F.col("replica") == r)) for r in (2, 0, 1)]
-    return RV.merge_replicas(*parts).select("credential_id", "timestamp", "issuer_did", "reason")
+    # one replica's state as a stored snapshot, merged with what all the others logged
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/revocations-{uuid.uuid4().hex}"
+    RV.save_snapshot(RV.current_revocations(log.filter("replica = 0")), path)
+    return RV.load_snapshot(spark, path, log.filter("replica <> 0")).select(
+        "credential_id", "timestamp", "issuer_did", "reason")
 
 
 @query("count_revoked", "R4", f"WITH {LWW} SELECT count(DISTINCT credential_id) AS revoked FROM cur")
@@ -41,24 +46,24 @@ def count_revoked(spark, sf_dir):
 
 @query("apply_revocations", "R1", f"""WITH {REVOCATIONS_CTE},
 {_lww_sql("(SELECT * FROM revlog WHERE replica = 0)", "st")},
-{_lww_sql("(SELECT * FROM revlog WHERE replica = 1)", "ch")}
+{_lww_sql("(SELECT * FROM revlog WHERE replica <> 0)", "ch")}
 SELECT ch.credential_id, st.credential_id IS NULL AS is_new,
        st.credential_id IS NOT NULL AND (ch.timestamp, ch.issuer_did, ch.reason) > (st.timestamp, st.issuer_did, st.reason) AS overwritten
 FROM ch LEFT JOIN st ON ch.credential_id = st.credential_id""")
 def apply_revocations(spark, sf_dir):
     log = revocation_log(spark, sf_dir)
     st = RV.current_revocations(log.filter("replica = 0"))
-    _, flags = RV.apply_revocations(st, log.filter("replica = 1"))
+    _, flags = RV.apply_revocations(st, log.filter("replica <> 0"))
     return flags
 
 
 @query("apply_revocations_state", "R1", f"""WITH {REVOCATIONS_CTE},
-{_lww_sql("(SELECT * FROM revlog WHERE replica IN (0, 1))", "st")}
+{_lww_sql("revlog", "st")}
 SELECT * FROM st""")
 def apply_revocations_state(spark, sf_dir):
     log = revocation_log(spark, sf_dir)
     st = RV.current_revocations(log.filter("replica = 0"))
-    new, _ = RV.apply_revocations(st, log.filter("replica = 1"))
+    new, _ = RV.apply_revocations(st, log.filter("replica <> 0"))
     return new.select("credential_id", "timestamp", "issuer_did", "reason")
 
 
@@ -81,7 +86,7 @@ def state_diff(spark, sf_dir):
 def _probe_sql(kind: str) -> str:
     base = f"""WITH {REVOCATIONS_CTE},
 p AS (SELECT 'cred-' || CAST(c_custkey AS VARCHAR) AS credential_id, c_name FROM customer),
-k AS (SELECT DISTINCT credential_id FROM revlog WHERE replica = 0)"""
+k AS (SELECT DISTINCT credential_id FROM revlog)"""
     if kind == "flag":
         return base + """
 SELECT p.credential_id, p.c_name, k.credential_id IS NOT NULL AS revoked FROM p LEFT JOIN k USING (credential_id)"""
@@ -92,7 +97,7 @@ SELECT credential_id, c_name FROM p WHERE {op}EXISTS (SELECT 1 FROM k WHERE k.cr
 
 def _probe(kind):
     def build(spark, sf_dir):
-        revs = revocation_log(spark, sf_dir).filter("replica = 0")
+        revs = RV.current_revocations(revocation_log(spark, sf_dir))  # of all replicas
         return RV.check_revoked(credential_probe(spark, sf_dir), revs, kind)
     return build
 
@@ -103,7 +108,8 @@ for _k in ("flag", "revoked", "valid"):
 
 @query("convergence", "R9", f"""WITH {REVOCATIONS_CTE},
 st AS (SELECT credential_id, replica, max((timestamp, issuer_did, reason)) AS e FROM revlog GROUP BY ALL),
-pairs AS (SELECT * FROM (VALUES (0, 1), (0, 2), (1, 2)) t(a, b)),
+r AS (SELECT DISTINCT replica FROM revlog),
+pairs AS (SELECT x.replica AS a, y.replica AS b FROM r x JOIN r y ON x.replica < y.replica),
 j AS (SELECT p.a, p.b, x.e AS ea, y.e AS eb
       FROM pairs p, (SELECT DISTINCT credential_id FROM st) c
       LEFT JOIN st x ON x.credential_id = c.credential_id AND x.replica = p.a
@@ -115,13 +121,13 @@ SELECT CAST(a AS INTEGER) AS replica_a, CAST(b AS INTEGER) AS replica_b,
        count(*) FILTER (WHERE (ea IS NULL) <> (eb IS NULL) OR ea <> eb) = 0 AS converged
 FROM j GROUP BY ALL""")
 def convergence(spark, sf_dir):
-    return RV.convergence(revocation_log(spark, sf_dir), replicas=[0, 1, 2])
+    return RV.convergence(revocation_log(spark, sf_dir))
 
 
 @query("reason_sets", "R12", f"""WITH {REVOCATIONS_CTE},
 s AS (SELECT credential_id,
              list_sort(list_distinct(list(reason) FILTER (WHERE replica = 0))) AS a,
-             list_sort(list_distinct(list(reason) FILTER (WHERE replica = 1))) AS b
+             list_sort(list_distinct(list(reason) FILTER (WHERE replica <> 0))) AS b
       FROM revlog GROUP BY credential_id)
 SELECT credential_id, list_sort(list_distinct(list_concat(coalesce(a, []), coalesce(b, [])))) AS set_union,
        list_sort(list_intersect(coalesce(a, []), coalesce(b, []))) AS set_intersection,
@@ -132,7 +138,7 @@ def reason_sets(spark, sf_dir):
     e = F.array().cast("array<string>")
     s = log.groupBy("credential_id").agg(
         F.coalesce(F.collect_set(F.when(F.col("replica") == 0, F.col("reason"))), e).alias("a"),
-        F.coalesce(F.collect_set(F.when(F.col("replica") == 1, F.col("reason"))), e).alias("b"))
+        F.coalesce(F.collect_set(F.when(F.col("replica") != 0, F.col("reason"))), e).alias("b"))
     return s.select("credential_id", RV.set_union("a", "b").alias("set_union"),
                     RV.set_intersection("a", "b").alias("set_intersection"),
                     RV.set_difference("a", "b").alias("set_difference"))
@@ -140,14 +146,14 @@ def reason_sets(spark, sf_dir):
 
 @query("replica_set_ops", "R12", f"""WITH {REVOCATIONS_CTE},
 a AS (SELECT DISTINCT credential_id FROM revlog WHERE replica = 0),
-b AS (SELECT DISTINCT credential_id FROM revlog WHERE replica = 1)
+b AS (SELECT DISTINCT credential_id FROM revlog WHERE replica <> 0)
 SELECT 'union' AS op, count(*) AS n FROM (SELECT * FROM a UNION SELECT * FROM b)
 UNION ALL SELECT 'intersect', count(*) FROM (SELECT * FROM a INTERSECT SELECT * FROM b)
 UNION ALL SELECT 'except', count(*) FROM (SELECT * FROM a EXCEPT SELECT * FROM b)""")
 def replica_set_ops(spark, sf_dir):
     log = revocation_log(spark, sf_dir)
     a = log.filter("replica = 0").select("credential_id")
-    b = log.filter("replica = 1").select("credential_id")
+    b = log.filter("replica <> 0").select("credential_id")
     u = a.union(b).distinct().agg(F.count(F.lit(1)).alias("n")).withColumn("op", F.lit("union"))
     i = a.intersect(b).agg(F.count(F.lit(1)).alias("n")).withColumn("op", F.lit("intersect"))
     x = a.subtract(b).agg(F.count(F.lit(1)).alias("n")).withColumn("op", F.lit("except"))

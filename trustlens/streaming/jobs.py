@@ -11,7 +11,7 @@ import json
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.events import ctx_number, yyyymm
+from ..functions.events import yyyymm
 from ..model import STDDEV_EPSILON, Z_THRESHOLD
 from ..operators.revocations import ENTRY, KEY, merge_replicas
 
@@ -23,12 +23,36 @@ def with_event_time(df: DataFrame) -> DataFrame:
     return df.withColumn("ts", F.timestamp_micros(F.floor(F.col("timestamp_ns") / 1000).cast("long")))
 
 
+def _fs(spark, path: str):
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
+def _numbered(spark, root: str, prefix: str) -> list[int]:
+    """The numbers of the complete folders ``root/<prefix><number>``, in order."""
+    fs, p = _fs(spark, root)
+    if not fs.exists(p):
+        return []
+    names = [st.getPath().getName() for st in fs.listStatus(p)]
+    return sorted(int(x[len(prefix):]) for x in names if x.startswith(prefix)
+                  and fs.exists(_fs(spark, f"{root}/{x}/_SUCCESS")[1]))
+
+
+def stream_id(spark, checkpoint: str) -> str:
+    """The id that a query keeps over restarts, from its checkpoint; a new checkpoint has another."""
+    return json.loads(spark.read.text(f"{checkpoint.rstrip('/')}/metadata").first()[0])["id"]
+
+
 def write_audit(stream: DataFrame, path: str, checkpoint: str, trigger: dict | None = None):
-    """Idempotent by batch id - each batch overwrites only its own ``batch=<id>``
-    folder, so a retried batch replaces itself; the offset is committed after the write."""
+    """Idempotent by stream and batch id - each batch overwrites only its own
+    ``stream=<id>/batch=<id>`` folder, partitioned by month, so a retried batch replaces
+    itself, and a stream with a new checkpoint, whose batches count from 0 again, leaves
+    what others have written; the offset is committed after the write."""
     def sink(batch: DataFrame, batch_id: int):
-        (batch.withColumn("yyyymm", yyyymm(F.col("ts")) if "ts" in batch.columns else F.lit(None))
-              .write.mode("overwrite").parquet(f"{path}/batch={batch_id}"))
+        out = with_event_time(batch)
+        folder = f"{path}/stream={stream_id(batch.sparkSession, checkpoint)}/batch={batch_id}"
+        out.withColumn("yyyymm", yyyymm(F.col("ts"))).write.mode("overwrite").partitionBy("yyyymm").parquet(folder)
     w = stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(sink)
     return w.trigger(**(trigger or {"availableNow": True})).start()
 
@@ -50,32 +74,25 @@ def stream_rollup_1m(events: DataFrame, watermark: str = "10 minutes") -> DataFr
 
 def route_late(stream: DataFrame, on_time_path: str, late_path: str, checkpoint: str,
                delay_seconds: int = 600, trigger: dict | None = None):
-    """Rows older than (max event time seen so far - delay) go to a side table.  The
-    watermark is kept in a small JSON file next to the checkpoint so a restart resumes it;
-    each batch writes its own folders (idempotent by batch id)."""
-    state_file = f"{checkpoint.rstrip('/')}-late-watermark"
-
-    def read_wm(spark):
-        try:
-            return json.loads(spark.read.text(state_file).first()[0])["wm"]
-        except Exception:  # noqa: BLE001 - no state yet
-            return None
+    """Rows older than (max event time seen so far - delay) go to a side table.  Each
+    batch leaves its mark in a folder of its own next to the checkpoint and starts from the
+    mark of the batch before it, so a retried or restarted batch routes its rows alike."""
+    marks = f"{checkpoint.rstrip('/')}-late-watermark"
 
     def sink(batch: DataFrame, batch_id: int):
         spark = batch.sparkSession
+        before = [n for n in _numbered(spark, marks, "batch=") if n < batch_id]
+        wm = spark.read.parquet(f"{marks}/batch={before[-1]}").first()["wm"] if before else None
         b = with_event_time(batch)
-        wm = read_wm(spark)
         late = F.lit(False) if wm is None else (F.unix_micros("ts") < F.lit(int(wm)))
         b = b.withColumn("_late", late).persist()
         b.filter(~F.col("_late")).drop("_late").write.mode("overwrite").parquet(f"{on_time_path}/batch={batch_id}")
         b.filter(F.col("_late")).drop("_late").write.mode("overwrite").parquet(f"{late_path}/batch={batch_id}")
         mx = b.agg(F.max(F.unix_micros("ts"))).first()[0]
         b.unpersist()
-        if mx is not None:
-            new = mx - delay_seconds * 1_000_000
-            if wm is None or new > wm:
-                spark.createDataFrame([(json.dumps({"wm": new}),)], "value string") \
-                    .coalesce(1).write.mode("overwrite").text(state_file)
+        seen = [x for x in (wm, None if mx is None else mx - delay_seconds * 1_000_000) if x is not None]
+        if seen:
+            spark.createDataFrame([(max(seen),)], "wm long").write.mode("overwrite").parquet(f"{marks}/batch={batch_id}")
 
     w = stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(sink)
     return w.trigger(**(trigger or {"availableNow": True})).start()
@@ -93,44 +110,60 @@ def two_consumers(stream: DataFrame, first, second, checkpoint_root: str):
     return first(stream, f"{checkpoint_root}/a"), second(stream, f"{checkpoint_root}/b")
 
 
-def maintain_revocations(changes: DataFrame, state_root: str, checkpoint: str, trigger: dict | None = None):
-    """Merge each batch of revocation entries into the current state.  State versions
-    are written to ``state_root/v=<batch_id>`` (never overwriting the version being read),
-    so a retried batch recomputes the same version."""
-    def latest(spark, below: int):
-        jvm = spark.sparkContext._jvm
-        p = jvm.org.apache.hadoop.fs.Path(state_root)
-        fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-        if not fs.exists(p):
-            return None
-        # newest complete version older than this batch (a retry ignores its own output)
-        vs = [int(st.getPath().getName()[2:]) for st in fs.listStatus(p)
-              if st.getPath().getName().startswith("v=") and fs.exists(
-                  jvm.org.apache.hadoop.fs.Path(f"{st.getPath().toString()}/_SUCCESS"))]
-        vs = [v for v in vs if v < below]
-        return max(vs) if vs else None
+def revocation_state(spark, state_root: str) -> DataFrame:
+    """The current state: the newest compacted version and the batches after it."""
+    base = _numbered(spark, state_root, "v=")
+    after = [n for n in _numbered(spark, state_root, "d=") if not base or n > base[-1]]
+    parts = ([f"{state_root}/v={base[-1]}"] if base else []) + [f"{state_root}/d={n}" for n in after]
+    if not parts:
+        schema = f"{KEY} string, issuer_did string, timestamp long, reason string"
+        return spark.createDataFrame([], schema).select(KEY, *ENTRY)
+    return merge_replicas(*[spark.read.parquet(p) for p in parts])
 
+
+def maintain_revocations(changes: DataFrame, state_root: str, checkpoint: str, trigger: dict | None = None,
+                         compact_every: int = 50):
+    """Each batch writes only its own entries, merged, to ``state_root/d=<batch_id>``; a
+    retried batch replaces its folder.  Every ``compact_every`` batches the state becomes a
+    version ``v=<batch_id>``, and batches and versions before the version before it are
+    deleted, so readers of the previous version are not disturbed."""
     def sink(batch: DataFrame, batch_id: int):
         spark = batch.sparkSession
-        prev = latest(spark, batch_id)
-        cur = batch.select(KEY, *ENTRY)
-        if prev is not None:
-            cur = merge_replicas(spark.read.parquet(f"{state_root}/v={prev}"), cur)
-        else:
-            cur = merge_replicas(cur)
-        cur.write.mode("overwrite").parquet(f"{state_root}/v={batch_id}")
+        merge_replicas(batch.select(KEY, *ENTRY)).write.mode("overwrite").parquet(f"{state_root}/d={batch_id}")
+        if batch_id % compact_every == compact_every - 1:
+            versions = [n for n in _numbered(spark, state_root, "v=") if n < batch_id]
+            parts = ([f"{state_root}/v={versions[-1]}"] if versions else []) + [
+                f"{state_root}/d={n}" for n in _numbered(spark, state_root, "d=")
+                if n <= batch_id and (not versions or n > versions[-1])]
+            merge_replicas(*[spark.read.parquet(p) for p in parts]).write.mode("overwrite").parquet(
+                f"{state_root}/v={batch_id}")
+            if versions:
+                fs, _ = _fs(spark, state_root)
+                for prefix in ("v=", "d="):
+                    for n in _numbered(spark, state_root, prefix):
+                        if n < versions[-1] or (prefix == "d=" and n == versions[-1]):
+                            fs.delete(_fs(spark, f"{state_root}/{prefix}{n}")[1], True)
 
     w = changes.writeStream.option("checkpointLocation", checkpoint).foreachBatch(sink)
     return w.trigger(**(trigger or {"availableNow": True})).start()
 
 
-def enforce_stream(requests: DataFrame, revocations: DataFrame, key: str = KEY) -> DataFrame:
-    """Stream-static join; each streaming request gets ``revoked`` from the current
-    revocation table (re-read every micro-batch)."""
+def flag_revoked(requests: DataFrame, revocations: DataFrame, key: str = KEY) -> DataFrame:
+    """J10 on a batch: each request gets ``revoked`` from a revocation table."""
     revs = revocations.select(key).distinct().withColumn("revoked", F.lit(True))
     return requests.join(revs, key, "left").withColumn("revoked", F.coalesce("revoked", F.lit(False)))
 
 
+def enforce_stream(requests: DataFrame, state_root: str, path: str, checkpoint: str, trigger: dict | None = None):
+    """Each micro-batch of requests is joined with the revocation state as R11 has it
+    when the batch starts, and written to ``path/batch=<id>``."""
+    def sink(batch: DataFrame, batch_id: int):
+        state = revocation_state(batch.sparkSession, state_root)
+        flag_revoked(batch, state).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+    w = requests.writeStream.option("checkpointLocation", checkpoint).foreachBatch(sink)
+    return w.trigger(**(trigger or {"availableNow": True})).start()
+
+
 def score_stream(events: DataFrame, baseline: DataFrame, watermark: str = "10 minutes",
                  window: str = "1 minute") -> DataFrame:
     """M5: live per-user score: windowed mean latency joined with a static baseline
@@ -149,7 +182,3 @@ def score_stream(events: DataFrame, baseline: DataFrame, watermark: str = "10 mi
 def alerts(scored: DataFrame, threshold: float = 0.8, col: str = "anomaly_score") -> DataFrame:
     """alert filter."""
     return scored.filter(F.col(col) > threshold)
-
-
-def stream_distance(df: DataFrame) -> DataFrame:
-    return df.withColumn("distance_km", ctx_number("context", "env", "$.distance_km"))
