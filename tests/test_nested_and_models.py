@@ -66,14 +66,26 @@ def test_half_space_outlier_ranks_first(spark):
 
 
 def test_normalize_and_denormalize(spark):
+    import json
     from trustlens.operators import normalize as NZ
-    df = spark.createDataFrame([(1, '{"Type":"VM","NAME":"a","properties":{"Size":"L","name":"b"}}')], "id int, raw string")
-    al = spark.createDataFrame([("vm", "size", "$.size")], "type string, alias string, path string")
-    n = NZ.normalize_resources(df, "raw", "id", al).first()
-    assert n.normalized == {"type": "VM", "name": "a", "size": "L"}
-    assert n.aliases == {"size": "L"}
-    d = NZ.denormalize(spark.createDataFrame([({"type": "VM"},)], "m map<string,string>"), "m", {"type": "Type"})
-    assert d.first().denormalized == '{"Type":"VM"}'
+    raw = {"Type": "VM", "Name": "a", "Size": 5, "Tags": {"K": "v"},
+           "properties": {"size": "hidden", "On": True, "Disk": {"GB": 7}, "Zones2": [1, 2], "none": None}}
+    df = spark.createDataFrame([("1", json.dumps(raw)), ("2", "no json"), ("3", '{"TYPE":"vm","type":"other"}')],
+                               "id string, raw string")
+    al = spark.createDataFrame([("vm", "gb", "$.disk.GB", None), ("VM", "gb", "$.size", "2020"), ("vm", "on", "$.on", None),
+                                ("x", "y", "$.z", None)], "type string, alias string, path string, api_version string")
+    n = NZ.normalize_resources(df, "raw", "id", al)
+    by = {r.id: json.loads(r.j) for r in n.select("id", F.to_json("normalized").alias("j")).collect()}
+    assert by["1"] == {"type": "VM", "name": "a", "size": 5, "tags": {"K": "v"}, "on": True, "disk": {"GB": 7},
+                       "zones2": [1, 2], "none": None}
+    assert by["2"] == {} and by["3"] == {"type": "vm"}
+    assert {r.id: r.aliases for r in n.collect()} == {"1": {"gb": "7", "on": "true"}, "2": None,
+                                                      "3": {"gb": None, "on": None}}
+    v = NZ.normalize_resources(df, "raw", "id", al, F.lit("2020")).filter("id = '1'").first()
+    assert v.aliases == {"gb": "5", "on": "true"}
+    d = NZ.denormalize(n, "normalized", {"type": "Type", "size": "Size", "on": "On"}).filter("id = '1'").first()
+    assert json.loads(d.denormalized) == {"Type": "VM", "name": "a", "tags": {"K": "v"}, "properties": {
+        "Size": 5, "On": True, "disk": {"GB": 7}, "zones2": [1, 2], "none": None}}
 
 
 def test_rules_with_literals_that_are_rule_names(spark):

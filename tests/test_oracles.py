@@ -56,7 +56,6 @@ def test_query_matches_oracle(spark, duck, name):
 
 
 def test_queries_without_sql_have_tests_of_their_own():
-    """half_space_scores and normalize_resources: test_nested_and_models; the training-data
-    queries without SQL: tests/llm."""
+    """half_space_scores: test_nested_and_models; the training-data queries without SQL: tests/llm."""
     mine = {n for n in set(E.queries()) - set(E.oracle_sql()) if not n.startswith("op") and n != "pipeline"}
-    assert mine == {"half_space_scores", "normalize_resources"}
+    assert mine == {"half_space_scores"}

@@ -290,18 +290,30 @@ def resolve_ids(spark, sf_dir):
     return I.resolve_ids(ids, _docs(spark, sf_dir), PREFIX)
 
 
-@query("normalize_resources", "C24 C25")
+@query("normalize_resources", "C24 C25", f"""WITH {RESOURCES_CTE}
+SELECT id, 5 AS keys, round(CASE WHEN key % 2 = 0 THEN totalprice ELSE key END, 4) AS price, type AS raw_type,
+       round(totalprice, 4) AS raw_price, status AS raw_status, location AS raw_location, key % 3 = 0 AS raw_flag
+FROM res""")
 def normalize_resources(spark, sf_dir):
     from ..operators import normalize as NZ
     r = resources(spark, sf_dir)
-    raw = r.select("id", F.to_json(F.struct(F.col("type").alias("Type"), F.col("location").alias("Location"),
-                                            F.struct(F.col("totalprice").alias("TotalPrice"),
-                                                     F.col("type").alias("type"),
-                                                     F.col("tags").alias("Tags")).alias("properties"))).alias("raw"))
-    # Fixed values of the binding: one alias per resource type, and the casing table.
+    flag = (F.col("key") % 3 == 0).alias("Flag")
+    raw = r.select("id", "key", F.to_json(F.struct(
+        F.col("type").alias("Type"), F.col("location").alias("Location"),
+        F.struct(F.col("totalprice").alias("TotalPrice"), F.lit("hidden by the root").alias("type"), flag,
+                 F.struct(F.col("key").alias("Key"), F.col("tags")["status"].alias("status")).alias("State"))
+        .alias("Properties"))).alias("raw"))
+    # Fixed values of the binding: an alias per resource type with a path of its own for API version
+    # 2, and the casing table.
     types = table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("type")).distinct()
-    aliases = types.select("type", F.lit("price").alias("alias"), F.lit("$.totalprice").alias("path"))
-    n = NZ.normalize_resources(raw, "raw", "id", aliases)
-    d = NZ.denormalize(n, "normalized", {"type": "Type", "location": "Location", "totalprice": "TotalPrice"})
-    return d.select("id", F.size("normalized").alias("keys"), F.element_at("aliases", F.lit("price")).alias("price"),
-                    "denormalized")
+    of = lambda path, api: types.select("type", F.lit("price").alias("alias"), F.lit(path).alias("path"),
+                                        F.lit(api).cast("string").alias("api_version"))
+    aliases = of("$.totalprice", None).unionByName(of("$.state.Key", "2"))
+    n = NZ.normalize_resources(raw, "raw", "id", aliases, F.when(F.col("key") % 2 == 1, "2").otherwise("1"))
+    d = NZ.denormalize(n, "normalized", {"type": "Type", "location": "Location", "totalprice": "TotalPrice", "flag": "Flag"})
+    back = lambda path: F.get_json_object("denormalized", path)
+    return d.select("id", F.size("normalized").alias("keys"),
+                    F.round(F.element_at("aliases", F.lit("price")).cast("double"), 4).alias("price"),
+                    back("$.Type").alias("raw_type"), F.round(back("$.properties.TotalPrice").cast("double"), 4).alias("raw_price"),
+                    back("$.properties.state.status").alias("raw_status"), back("$.Location").alias("raw_location"),
+                    back("$.properties.Flag").cast("boolean").alias("raw_flag"))
