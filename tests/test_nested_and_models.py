@@ -65,6 +65,47 @@ def test_half_space_outlier_ranks_first(spark):
     assert top.latency == 250.0
 
 
+def test_half_space_scores_match_a_plain_version(spark):
+    """Windows 0, 1 and 3 have events: 1 is scored by 0, 3 by 1; parts of a window agree."""
+    import numpy as np
+    from trustlens.operators.halfspace import _leaves, _trees
+    rng = np.random.default_rng(1)
+    n, height, n_trees = 300, 4, 3
+    w = np.array([0, 1, 3])[rng.integers(0, 3, n)]
+    x = rng.normal(size=(n, 2))
+    df = spark.createDataFrame([(i, int(w[i]) * 10_000_000_000, float(x[i, 0]), float(x[i, 1])) for i in range(n)],
+                               "event_id long, timestamp_ns long, a double, b double")
+    trees, want, last = _trees(n_trees, height, 2, 42), {}, None
+    for k in (0, 1, 3):
+        ids = np.flatnonzero(w == k)
+        base = x[last] if last is not None else x[ids]
+        at = _leaves(1 / (1 + np.exp(-(x[ids] - base.mean(0)) / np.maximum(base.std(0), 1e-9))), trees, height)
+        for row, i in zip(at, ids):
+            if last is None:
+                want[i] = None
+                continue
+            total = 0.0
+            for t in range(n_trees):
+                for d in range(height + 1):
+                    mass = masses.get((t, d, row[t] >> (height - d)), 0)
+                    total += mass * 2.0 ** d
+                    if mass < 0.1 * len(last):
+                        break
+            want[i] = 1 - total / (n_trees * (2.0 ** (height + 1) - 1) * len(last))
+        masses, last = {}, ids
+        for row in at:
+            for t in range(n_trees):
+                for d in range(height + 1):
+                    key = (t, d, row[t] >> (height - d))
+                    masses[key] = masses.get(key, 0) + 1
+    for part_rows in (50_000, 20):
+        got = half_space_scores(df, 10, n_trees=n_trees, height=height, features=("a", "b"), part_rows=part_rows).collect()
+        assert len(got) == n
+        for r in got:
+            e = want[r.event_id]
+            assert (r.hst_score is None) if e is None else abs(r.hst_score - e) < 1e-9
+
+
 def test_normalize_and_denormalize(spark):
     import json
     from trustlens.operators import normalize as NZ

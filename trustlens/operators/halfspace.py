@@ -1,17 +1,17 @@
 """Half-Space-Trees anomaly scores, parallel form.
 
 Tan, Ting & Liu (IJCAI 2011): random half-space trees over a workspace of the
-(scaled) features; the node masses of window w-1 score the events of window w, so
-"score first, learn after" holds between windows.  Windows are event-time buckets
-(per optional key), never a global row number.
+(scaled) features; the node masses of one window score the events of the next window
+that has events, so "score first, learn after" holds between windows.  Windows are
+event-time buckets (per optional key), never a global row number.
 
-Plan: (1) per-window feature means/sds scale window w with window w-1 statistics;
-(2) a pandas UDF maps each event to its leaf in each tree (numpy, vectorized per
-Arrow batch); (3) masses = count per (tree, leaf, window), summed up to every
-ancestor (parent = leaf >> 1) - a partial aggregate; (4) for each leaf seen in window
-w the ancestor masses of window w-1 are joined and reduced to a per-(tree, leaf)
-score with the size-limit stop; (5) events sum their 25 tree scores.
-All joins are equi joins; no per-event Python beyond the tree walk.
+Plan: (1) the statistics of the window before scale a window; (2) a pandas UDF maps each
+event to its leaf in each tree (numpy, vectorized per Arrow batch) and leaves are counted -
+a partial aggregate - and summed up to every ancestor (parent = leaf >> 1); (3) for each
+leaf that the next window has, the ancestor masses are reduced to a score, with the
+size-limit stop, and a window's scores are gathered to one row per tree (at most as many
+leaves as a tree has); (4) events, in salted parts of a window, meet the 25 rows of their
+window once and are scored in one vectorized pass.  Events are shuffled once.
 """
 
 from __future__ import annotations
@@ -33,80 +33,103 @@ def _trees(n_trees: int, height: int, n_dims: int, seed: int):
     return dims, sq - r, sq + r
 
 
-def _leaf_udf(n_trees: int, height: int, n_dims: int, seed: int):
-    dims, lo0, hi0 = _trees(n_trees, height, n_dims, seed)
+def _leaves(x: np.ndarray, trees, height: int) -> np.ndarray:
+    """The leaf of each row of ``x`` in each tree (heap numbering, the root is 1)."""
+    dims, lo0, hi0 = trees
+    n, n_trees = x.shape[0], len(dims)
+    out = np.empty((n, n_trees), dtype=np.int32)
+    rows = np.arange(n)
+    for t in range(n_trees):
+        node = np.ones(n, dtype=np.int64)
+        lo = np.tile(lo0[t], (n, 1))
+        hi = np.tile(hi0[t], (n, 1))
+        for _ in range(height):
+            d = dims[t, node]
+            mid = (lo[rows, d] + hi[rows, d]) / 2
+            left = x[rows, d] < mid
+            hi[rows[left], d[left]] = mid[left]
+            lo[rows[~left], d[~left]] = mid[~left]
+            node = node * 2 + (~left)
+        out[:, t] = node
+    return out
 
+
+def _leaf_udf(trees, height: int):
     @F.pandas_udf(T.ArrayType(T.IntegerType()))
     def leaves(*cols: pd.Series) -> pd.Series:
-        x = np.column_stack([c.to_numpy(dtype=float) for c in cols])
-        n = x.shape[0]
-        out = np.empty((n, n_trees), dtype=np.int32)
-        rows = np.arange(n)
-        for t in range(n_trees):
-            node = np.ones(n, dtype=np.int64)
-            lo = np.tile(lo0[t], (n, 1))
-            hi = np.tile(hi0[t], (n, 1))
-            for _ in range(height):
-                d = dims[t, node]
-                mid = (lo[rows, d] + hi[rows, d]) / 2
-                left = x[rows, d] < mid
-                hi[rows[left], d[left]] = mid[left]
-                lo[rows[~left], d[~left]] = mid[~left]
-                node = node * 2 + (~left)
-            out[:, t] = node
-        return pd.Series(list(out))
+        return pd.Series(list(_leaves(np.column_stack([c.to_numpy(dtype=float) for c in cols]), trees, height)))
     return leaves
 
 
+def _score(trees, height: int, id_col: str, feats: list[str]):
+    """Scores a part of a window: its events, and per tree the leaves that have a score."""
+    def run(events: pd.DataFrame, model: pd.DataFrame) -> pd.DataFrame:
+        total = np.zeros(len(events))
+        if len(events):
+            at = _leaves(events[feats].to_numpy(dtype=float), trees, height)
+            for t, leaf, score in zip(model["_t"], model["_leaf"], model["_s"]):
+                leaf, score = np.asarray(leaf), np.asarray(score, dtype=float)
+                i = np.searchsorted(leaf, at[:, t]).clip(0, len(leaf) - 1)
+                total += np.where(leaf[i] == at[:, t], score[i], 0.0)
+        most = len(trees[0]) * (2.0 ** (height + 1) - 1) * events["_n"].to_numpy(dtype=float)
+        return pd.DataFrame({id_col: events[id_col], "hst_score": 1.0 - total / most})
+    return run
+
+
 def half_space_scores(df: DataFrame, window_seconds: int = 3600, key: str | None = None,
                       n_trees: int = 25, height: int = 15, seed: int = 42, id_col: str = "event_id",
-                      ts: str = "timestamp_ns", features=FEATURES) -> DataFrame:
+                      ts: str = "timestamp_ns", features=FEATURES, part_rows: int = 50_000) -> DataFrame:
     """M4: per event ``hst_score`` in [0, 1] (high = anomalous); NULL in a key's first
-    window (no model yet)."""
-    keys = [key] if key else []
-    feats = list(features)
+    window (no model yet).  A window without events is no window: the next one is scored by
+    the last one that has some."""
+    keys, feats = [key] if key else [], list(features)
+    trees = _trees(n_trees, height, len(feats), seed)
     x = df.select(id_col, ts, *keys, *feats).withColumn(
-        "_w", F.floor(F.col(ts) / F.lit(window_seconds * 1_000_000_000)).cast("long"))
-    # (1) scale window w with the statistics of window w-1 (logistic squash to [0, 1]);
-    # a key's first window has no predecessor: it is scaled with its own statistics and
-    # only learned from (its score is NULL)
-    st = x.groupBy(*keys, "_w").agg(F.count(F.lit(1)).alias("_n"),
+        "_t0", F.floor(F.col(ts) / F.lit(window_seconds * 1_000_000_000)).cast("long"))
+    # (1) scale a window with the statistics of the one before it (logistic squash to [0, 1]);
+    # a key's first window has none: it is scaled with its own and only learned from
+    st = x.groupBy(*keys, "_t0").agg(F.count(F.lit(1)).alias("_n"),
                                      *[F.avg(f).alias(f"_m_{f}") for f in feats],
                                      *[F.stddev_pop(f).alias(f"_s_{f}") for f in feats])
-    prev = st.select(*keys, (F.col("_w") + 1).alias("_w"), *[F.col(c).alias(f"_p{c}") for c in st.columns
-                                                            if c not in keys and c != "_w"])
-    x = x.join(st, keys + ["_w"], "inner").join(prev, keys + ["_w"], "left")
-    def stat(c):
-        return F.coalesce(F.col(f"_p{c}"), F.col(c))
-    scaled = [(1 / (1 + F.exp(-(F.col(f) - stat(f"_m_{f}")) / F.greatest(stat(f"_s_{f}"), F.lit(1e-9)))))
+    order = (Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))).orderBy("_t0")  # a row a window
+    st = st.withColumn("_w", F.row_number().over(order))
+    last = [c for c in st.columns if c.startswith(("_m_", "_s_", "_n"))]
+    st = st.select(*keys, "_t0", "_w", F.col("_n").alias("_here"), F.lag("_n").over(order).alias("_n"),
+                   *[F.coalesce(F.lag(c).over(order), F.col(c)).alias(c) for c in last if c != "_n"])
+    parts = F.greatest(F.lit(1), F.ceil(F.col("_here") / part_rows)).cast("int")
+    st = st.withColumn("_parts", parts)
+    x = x.join(st, [*keys, "_t0"])
+    scaled = [(1 / (1 + F.exp(-(F.col(f) - F.col(f"_m_{f}")) / F.greatest(F.col(f"_s_{f}"), F.lit(1e-9)))))
               .alias(f"_x{i}") for i, f in enumerate(feats)]
-    x = x.select(id_col, *keys, "_w", F.col("_p_n").alias("_n"), *scaled)
-    # (2) leaf per tree
-    leaf = _leaf_udf(n_trees, height, len(feats), seed)(*[F.col(f"_x{i}") for i in range(len(feats))])
-    x = x.withColumn("_leaves", leaf)
-    ev = x.select(id_col, *keys, "_w", "_n", F.posexplode("_leaves").alias("_t", "_leaf"))
-    # (3) masses per (tree, node, window): leaves counted, then summed to ancestors
-    lc = ev.groupBy(*keys, "_w", "_t", "_leaf").agg(F.count(F.lit(1)).alias("_c"))
-    anc = lc.select(*keys, "_w", "_t", F.explode(F.sequence(F.lit(0), F.lit(height))).alias("_d"), "_leaf", "_c")
-    anc = anc.withColumn("_node", F.expr(f"shiftright(_leaf, {height} - _d)"))
+    names = [f"_x{i}" for i in range(len(feats))]
+    x = x.select(id_col, *keys, "_w", "_n", F.pmod(F.xxhash64(id_col), F.col("_parts")).alias("_part"), *scaled)
+    # (2) masses per (tree, node, window): leaves counted, then summed to ancestors
+    leaf = _leaf_udf(trees, height)(*[F.col(c) for c in names])
+    lc = (x.select(*keys, "_w", "_n", F.posexplode(leaf).alias("_t", "_leaf"))
+          .groupBy(*keys, "_w", "_n", "_t", "_leaf").agg(F.count(F.lit(1)).alias("_c")))
+    up = F.explode(F.sequence(F.lit(0), F.lit(height))).alias("_d")
+    node = F.expr(f"shiftright(_leaf, {height} - _d)").alias("_node")
+    anc = lc.select(*keys, "_w", "_t", up, "_leaf", "_c").select("*", node)
     mass = anc.groupBy(*keys, "_w", "_t", "_d", "_node").agg(F.sum("_c").alias("_mass"))
-    mass = mass.withColumn("_w", F.col("_w") + 1)  # window w-1 masses score window w
-    # (4) per (tree, leaf) in window w: ancestor masses of w-1 with the size-limit stop
-    need = ev.filter(F.col("_n").isNotNull()).select(*keys, "_w", "_t", "_leaf", "_n").distinct()
-    path = need.select(*keys, "_w", "_t", "_leaf", "_n", F.explode(F.sequence(F.lit(0), F.lit(height))).alias("_d"))
-    path = path.withColumn("_node", F.expr(f"shiftright(_leaf, {height} - _d)"))
-    path = path.join(mass, keys + ["_w", "_t", "_d", "_node"], "left").fillna(0, ["_mass"])
-    limit = F.col("_n") * 0.1
+    mass = mass.withColumn("_w", F.col("_w") + 1)  # a window's masses score the next one
+    # (3) per (tree, leaf) of a window: ancestor masses of the one before, with the size-limit stop
+    path = (lc.filter(F.col("_n").isNotNull()).select(*keys, "_w", "_t", "_leaf", "_n", up).select("*", node)
+            .join(mass, [*keys, "_w", "_t", "_d", "_node"], "left").fillna(0, ["_mass"]))
+    steps = (path.groupBy(*keys, "_w", "_t", "_leaf", "_n")
+             .agg(F.array_sort(F.collect_list(F.struct("_d", "_mass"))).alias("_p")))  # height + 1 nodes
     # nodes after the first node whose mass is under the limit do not count
-    wp = Window.partitionBy(*keys, "_w", "_t", "_leaf").orderBy("_d").rowsBetween(Window.unboundedPreceding, -1)
-    path = path.withColumn("_stopped", F.coalesce(F.max((F.col("_mass") < limit).cast("int")).over(wp), F.lit(0)))
-    contrib = path.filter(F.col("_stopped") == 0).groupBy(*keys, "_w", "_t", "_leaf").agg(
-        F.sum(F.col("_mass") * F.pow(F.lit(2.0), F.col("_d"))).alias("_s"))
-    # (5) events sum their tree scores; normalized by the maximum possible mass score
-    sc = ev.join(contrib, keys + ["_w", "_t", "_leaf"], "left").groupBy(id_col, *keys, "_w", "_n").agg(
-        F.sum(F.coalesce("_s", F.lit(0.0))).alias("_score"))
-    max_score = F.lit(float(n_trees) * (2.0 ** (height + 1) - 1)) * F.col("_n")
-    out = sc.select(id_col, *keys, "_w", F.when(F.col("_n").isNotNull(), F.lit(1.0) - F.col("_score") / max_score)
-                    .alias("hst_score"))
-    return df.select(id_col, *[c for c in df.columns if c != id_col]).join(
-        out.drop("_w", *keys), id_col, "left")
+    small = F.transform("_p", lambda p: p["_mass"] < F.col("_n") * 0.1)
+    stop = F.array_position(small, True)
+    counted = F.when(stop > 0, F.slice("_p", 1, stop.cast("int"))).otherwise(F.col("_p"))
+    score = F.aggregate(counted, F.lit(0.0), lambda acc, p: acc + p["_mass"] * F.pow(F.lit(2.0), p["_d"]))
+    model = (steps.select(*keys, "_w", "_t", "_leaf", score.alias("_s")).groupBy(*keys, "_w", "_t")
+             .agg(F.array_sort(F.collect_list(F.struct("_leaf", "_s"))).alias("_l"))
+             .join(st.select(*keys, "_w", "_parts"), [*keys, "_w"])
+             .select(*keys, "_w", "_t", F.col("_l._leaf").alias("_leaf"), F.col("_l._s").alias("_s"),
+                     F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)).alias("_part")))
+    # (4) a window's parts meet its model
+    by = [*keys, "_w", "_part"]
+    model = model.select(*[F.col(c).alias(f"_m{c}") for c in by], "_t", "_leaf", "_s")
+    scored = (x.filter(F.col("_n").isNotNull()).groupBy(*by).cogroup(model.groupBy(*[f"_m{c}" for c in by]))
+              .applyInPandas(_score(trees, height, id_col, names), f"{id_col} {dict(df.dtypes)[id_col]}, hst_score double"))
+    return df.join(scored, id_col, "left")
