@@ -79,6 +79,9 @@ def coverage(df: DataFrame, as_of_ns: int, expected: int, ts="timestamp_ns") ->
                     F.when(pct >= 95, "PASS").when(pct >= 70, "WARN").otherwise("FAIL").alias("verdict"))
 
 
+TICKS_PER_SLICE = 4096
+
+
 def latency_summary(df: DataFrame, value: str, by=()) -> DataFrame:
     """Avg, p95, p99 by floor index sorted[int(n*p)], all rounded to 2."""
     out_by = list(by)
@@ -95,17 +98,24 @@ def latency_summary(df: DataFrame, value: str, by=()) -> DataFrame:
 def throughput_report(df: DataFrame, start_ns: int, tick_seconds: int, duration_ticks: int,
                       target_rate: int, ts="timestamp_ns", err="is_error", lat_us="latency_us"):
     """Per-tick running total, rate, cumulative errors and mean latency (integer us),
-    and the final verdict.  Ticks are aggregated first, so the running window only
-    sees one row per tick."""
+    and the final verdict.  Ticks are aggregated first and summed in slices, so no task sees
+    more than a slice's ticks or a row per slice."""
     tick = F.floor((F.col(ts) - F.lit(start_ns)) / F.lit(tick_seconds * 1_000_000_000)).cast("long")
     per = df.groupBy(tick.alias("t")).agg(F.count(F.lit(1)).alias("rate"),
                                           F.count(F.when(F.col(err), 1)).alias("_err"),
                                           F.sum(lat_us).alias("_lat"), F.count(lat_us).alias("_ns"))
-    w = Window.orderBy("t").rowsBetween(Window.unboundedPreceding, 0)
-    rep = per.select("t", F.sum("rate").over(w).alias("total"), "rate",
-                     F.sum("_err").over(w).alias("errors"),
-                     F.coalesce(F.try_divide(F.sum("_lat").over(w), F.sum("_ns").over(w)).cast("long"),
-                                F.lit(0)).alias("avg_lat_us"))
+    # running sums inside slices of ticks, started from the sums of the slices before
+    names = ["rate", "_err", "_lat", "_ns"]
+    per = per.withColumn("_s", F.floor(F.col("t") / TICKS_PER_SLICE))
+    before = Window.orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)  # one row per slice
+    carry = per.groupBy("_s").agg(*[F.sum(c).alias(c) for c in names]).select(
+        "_s", *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"b{c}") for c in names])
+    w = Window.partitionBy("_s").orderBy("t").rowsBetween(Window.unboundedPreceding, 0)
+    inside = per.select("_s", "t", "rate", *[F.coalesce(F.sum(c).over(w), F.lit(0)).alias(f"i{c}") for c in names])
+    run = {c: F.col(f"b{c}") + F.col(f"i{c}") for c in names}
+    rep = inside.join(carry, "_s").select(
+        "t", run["rate"].alias("total"), "rate", run["_err"].alias("errors"),
+        F.coalesce(F.try_divide(run["_lat"], run["_ns"]).cast("long"), F.lit(0)).alias("avg_lat_us"))
     fin = df.agg(F.count(F.lit(1)).alias("total_sent"), F.count(F.when(F.col(err), 1)).alias("total_errors"))
     real = F.floor(F.col("total_sent") / F.lit(max(duration_ticks, 1))).cast("long")
     verdict = (F.when((F.col("total_errors") == 0) & (real >= F.lit(target_rate * 80 // 100)), "PASS")

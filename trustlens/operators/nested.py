@@ -17,37 +17,60 @@ def _kind(v: Column) -> Column:
              .when(t == "STRING", "string").when(t == "BOOLEAN", "boolean").otherwise("number"))
 
 
+_BOXES = ("object", "array")
+
+
+def _children(boxes: DataFrame, *keep: str, folded: bool = False) -> DataFrame:
+    """One row per child of the container rows (path, kind, v): (*keep, path, kind, v)."""
+    place = "'[*]'" if folded else "'[' || e.pos || ']'"
+    kids = boxes.sparkSession.sql(
+        f"""SELECT {''.join(f'c.{k}, ' for k in keep)}
+                   CASE WHEN c.kind = 'array' THEN c.path || {place} ELSE c.path || '.' || e.key END AS path,
+                   e.value AS v
+            FROM {{boxes}} c, LATERAL variant_explode_outer(c.v) AS e
+            WHERE e.pos IS NOT NULL""", boxes=boxes)
+    return kids.withColumn("kind", _kind(F.col("v")))
+
+
+def _roots(df: DataFrame, json_col: str, *keep) -> DataFrame:
+    r = df.select(*keep, F.lit("$").alias("path"), F.parse_json(F.col(json_col)).alias("v"))
+    return r.withColumn("kind", _kind(F.col("v")))
+
+
+def _levels(roots: DataFrame, *keep: str, folded: bool = False):
+    """The nodes of each level.  Only the containers of a level are checkpointed: the next level
+    and its output are exploded from them, so leaves are never stored."""
+    ensure_checkpoint_dir(roots.sparkSession)
+    level = roots
+    while True:
+        yield level
+        boxes = level.filter(F.col("kind").isin(*_BOXES)).checkpoint(eager=True)
+        if boxes.isEmpty():
+            return
+        level = _children(boxes, *keep, folded=folded)
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
 def walk(df: DataFrame, json_col: str, id_col: str) -> DataFrame:
     """One row per (document, path, node) for every node, the root included.
     Paths use the ``$.key[0]`` form.  Level-by-level explode of containers; stops when
     no container is left (one small emptiness check per level)."""
-    spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
-    cur = df.select(F.col(id_col).alias("id"), F.lit("$").alias("path"),
-                    F.parse_json(F.col(json_col)).alias("v"))
-    # each level is checkpointed: the next level reads it instead of recomputing all
-    # levels above it, and the loop's plans stay small
-    cur = cur.withColumn("kind", _kind(F.col("v"))).checkpoint(eager=True)
-    out = cur
-    while True:
-        cont = cur.filter(F.col("kind").isin("object", "array"))
-        if cont.isEmpty():
-            return out.select("id", "path", "kind", F.to_json(F.col("v")).alias("value"))
-        nxt = spark.sql(
-            """SELECT c.id,
-                      CASE WHEN c.kind = 'array' THEN c.path || '[' || e.pos || ']'
-                           ELSE c.path || '.' || e.key END AS path,
-                      e.value AS v
-               FROM {cont} c, LATERAL variant_explode_outer(c.v) AS e
-               WHERE e.pos IS NOT NULL""", cont=cont)
-        cur = nxt.withColumn("kind", _kind(F.col("v"))).checkpoint(eager=True)
-        out = out.unionByName(cur)
-
-
-def type_profile(walked: DataFrame) -> DataFrame:
-    """Rows per (path, kind), with array indexes folded to ``[*]``."""
-    p = F.regexp_replace(F.col("path"), r"\[\d+\]", "[*]")
-    return walked.groupBy(p.alias("path"), "kind").agg(F.count(F.lit(1)).alias("rows"))
+    nodes = _union(list(_levels(_roots(df, json_col, F.col(id_col).alias("id")), "id")))
+    return nodes.select("id", "path", "kind", F.to_json(F.col("v")).alias("value"))
+
+
+def type_profile(df: DataFrame, json_col: str) -> DataFrame:
+    """Rows per (path, kind), with array indexes folded to ``[*]``.  Each level is counted as
+    it is reached; only containers are carried on, without ids."""
+    counts = [level.groupBy("path", "kind").agg(F.count(F.lit(1)).alias("rows"))
+              for level in _levels(_roots(df, json_col), folded=True)]
+    return _union(counts)
 
 
 # ---- G7 projection / redaction on map columns ----------------------------------------

@@ -96,7 +96,7 @@ def walk(spark, sf_dir):
 @query("type_profile", "G6", f"""WITH {_WALK_SQL}
 SELECT regexp_replace(path, '\\[\\d+\\]', '[*]', 'g') AS path, kind, count(*) AS rows FROM w GROUP BY ALL""")
 def type_profile(spark, sf_dir):
-    return N.type_profile(N.walk(_res_json(spark, sf_dir), "doc", "id"))
+    return N.type_profile(_res_json(spark, sf_dir), "doc")
 
 
 RESOURCE_SCHEMA = {
