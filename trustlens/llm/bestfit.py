@@ -26,10 +26,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import store
+from .common import LONG_ROWS, store
 from .tokens import WordEncoder, encoder
 
-SEQUENCE, ROWS_PER_SALT = 2048, 50_000
+SEQUENCE, ROWS_PER_SALT = 2048, 4_000
 
 
 def _cut(file: str, size: int, end_id: bytes, with_ids: bool):
@@ -120,8 +120,9 @@ def best_fit(pieces: DataFrame, size: int = SEQUENCE) -> DataFrame:
         if not gaps:
             need = max(sum(v for k, v in stock.items() if 2 * k > size),
                        -(-sum(k * v for k, v in stock.items()) // size))
-            open_ = spark.range(n_bins, n_bins + need).select(
-                F.col("id").alias("bin"), F.lit(size).cast("long").alias("gap"))
+            # stored, so that the gap is a column to join by and not a constant
+            open_ = store(spark.range(n_bins, n_bins + need).select(
+                F.col("id").alias("bin"), F.lit(size).cast("long").alias("gap")))
             gaps, n_bins = {size: need}, n_bins + need
         moves = spark.createDataFrame(
             sweep(gaps, stock, taken),
@@ -158,6 +159,6 @@ def pack_documents(docs: DataFrame, file: str, size: int = SEQUENCE, end_id: int
     A null or empty text is the end id alone.  A null doc_id is kept; repeated rows are packed
     each; an empty table gives no rows; other columns of ``docs`` are ignored.
     """
-    out = best_fit(store(cut_pieces(docs, file, size, end_id, with_ids)), size)
+    out = best_fit(store(cut_pieces(docs, file, size, end_id, with_ids), LONG_ROWS), size)
     return out.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset",
                       *["ids"] * with_ids)

@@ -20,15 +20,27 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/llm-{uuid.uuid4().hex}"
 
 
-def store(df: DataFrame, where: str | None = None) -> DataFrame:
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def store(df: DataFrame, batch: int | None = None) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: lineage ends here,
-    and a lost executor costs no more than the tasks it ran."""
+    and a lost executor costs no more than the tasks it ran.  ``batch`` is the number of rows
+    that go to a Python worker at a time meanwhile: few where rows are long."""
     spark = df.sparkSession
-    path = where or f"{shared_dir(spark)}/t"
-    df.write.mode("overwrite").parquet(path)
+    path, before = f"{shared_dir(spark)}/t", spark.conf.get(_BATCH)
+    try:
+        if batch:
+            spark.conf.set(_BATCH, str(min(batch, int(before)) if int(before) > 0 else batch))
+        df.write.mode("overwrite").parquet(path)
+    finally:
+        spark.conf.set(_BATCH, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
+LONG_ROWS = 1_000  # rows of a whole text or a whole set go in batches of so many
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 

@@ -128,7 +128,7 @@ def embedding_near_duplicates(vectors: DataFrame, least: float = 0.98, id_col: s
     classes = store(usable.groupBy("label", "vec")
                     .agg(F.count("*").alias("weight"), F.min("id").alias("least_id"))
                     .withColumn("node", F.monotonically_increasing_id()))
-    hashed = store(classes.select("node", F.col("label").cast("long").alias("label"), "vec", "weight")
+    hashed = store(classes.select("node", F.xxhash64("label").alias("label"), "vec", "weight")
                    .mapInArrow(_hashed(tables, projections, width, seed),
                                "node long, label long, vec binary, weight long, codes binary"))
     cells = hashed.mapInArrow(_table_rows(tables), "key long, node long, t int")

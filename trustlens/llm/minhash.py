@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .buckets import compare_groups, in_blocks, local_roots, pair_mask
-from .common import store
+from .common import LONG_ROWS, store
 from .components import connected_components
 from .shingles import Signer, jaccard_at_least, shingle_set
 
@@ -106,8 +106,9 @@ def _star_pairs(k: int, distance: int, percent: int):
 def _confirm(percent: int):
     def run(batches):
         for b in batches:
-            ok = [jaccard_at_least(np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64), percent)
-                  for x, y in zip(b.column("set_a").to_pylist(), b.column("set_b").to_pylist())]
+            ok = [jaccard_at_least(np.frombuffer(x.as_buffer(), dtype=np.uint64),
+                                   np.frombuffer(y.as_buffer(), dtype=np.uint64), percent)
+                  for x, y in zip(b.column("set_a"), b.column("set_b"))]
             yield b.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
     return run
 
@@ -157,7 +158,7 @@ def _links(k, distance, percent):
 
     def found(t, first):
         i, j = _across(t, first, k, distance, percent, chunks)
-        sets = [np.frombuffer(x, dtype=np.uint64) for x in t.column("set").to_pylist()]
+        sets = [np.frombuffer(x.as_buffer(), dtype=np.uint64) for x in t.column("set")]
         ok = np.array([jaccard_at_least(sets[p], sets[q], percent) for p, q in zip(i, j)], dtype=bool)
         i, j = i[ok], j[ok]
         node, root = t.column("node").to_numpy(), local_roots(t.num_rows, i, j)
@@ -179,7 +180,7 @@ def near_duplicate_components(docs: DataFrame, percent: int = PERCENT, places: i
     base = docs.select("doc_id", "text")
     kind = dict(base.dtypes)["doc_id"]
     signed = store(base.mapInArrow(_signed(places, bits),
-                                   f"doc_id {kind}, n_shingles long, cls binary, sig binary"))
+                                   f"doc_id {kind}, n_shingles long, cls binary, sig binary"), LONG_ROWS)
     classes = store(signed.filter(F.col("cls").isNotNull()).groupBy("cls")
                     .agg(F.min("doc_id").alias("least_id"), F.first("n_shingles").alias("n"),
                          F.first("sig").alias("sig"))
@@ -195,7 +196,7 @@ def near_duplicate_components(docs: DataFrame, percent: int = PERCENT, places: i
         text = docs.select("doc_id", "text")
         same = text["doc_id"].eqNullSafe(at["least_id"])
         return store(text.join(at, same).select("node", "cls", "text")
-                     .mapInArrow(_sets, "node long, set binary").dropDuplicates(["node"]))
+                     .mapInArrow(_sets, "node long, set binary").dropDuplicates(["node"]), LONG_ROWS)
 
     sig = classes.select("node", "n", "sig")
     star = (members.filter(F.col("node") != F.col("centre"))
@@ -208,7 +209,8 @@ def near_duplicate_components(docs: DataFrame, percent: int = PERCENT, places: i
     pairs = star
     for end in ("a", "b"):
         pairs = pairs.join(sets.withColumnsRenamed({"node": end, "set": f"set_{end}"}), end)
-    links = store(pairs.select("a", "b", "set_a", "set_b").mapInArrow(_confirm(percent), "a long, b long"))
+    links = store(pairs.select("a", "b", "set_a", "set_b").mapInArrow(_confirm(percent), "a long, b long"),
+                  LONG_ROWS)
     parts = connected_components(links)
 
     placed = members.join(parts.withColumnRenamed("id", "node"), "node", "left").withColumn(
@@ -223,7 +225,7 @@ def near_duplicate_components(docs: DataFrame, percent: int = PERCENT, places: i
     again = partner.join(sets_of(partner.select("node").distinct()), "node")
     more = store(compare_groups(
         in_blocks(again, "key", "node", "m", block), "key", _links(places, distance, percent),
-        ["a", "b"], [pa.int64()] * 2, "a long, b long"))
+        ["a", "b"], [pa.int64()] * 2, "a long, b long"), LONG_ROWS)
     if more.limit(1).count():
         parts = connected_components(more.unionByName(
             parts.select(F.col("id").alias("a"), F.col("component").alias("b"))))

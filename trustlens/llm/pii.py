@@ -21,12 +21,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import store
+from .common import LONG_ROWS, store
 
 KINDS = ("email", "ip", "card", "phone", "term")
 NEAR, SUPPORT, GENERALISE_BITS, REMOVE_BITS = 8, 3, 1.0, 0.05
 BROADCAST_TERMS = 200_000
-FLUSH, MEMO_WORDS = 300_000, 400_000
+FLUSH, MEMO_WORDS = 200_000, 150_000
 
 _LOCAL = frozenset(string.ascii_letters + string.digits + "._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -155,7 +155,7 @@ def disclosing_terms(docs: DataFrame, near: int = NEAR, support: int = SUPPORT,
     """Stored (word, bits): the words that leave at most ``generalise_bits`` of doubt about some
     entity, from counts over all documents."""
     text = docs.select(F.coalesce("text", F.lit("")).alias("text"))
-    stats = store(text.mapInArrow(_statistics(near), "entity long, word string, context long, n long"))
+    stats = store(text.mapInArrow(_statistics(near), "entity long, word string, context long, n long"), LONG_ROWS)
     pairs = (stats.filter(F.col("entity").isNotNull()).groupBy("entity", "word", "context")
              .agg(F.sum("n").alias("n"))
              .groupBy("entity", "word").agg(F.sum("n").alias("n"), F.count("*").alias("contexts"))

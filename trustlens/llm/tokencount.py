@@ -135,9 +135,9 @@ def count_tokens(docs: DataFrame, file: str, limit: int = 1024, chunk: int = CHU
             _encode_chunks(file, overlap),
             "row long, k int, last boolean, n long, left_at array<long>, left_i array<long>, "
             "right_at array<long>, right_i array<long>")
-        counted = store(todo.join(splice(encoded), "row"))
+        counted = store(todo.drop("text").join(splice(encoded), "row"), 200)
         done.append(counted.filter(F.col("n_tokens").isNotNull()).select("doc_id", "n_bytes", "n_tokens"))
-        todo = counted.filter(F.col("n_tokens").isNull()).drop("n_tokens")
+        todo = todo.join(counted.filter(F.col("n_tokens").isNull()).select("row"), "row", "left_semi")
         size, overlap = todo.count(), overlap * widen
         chunk = max(chunk, overlap * 2)
     out = done[0]

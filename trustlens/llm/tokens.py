@@ -14,7 +14,7 @@ from array import array
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks are the parallelism
 
-MEMO_PIECES = 1_000_000  # entries of a worker's memo; it starts afresh when full
+MEMO_PIECES = 200_000  # entries of a worker's memo; it starts afresh when full
 # No pre-token has both letters and these, and a run of them is one pre-token.
 _MARKS = ".,!?;:*%$#&"
 

@@ -25,7 +25,7 @@ from .common import store
 TRAINING_ROWS = 20_000  # at most so many labelled rows are fitted on
 FEATURES = 8192
 MIN_G2 = 10.8  # a chance of one in a thousand for a feature that means nothing
-MEMO_WORDS = 400_000
+MEMO_WORDS = 150_000
 NEUTRAL = "people"
 # Identity terms, by kind; a term is swapped for the others of its kind.
 IDENTITY = {
@@ -95,7 +95,7 @@ def _feature_counts(batches):
     for b in batches:
         for text, y in zip(b.column("text").to_pylist(), b.column("toxic").to_pylist()):
             n[int(y > 0)].update(_features(text_words(text, memo)))
-        if len(n[0]) + len(n[1]) > 500_000:
+        if len(n[0]) + len(n[1]) > 200_000:
             yield out()
             n = {0: Counter(), 1: Counter()}
     yield out()
