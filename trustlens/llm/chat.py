@@ -62,11 +62,11 @@ def prefix_hashes(conv: DataFrame, slice_turns: int = SLICE_TURNS) -> DataFrame:
 def maximal_conversations(conv: DataFrame, slice_turns: int = SLICE_TURNS) -> DataFrame:
     """(c, total): the conversations that no longer logged conversation starts with."""
     p = prefix_hashes(conv, slice_turns)
-    whole = p.filter(F.col("n") == F.col("total"))
-    proper = p.filter(F.col("n") < F.col("total")).select("p1", "p2", "n").distinct()
+    # equal conversations first become one, combined before they are shuffled;
     # min() skips nulls, so the null id stands for a class only when the class has no other
+    whole = p.filter(F.col("n") == F.col("total")).groupBy("p1", "p2", "n").agg(F.min("c").alias("c"))
+    proper = p.filter(F.col("n") < F.col("total")).select("p1", "p2", "n").distinct()
     return (whole.join(proper, ["p1", "p2", "n"], "left_anti")
-            .groupBy("p1", "p2", "n").agg(F.min("c").alias("c"))
             .select("c", F.col("n").alias("total")))
 
 
