@@ -66,7 +66,7 @@ def build_index(docs: DataFrame, windows: DataFrame) -> tuple[DataFrame, DataFra
     counts = (_documents(docs).select(F.explode("words").alias("term"))
               .join(_small(vocabulary, n_terms), "term").groupBy("term").agg(F.count("*").alias("cf")))
     order = W.partitionBy("wid").orderBy("cf", "term", "off")
-    anchors = store(terms.join(counts, "term")
+    anchors = store(terms.join(_small(counts, n_terms), "term")  # at most a row for each word of an item
                     .withColumn("known", F.count("*").over(W.partitionBy("wid")))
                     .filter(F.col("known") == F.col("len"))
                     .withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= 2)
