@@ -91,7 +91,7 @@ FROM d JOIN m ON d.conv_id IS NOT DISTINCT FROM m.conv_id GROUP BY 1, 2
 """
 
 
-def op6_sql(size: int = sharding.TABLE_SIZE) -> str:
+def sharding_sql(size: int = sharding.TABLE_SIZE) -> str:
     """The table is filled by a rule that SQL has no turn-taking for; its values are stated."""
     owner = ",".join(map(str, sharding.lookup_table(SHARDS, size)))
     return f"""
@@ -129,4 +129,4 @@ FROM w LEFT JOIN pos USING (r) LEFT JOIN it USING (r)
 
 def oracle_sql() -> dict[str, str]:
     return {"op2_chat_formatting": OP2_SQL, "op3_benchmark_decontamination": OP3_SQL,
-            "op6_sharding": op6_sql()}
+            "op6_sharding": sharding_sql()}
