@@ -117,9 +117,10 @@ def test_best_fit_decreasing_places_each_piece():
     assert len(seqs) <= 1.05 * -(-sum(lengths) // 64)
 
 
-def test_packed_ids_round_trip(docs):
+@pytest.mark.parametrize("file", [BYTES, tokenizer_file("byte_bpe_50k.tiktoken")])
+def test_packed_ids_round_trip(docs, file):
     tok, size = Tokenizer.from_file(BYTES), 64
-    packed = tokenpack.pack_token_ids(docs(pack_rows()), BYTES, size, window=500)
+    packed = tokenpack.pack_token_ids(docs(pack_rows()), file, size, window=500)
     rows = tokenpack.id_matrix(packed, size, pad_id=7).collect()
     assert len({r["sequence_id"] for r in rows}) == len(rows)
     pieces = {}

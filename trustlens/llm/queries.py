@@ -58,7 +58,7 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_packed_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tokenpack.pack_token_ids(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
+    return tokenpack.pack_token_ids(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.tiktoken"))
 
 
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

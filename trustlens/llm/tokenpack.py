@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .tokens import ByteEncoder, encoder
+from .tokens import ByteEncoder, RankEncoder, encoder
 
 SEQUENCE, WINDOW_TOKENS = 2048, 4_000_000
 
@@ -91,7 +91,7 @@ def _pack(file: str, size: int, window: int, end_id: int):
                                           SCHEMA.names), len(rows)
 
     def run(batches):
-        enc = encoder(ByteEncoder, file)
+        enc = encoder(RankEncoder if file.endswith(".tiktoken") else ByteEncoder, file)
         made, held, pieces = TaskContext.get().partitionId() << 32, 0, []
         for b in batches:
             for doc, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist()):
@@ -117,7 +117,8 @@ def pack_token_ids(docs: DataFrame, file: str, size: int = SEQUENCE, window: int
     ``cu_seqlens`` are the cumulative segment lengths from 0; ``position_resets`` the places where
     positions start again at 0; ``doc_ids`` and ``starts`` say for each segment which document it
     is from and how many ids of it stand before, so that pieces join to the document again.
-    Every document's ids are followed by ``end_id``.
+    Every document's ids are followed by ``end_id``.  ``file`` is a byte-level vocabulary, as a
+    tokenizers file or as ranks.
 
     A null or empty text is the end id alone.  A null doc_id is kept as null; repeated rows are
     packed each; an empty table gives no sequences; other columns are ignored.

@@ -130,10 +130,27 @@ class ByteEncoder(PieceEncoder):
         return self.whole(first) + self.joined(rest)
 
 
-_ENCODERS: dict[tuple[type, str], PieceEncoder] = {}
+class RankEncoder:
+    """For a byte-level vocabulary given as ranks (byte_bpe_50k.tiktoken), with the pattern that
+    cuts pre-tokens; strings of special tokens are ordinary text."""
+
+    def __init__(self, file: str):
+        import base64
+        import public_tokenizers
+        import tiktoken
+        with open(file, "rb") as f:
+            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        self.enc = tiktoken.Encoding(file, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks,
+                                     special_tokens={})
+
+    def ids(self, text: str) -> bytes:
+        return self.enc.encode_to_numpy(text, disallowed_special=()).astype("<u4").tobytes()
+
+
+_ENCODERS: dict = {}
 
 
-def encoder(kind: type, file: str) -> PieceEncoder:
+def encoder(kind: type, file: str):
     """One per worker process, kept between tasks."""
     if (kind, file) not in _ENCODERS:
         _ENCODERS[kind, file] = kind(file)
