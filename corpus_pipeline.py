@@ -14,6 +14,8 @@ from trustlens.llm import bestfit, decontam, minhash, pii, toxicity
 from trustlens.llm.common import LONG_ROWS, store, table
 from trustlens.llm.queries import held_out, tokenizer_file
 
+SHINGLE_WORDS = 5  # near-duplicates of the corpus; op10_ has its own two
+
 
 def _few_rows_a_batch(spark: SparkSession) -> None:
     """Rows are whole texts: they go to Python workers in batches of at most ``LONG_ROWS``."""
@@ -30,7 +32,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     _few_rows_a_batch(spark)
-    return minhash.keep_one_of_each(docs)
+    return minhash.keep_one_of_each(docs, words=SHINGLE_WORDS)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,6 +1,6 @@
 """MinHash near-duplicates by a multi-index Hamming join.
 
-A text's set of two-word shingles gets a signature of ``k`` min-wise hashes of ``bits`` bits.
+A text's set of word shingles gets a signature of ``k`` min-wise hashes of ``bits`` bits.
 Two sets with a Jaccard similarity of 0.8 differ in a fifth of the places on average; ``distance``
 is so far above that a pair exceeds it with a probability below 1e-5 (96 places, 37).  The places
 are split into ``distance // 2 + 1`` chunks: of a pair within the distance, some chunk then has at
@@ -30,6 +30,7 @@ from .components import connected_components
 from .shingles import Signer, jaccard_at_least, shingle_set
 
 PLACES, BITS, DISTANCE, PERCENT, BLOCK = 96, 16, 37, 80, 1024
+WORDS = 2
 
 
 # What is known of a node in a key whose nodes are in different components.
@@ -41,13 +42,13 @@ def _chunks(k: int, distance: int) -> list[np.ndarray]:
     return np.array_split(np.arange(k), distance // 2 + 1)
 
 
-def _signed(k: int, bits: int):
+def _signed(k: int, bits: int, words: int):
     def run(batches):
         signer = Signer(k, bits)
         for b in batches:
             n, cls, sig = [], [], []
             for text in b.column("text").to_pylist():
-                s = shingle_set(text)
+                s = shingle_set(text, words)
                 n.append(len(s))
                 cls.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
                 sig.append(signer.sign(s).tobytes() if len(s) else None)
@@ -57,18 +58,20 @@ def _signed(k: int, bits: int):
     return run
 
 
-def _sets(batches):
+def _sets(words: int):
     """The sets of the documents, where they are what the class says."""
-    for b in batches:
-        node, sets = [], []
-        for v, cls, text in zip(b.column("node").to_pylist(), b.column("cls").to_pylist(),
-                                b.column("text").to_pylist()):
-            s = shingle_set(text)
-            if xxhash.xxh3_128_digest(s.tobytes()) == cls:
-                node.append(v)
-                sets.append(s.tobytes())
-        yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(sets, pa.binary())],
-                                         ["node", "set"])
+    def run(batches):
+        for b in batches:
+            node, sets = [], []
+            for v, cls, text in zip(b.column("node").to_pylist(), b.column("cls").to_pylist(),
+                                    b.column("text").to_pylist()):
+                s = shingle_set(text, words)
+                if xxhash.xxh3_128_digest(s.tobytes()) == cls:
+                    node.append(v)
+                    sets.append(s.tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(sets, pa.binary())],
+                                             ["node", "set"])
+    return run
 
 
 def _index_keys(k: int, distance: int):
@@ -168,18 +171,19 @@ def _links(k, distance, percent):
 
 
 def near_duplicate_components(docs: DataFrame, percent: int = PERCENT, places: int = PLACES,
-                              bits: int = BITS, distance: int = DISTANCE, block: int = BLOCK) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) per row of ``docs``.
+                              bits: int = BITS, distance: int = DISTANCE, block: int = BLOCK,
+                              words: int = WORDS) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) per row of ``docs``; shingles are of ``words`` words.
 
     A null or empty text, or one of white space only, has no shingles and links with nothing.  A
-    text of one word is one shingle.  Repeated rows and equal texts are one class.  A null doc_id
+    text of fewer than ``words`` words is one shingle.  Repeated rows and equal texts are one class.  A null doc_id
     links like any other; it is a component's id only where the component has no other id.  Where
     several rows of a component carry its least id, all of them are ``kept``.  An empty table
     gives no rows; other columns are ignored.
     """
     base = docs.select("doc_id", "text")
     kind = dict(base.dtypes)["doc_id"]
-    signed = store(base.mapInArrow(_signed(places, bits),
+    signed = store(base.mapInArrow(_signed(places, bits, words),
                                    f"doc_id {kind}, n_shingles long, cls binary, sig binary"), LONG_ROWS)
     classes = store(signed.filter(F.col("cls").isNotNull()).groupBy("cls")
                     .agg(F.min("doc_id").alias("least_id"), F.first("n_shingles").alias("n"),
@@ -196,7 +200,7 @@ def near_duplicate_components(docs: DataFrame, percent: int = PERCENT, places: i
         text = docs.select("doc_id", "text")
         same = text["doc_id"].eqNullSafe(at["least_id"])
         return store(text.join(at, same).select("node", "cls", "text")
-                     .mapInArrow(_sets, "node long, set binary").dropDuplicates(["node"]), LONG_ROWS)
+                     .mapInArrow(_sets(words), "node long, set binary").dropDuplicates(["node"]), LONG_ROWS)
 
     sig = classes.select("node", "n", "sig")
     star = (members.filter(F.col("node") != F.col("centre"))
@@ -241,7 +245,7 @@ def near_duplicate_components(docs: DataFrame, percent: int = PERCENT, places: i
             .withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id"))))
 
 
-def keep_one_of_each(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+def keep_one_of_each(docs: DataFrame, percent: int = PERCENT, words: int = WORDS) -> DataFrame:
     """The rows of ``docs`` without near-duplicates, with all their columns: of each component one
     row with its least id.  Rows without words all stay."""
     d = docs.withColumn("_h", F.xxhash64("text"))
@@ -250,8 +254,8 @@ def keep_one_of_each(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     # the id of the pair (id, text) tells rows of one id with different texts apart
     at = worded.select(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", F.col("_h").alias("h"))
                        .alias("doc_id"), "text")
-    kept = (near_duplicate_components(at, percent).filter("kept").select("doc_id.doc_id", "doc_id.h").distinct()
-            .alias("k"))
+    kept = (near_duplicate_components(at, percent, words=words).filter("kept")
+            .select("doc_id.doc_id", "doc_id.h").distinct().alias("k"))
     w = worded.alias("w")
     on = F.col("w.doc_id").eqNullSafe(F.col("k.doc_id")) & (F.col("w._h") == F.col("k.h"))
     one = w.join(kept, on, "left_semi").dropDuplicates(["doc_id", "_h"])

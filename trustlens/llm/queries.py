@@ -66,7 +66,7 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minhash.near_duplicate_components(table(spark, sf_dir, "documents"))
+    return minhash.near_duplicate_components(table(spark, sf_dir, "documents"), words=2)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

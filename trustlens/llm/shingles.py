@@ -1,4 +1,4 @@
-"""Two-word shingle sets as sorted 64-bit hashes, and their min-wise signatures."""
+"""Word shingle sets as sorted 64-bit hashes, and their min-wise signatures."""
 
 from __future__ import annotations
 
@@ -59,13 +59,17 @@ def word_hashes(text: str | None) -> np.ndarray:
     return np.concatenate(parts) if parts else np.zeros(0, dtype=np.uint64)
 
 
-def shingle_set(text: str | None) -> np.ndarray:
-    """Sorted distinct hashes of the text's two-word shingles.  One word is one shingle, no word
-    none."""
+def shingle_set(text: str | None, words: int = 2) -> np.ndarray:
+    """Sorted distinct hashes of the text's shingles of ``words`` words.  A text of fewer words is
+    one shingle, no word none."""
     h = word_hashes(text)
-    if len(h) < 2:
-        return _mix(h)
-    return np.unique(_mix(h[:-1] * _Q + _mix(h[1:])))
+    n = min(words, len(h))
+    if not n:
+        return h
+    run = h[n - 1:]
+    for i in range(n - 2, -1, -1):
+        run = h[i:i + len(run)] * _Q + _mix(run)
+    return np.unique(_mix(run))
 
 
 class Signer:
