@@ -3,7 +3,7 @@
 import re
 
 import corpus_pipeline
-from trustlens.llm import minhash
+from trustlens.llm import minhash, pii
 from trustlens.llm.shingles import shingle_set
 
 from . import brute
@@ -38,3 +38,18 @@ def test_shingles_of_other_lengths(docs):
     rows = [(1, "a b c"), (2, "A b  c"), (3, "a b d"), (4, None), (5, "a b c d e"), (6, "a b c d")]
     got = {r["doc_id"] for r in minhash.keep_one_of_each(docs(rows), words=5).collect()}
     assert got == {1, 3, 4, 5, 6}
+
+
+def test_co_occurrence_counts_documents(docs):
+    terms = lambda rows: {r["word"]: r["bits"] for r in pii.disclosing_terms(docs(rows)).collect()}
+    word = lambda i: "".join("abcdefghij"[int(c)] for c in f"{i:04d}")
+    far = " ".join(["-"] * 20)
+    # one long document is one document, however many lines it has
+    long = [(0, f" {far} ".join(f"{word(i)} report 10.1.2.3 {word(i + 5000)}" for i in range(60)))]
+    assert terms(long + [(1 + i, "a report") for i in range(100)]) == {}
+    # 4 of 16 documents are two bits, although the four hold eight contexts
+    four = [(i, f" {far} ".join(f"{word(9 * i + k)} report 10.1.2.3" for k in (0, 1))) for i in range(4)]
+    assert terms(four + [(9 + i, "a report") for i in range(12)]) == {}
+    # 4 of 5 documents are less than one bit and never less than none
+    assert abs(terms(four + [(9, "a report")])["report"] - 0.32192809) < 1e-6
+    assert terms(four)["report"] == 0.0

@@ -7,7 +7,8 @@ near the entity, reading the word leaves -log2 P bits of doubt about the entity
 information content minus the pointwise mutual information of the two).  A word that leaves at
 most ``generalise_bits`` is generalised wherever it occurs, one that leaves at most
 ``remove_bits`` is removed.  A pair counts once it has been seen in ``support`` different contexts,
-so that copies of one passage prove nothing.
+so that copies of one passage prove nothing, and in as many documents, so that one long document
+does not either.
 """
 
 from __future__ import annotations
@@ -125,7 +126,8 @@ def _company(text: str, spans, near: int):
 
 def _statistics(near: int):
     """Rows (entity, word, context, n): company of entities, and, with a null entity, in how many
-    of the task's documents a word is."""
+    of the task's documents a word is.  Of a document's contexts of one pair the first has n = 1
+    and the others 0, so that the sum of a pair's n is its number of documents."""
     def run(batches):
         memo, df, rows = _Words(), Counter(), []
 
@@ -142,7 +144,10 @@ def _statistics(near: int):
                 df.update(words)
                 spans = base_spans(text)
                 if spans:
-                    rows.extend((e, w, c, 1) for e, w, c in _company(text, spans, near))
+                    seen = set()
+                    for e, w, c in _company(text, spans, near):
+                        rows.append((e, w, c, int((e, w) not in seen)))
+                        seen.add((e, w))
                 if len(df) + len(rows) > FLUSH:
                     yield out()
                     df, rows = Counter(), []
@@ -159,10 +164,10 @@ def disclosing_terms(docs: DataFrame, near: int = NEAR, support: int = SUPPORT,
     pairs = (stats.filter(F.col("entity").isNotNull()).groupBy("entity", "word", "context")
              .agg(F.sum("n").alias("n"))
              .groupBy("entity", "word").agg(F.sum("n").alias("n"), F.count("*").alias("contexts"))
-             .filter(F.col("contexts") >= support)
+             .filter((F.col("contexts") >= support) & (F.col("n") >= support))
              .groupBy("word").agg(F.max("n").alias("together")))
     held = stats.filter(F.col("entity").isNull()).groupBy("word").agg(F.sum("n").alias("n"))
-    bits = F.greatest(F.lit(0.0), F.log2(F.col("n") / F.col("together")))
+    bits = F.log2(F.col("n") / F.col("together"))  # a document of the pair holds the word: not below 0
     return store(pairs.join(held, "word").select("word", bits.alias("bits"))
                  .filter(F.col("bits") <= generalise_bits))
 
