@@ -1,14 +1,14 @@
 """Best-fit packing in bulk-synchronous rounds.
 
 Documents are cut into pieces of at most a sequence.  Pieces and the gaps of open sequences are
-range-sorted: each has a size and a rank among those of its size.  A round sweeps the gap sizes
+ranked: each has a size and a rank among those of its size.  A round sweeps the gap sizes
 upwards; the successor of a gap is the largest piece size, still in stock, that is not larger.
 Many gaps of one size ask for the same size of piece: the gap of rank j gets the pieces of rank
 j, and gaps whose rank is past the stock go on to the next smaller size in the same sweep.  All
 gaps are updated at once, gaps too small for any piece left are closed, and the next round
 starts.  New sequences are opened when no gap takes a piece any more.
 
-A sweep works on how many pieces and gaps there are of each size, so on two lists that are no
+A sweep is a loop on the driver over how many pieces and gaps there are of each size, so over two lists that are no
 longer than a sequence has tokens, however many documents there are.  Ranking, matching rows by
 (size, rank) and updating gaps are Spark jobs; every round's result is a table in the shared
 folder.  Where one size holds much of the table, ranks are counted within salted parts.
