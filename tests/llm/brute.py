@@ -22,14 +22,15 @@ def components(ids, links):
     return {i: find(i) for i in ids}
 
 
-def shingles(text):
+def shingles(text, words=2):
     w = re.findall(r"[^\x20\x09-\x0D]+", lower(text))
-    return set(zip(w, w[1:])) if len(w) > 1 else {tuple(w)} if w else set()
+    n = min(words, len(w))
+    return {tuple(w[i:i + n]) for i in range(len(w) - n + 1)} if w else set()
 
 
-def near_duplicates(rows):
+def near_duplicates(rows, words=2):
     """rows: (id, text) with distinct ids -> {id: (size, component, kept)}."""
-    sets = {i: shingles(t) for i, t in rows}
+    sets = {i: shingles(t, words) for i, t in rows}
     ids = sorted(sets)
     links = []
     for k, a in enumerate(ids):

@@ -82,7 +82,7 @@ def test_pipeline_against_brute_force(spark):
     memo = toxicity._Memo(toxicity.word_of)
     clean = [(i, t) for i, t in documents() if model.score(toxicity.text_words(t, memo)) < 0.3]
     assert sorted(rows[0]) == sorted(clean)
-    near = brute.near_duplicates(rows[0])
+    near = brute.near_duplicates(rows[0], corpus_pipeline.SHINGLE_WORDS)
     assert sorted(i for i, _ in rows[1]) == sorted(i for i, x in near.items() if x[2])
     bad = {i for i, n, hit, _ in brute.contamination(rows[1], sql("SELECT item_id, text FROM benchmark")[1])
            if hit and 20 * hit >= n}
