@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bestfit, chat, decontam, embed_dedup, minhash, pii, sharding, tokencount, tokenpack, toxicity
+from . import bestfit, bpe, chat, decontam, embed_dedup, minhash, pii, sharding, tokencount, tokenpack, toxicity
 from .common import table
 
 SHARDS = [f"shard-{i:02d}" for i in range(48)]
@@ -69,6 +69,14 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicate_components(table(spark, sf_dir, "documents"), words=2)
 
 
+def op13_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    file = tokenizer_file("byte_bpe_50k.json")
+    both = bpe.decode_documents(bpe.encode_documents(table(spark, sf_dir, "documents"), file), file)
+    return both.select("doc_id", F.floor(F.octet_length("ids") / 4).alias("n_tokens"),
+                       F.sha2("ids", 256).alias("ids_sha256"),
+                       F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {n: f for n, f in globals().items() if n.startswith("op") and n[2:3].isdigit()}
 
