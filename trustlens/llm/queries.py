@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bestfit, bpe, chat, decontam, embed_dedup, minhash, pii, sharding, tokencount, tokenpack, toxicity
+from . import bestfit, bpe, chat, decontam, embed_dedup, minhash, pii, repair, sharding, tokencount, tokenpack, toxicity
 from .common import table
 
 SHARDS = [f"shard-{i:02d}" for i in range(48)]
@@ -69,6 +69,11 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicate_components(table(spark, sf_dir, "documents"), words=2)
 
 
+def op11_conversation_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = repair.damaged(table(spark, sf_dir, "conversations"))
+    return repair.repair_digests(repair.repair_conversations(rows))
+
+
 def op13_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     file = tokenizer_file("byte_bpe_50k.json")
     both = bpe.decode_documents(bpe.encode_documents(table(spark, sf_dir, "documents"), file), file)
