@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bestfit, bpe, chat, decontam, embed_dedup, minhash, pii, repair, sharding, tokencount, tokenpack, toxicity
-from .common import table
+from . import bestfit, bpe, chat, decontam, embed_dedup, minhash, pii, prefix_trie, repair, sharding, tokencount, tokenpack, toxicity
+from .common import store, table
 
 SHARDS = [f"shard-{i:02d}" for i in range(48)]
 
@@ -74,6 +74,11 @@ def op11_conversation_structure_repair(spark: SparkSession, sf_dir: str) -> Data
     return repair.repair_digests(repair.repair_conversations(rows))
 
 
+def op12_conversation_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = store(prefix_trie.turns_in_order(table(spark, sf_dir, "conversations")))
+    return prefix_trie.prefix_trie(*prefix_trie.rebuilt(turns))
+
+
 def op13_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     file = tokenizer_file("byte_bpe_50k.json")
     both = bpe.decode_documents(bpe.encode_documents(table(spark, sf_dir, "documents"), file), file)
