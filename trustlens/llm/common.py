@@ -41,6 +41,14 @@ def store(df: DataFrame, batch: int | None = None) -> DataFrame:
 LONG_ROWS = 1_000  # rows of a whole text or a whole set go in batches of so many
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, or it with underscores behind it, so that no column of ``df`` is called so."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 

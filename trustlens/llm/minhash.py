@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .buckets import compare_groups, in_blocks, local_roots, pair_mask
-from .common import LONG_ROWS, store
+from .common import LONG_ROWS, free_name, store
 from .components import connected_components
 from .shingles import Signer, jaccard_at_least, shingle_set
 
@@ -53,8 +53,8 @@ def _signed(k: int, bits: int, words: int):
                 cls.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
                 sig.append(signer.sign(s).tobytes() if len(s) else None)
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), pa.array(n, pa.int64()), pa.array(cls, pa.binary()),
-                 pa.array(sig, pa.binary())], ["doc_id", "n_shingles", "cls", "sig"])
+                [b.column("doc_id"), b.column("h"), pa.array(n, pa.int64()), pa.array(cls, pa.binary()),
+                 pa.array(sig, pa.binary())], ["doc_id", "h", "n_shingles", "cls", "sig"])
     return run
 
 
@@ -181,13 +181,15 @@ def near_duplicate_components(docs: DataFrame, percent: int = PERCENT, places: i
     several rows of a component carry its least id, all of them are ``kept``.  An empty table
     gives no rows; other columns are ignored.
     """
-    base = docs.select("doc_id", "text")
+    base = docs.select("doc_id", F.xxhash64("text").alias("h"), "text")
     kind = dict(base.dtypes)["doc_id"]
     signed = store(base.mapInArrow(_signed(places, bits, words),
-                                   f"doc_id {kind}, n_shingles long, cls binary, sig binary"), LONG_ROWS)
+                                   f"doc_id {kind}, h long, n_shingles long, cls binary, sig binary"), LONG_ROWS)
+    # a class is known again by the id and the text's hash of one of its rows, one with an id if it has some
+    row = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h"))
     classes = store(signed.filter(F.col("cls").isNotNull()).groupBy("cls")
-                    .agg(F.min("doc_id").alias("least_id"), F.first("n_shingles").alias("n"),
-                         F.first("sig").alias("sig"))
+                    .agg(row.alias("row"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig"))
+                    .select("cls", F.col("row.doc_id").alias("least_id"), F.col("row.h").alias("least_h"), "n", "sig")
                     .withColumn("node", F.monotonically_increasing_id()))
 
     keys = classes.select("node", "sig").mapInArrow(_index_keys(places, distance), "key long, node long")
@@ -196,9 +198,9 @@ def near_duplicate_components(docs: DataFrame, percent: int = PERCENT, places: i
     members = store(keys.join(shared, "key"))
 
     def sets_of(nodes: DataFrame) -> DataFrame:
-        at = classes.join(nodes, "node", "left_semi").select("node", "cls", "least_id")
-        text = docs.select("doc_id", "text")
-        same = text["doc_id"].eqNullSafe(at["least_id"])
+        at = classes.join(nodes, "node", "left_semi").select("node", "cls", "least_id", "least_h")
+        text = docs.select("doc_id", F.xxhash64("text").alias("h"), "text")
+        same = text["doc_id"].eqNullSafe(at["least_id"]) & (text["h"] == at["least_h"])
         return store(text.join(at, same).select("node", "cls", "text")
                      .mapInArrow(_sets(words), "node long, set binary").dropDuplicates(["node"]), LONG_ROWS)
 
@@ -247,16 +249,22 @@ def near_duplicate_components(docs: DataFrame, percent: int = PERCENT, places: i
 
 def keep_one_of_each(docs: DataFrame, percent: int = PERCENT, words: int = WORDS) -> DataFrame:
     """The rows of ``docs`` without near-duplicates, with all their columns: of each component one
-    row with its least id.  Rows without words all stay."""
-    d = docs.withColumn("_h", F.xxhash64("text"))
+    row with its least id.
+
+    Rows without words (a null or empty text, or white space) all stay.  A null id stands before all
+    others.  Of rows of one id the text's hash decides; of repeated rows one stays.  An empty table gives
+    an empty table.
+    """
+    name = free_name(docs, "_h")
+    d = docs.withColumn(name, F.xxhash64("text"))
     wordless = F.coalesce("text", F.lit("")).rlike(r"^[ \t\n\x0B\f\r]*$")
     worded = d.filter(~wordless)
     # the id of the pair (id, text) tells rows of one id with different texts apart
-    at = worded.select(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", F.col("_h").alias("h"))
+    at = worded.select(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", F.col(name).alias("h"))
                        .alias("doc_id"), "text")
     kept = (near_duplicate_components(at, percent, words=words).filter("kept")
             .select("doc_id.doc_id", "doc_id.h").distinct().alias("k"))
     w = worded.alias("w")
-    on = F.col("w.doc_id").eqNullSafe(F.col("k.doc_id")) & (F.col("w._h") == F.col("k.h"))
-    one = w.join(kept, on, "left_semi").dropDuplicates(["doc_id", "_h"])
-    return one.unionByName(d.filter(wordless)).drop("_h")
+    on = F.col("w.doc_id").eqNullSafe(F.col("k.doc_id")) & (F.col(f"w.{name}") == F.col("k.h"))
+    one = w.join(kept, on, "left_semi").dropDuplicates(["doc_id", name])
+    return one.unionByName(d.filter(wordless)).drop(name)
