@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .places import numbered
+
 SLICE_TURNS = 256
 
 
@@ -73,8 +75,9 @@ def maximal_conversations(conv: DataFrame, slice_turns: int = SLICE_TURNS) -> Da
 def format_chats(conv: DataFrame, slice_turns: int = SLICE_TURNS) -> DataFrame:
     """Render the maximal conversations: (conv_id, part, n_turns, total_turns, rendered).
 
-    ``part`` numbers slices of ``slice_turns`` turn numbers (turn -1 or null: part -1), so that a
-    conversation of any length is written in bounded rows; its parts in order are its rendering.
+    ``part`` numbers, from 0, stretches of ``slice_turns`` turns in their order, so that a conversation
+    of any length, also one whose turns all have the same number, is written in bounded rows; its parts
+    in order are its rendering.
 
     Nulls: a null conv_id is one conversation like any other; a null turn counts as -1, a null
     role as 'unknown', a null text as ''.  Ties: rows of the same turn are one prefix step, and
@@ -82,10 +85,12 @@ def format_chats(conv: DataFrame, slice_turns: int = SLICE_TURNS) -> DataFrame:
     rows.  Other columns are ignored.
     """
     keep = maximal_conversations(conv, slice_turns)
-    rows = _turns(conv).withColumn("part", F.floor(F.col("t") / slice_turns))
+    rows = _turns(conv).distinct()
     kept = (rows.alias("a").join(keep.alias("k"), F.col("a.c").eqNullSafe(F.col("k.c")))
-            .select("a.c", "part", "total", "t", "role", "text"))
-    turns = F.array_sort(F.collect_set(F.struct("t", "role", "text")))
+            .select("a.c", "total", "t", "role", "text"))
+    kept = numbered(kept, "c", [F.col("t"), F.col("role"), F.col("text")], "pos").withColumn(
+        "part", F.floor(F.col("pos") / slice_turns))
+    turns = F.array_sort(F.collect_list(F.struct("t", "role", "text")))
     one = lambda x: F.concat(F.lit("<|im_start|>"), x["role"], F.lit("\n"), x["text"],
                              F.lit("<|im_end|>\n"))
     return (kept.groupBy("c", "part", "total").agg(turns.alias("turns"))

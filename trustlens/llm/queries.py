@@ -101,11 +101,12 @@ cut AS (SELECT DISTINCT a.v AS v FROM
          FROM c, UNNEST(list_distinct(list_transform(c.v, lambda x: x.t))) AS s(t)) a WHERE len(a.v) < a.n),
 k AS (SELECT v, min(conv_id) AS conv_id FROM c GROUP BY v),
 m AS (SELECT k.conv_id, len(k.v) AS total_turns FROM k ANTI JOIN cut ON k.v = cut.v)
-SELECT d.conv_id, CAST(floor(d.t / {chat.SLICE_TURNS}) AS BIGINT) AS part, count(*) AS n_turns,
+SELECT d.conv_id, d.pos // {chat.SLICE_TURNS} AS part, count(*) AS n_turns,
        any_value(m.total_turns) AS total_turns,
        string_agg('<|im_start|>' || d.role || chr(10) || d.text || '<|im_end|>' || chr(10), ''
                   ORDER BY d.t, d.role, d.text) AS rendered
-FROM d JOIN m ON d.conv_id IS NOT DISTINCT FROM m.conv_id GROUP BY 1, 2
+FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY t, role, text) - 1 AS pos FROM d) d
+JOIN m ON d.conv_id IS NOT DISTINCT FROM m.conv_id GROUP BY 1, 2
 """
 
 
