@@ -74,14 +74,18 @@ def _features(words) -> set[str]:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, held_out, limit: int = TRAINING_ROWS) -> DataFrame:
-    """(text, toxic) of at most ``limit`` labelled documents outside ``held_out(doc_id)``, chosen
-    by a hash of the id.  Rows without an id or a label do not count; of several labels of one
-    document the largest does."""
+    """(text, toxic) of at most ``limit`` labelled rows outside ``held_out(doc_id)``, chosen by a hash
+    of the id.  Rows without an id or a label do not count; of several labels of one document the
+    largest does; rows of one id and text are one row, and the limit holds for what is left of them."""
     chosen = (labels.select("doc_id", F.col("toxic").cast("int").alias("toxic"))
               .filter(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out(F.col("doc_id")))
               .groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
               .orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit))
-    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "toxic")
+    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("h"))
+    keys = (rows.select("doc_id", "h").join(F.broadcast(chosen), "doc_id").distinct()
+            .orderBy(F.xxhash64("doc_id"), "doc_id", "h").limit(limit))
+    return (rows.join(F.broadcast(keys), ["doc_id", "h"]).dropDuplicates(["doc_id", "h"])
+            .select("text", "toxic"))
 
 
 def _feature_counts(batches):
@@ -255,12 +259,16 @@ def score_documents(docs: DataFrame, model: ToxicityModel, threshold: float = 0.
 
 
 def drop_toxic(docs: DataFrame, model: ToxicityModel, threshold: float = 0.3) -> DataFrame:
-    """The rows of ``docs`` that score below ``threshold``, with all their columns."""
+    """The rows of ``docs`` that score below ``threshold``, with all their columns.
+
+    A null or empty text scores as a text without any feature, and stays unless that rejects it.  Null
+    ids and ties do not matter; repeated rows stay or go alike; an empty table gives an empty table.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     rest = [c for c in docs.columns if c != "text"]
 
     def run(batches):
-        for b in _scored(shared)(batches):
-            ok = np.asarray(b.column("score")) < threshold
-            yield b.select([*b.schema.names[:-1]]).filter(pa.array(ok))
+        for b in _scored(shared)(batches):  # the score is the last column, whatever others are called
+            ok = np.asarray(b.column(b.num_columns - 1)) < threshold
+            yield b.select(list(range(b.num_columns - 1))).filter(pa.array(ok))
     return docs.select(*rest, "text").mapInArrow(run, docs.select(*rest, "text").schema).select(*docs.columns)
