@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, store
+from .common import ascii_lower, free_name, store
 
 N = 13
 BROADCAST_ROWS = 300_000  # a side of up to so many rows of about 100 bytes is sent to every executor
@@ -160,9 +160,14 @@ def contamination(docs: DataFrame, items: DataFrame, n: int = N, share: int = 20
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, n: int = N, share: int = 20) -> DataFrame:
-    """The rows of ``docs`` that are not contaminated, with all their columns."""
+    """The rows of ``docs`` that are not contaminated, with all their columns.
+
+    A null or empty text has no words and stays.  Null ids are ids like any other; repeated rows stay or
+    go alike.  Without items all rows stay; an empty table gives an empty table.
+    """
     bad = (contamination(docs, items, n, share).filter("contaminated")
            .select("doc_id", "h").distinct().alias("b"))
-    d = docs.withColumn("_h", F.xxhash64("text")).alias("d")
-    on = F.col("d.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("d._h") == F.col("b.h"))
-    return d.join(bad, on, "left_anti").drop("_h")
+    name = free_name(docs, "_h")
+    d = docs.withColumn(name, F.xxhash64("text")).alias("d")
+    on = F.col("d.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col(f"d.{name}") == F.col("b.h"))
+    return d.join(bad, on, "left_anti").drop(name)

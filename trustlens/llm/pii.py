@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LONG_ROWS, store
+from .common import LONG_ROWS, free_name, store
 
 KINDS = ("email", "ip", "card", "phone", "term")
 NEAR, SUPPORT, GENERALISE_BITS, REMOVE_BITS = 8, 3, 1.0, 0.05
@@ -209,7 +209,7 @@ def sanitise(text: str, spans, words: dict[str, float], remove_bits: float = REM
 
 def _with_terms(docs: DataFrame, terms: DataFrame, most: int) -> tuple[DataFrame, dict | None]:
     """The documents, and either the terms for a broadcast, behind a check of how many there are,
-    or the documents with the terms that each of them holds (``_terms``, by joins)."""
+    or the documents with the terms that each of them holds (by joins) as the last column."""
     if terms.count() <= most:
         return docs, {r["word"]: r["bits"] for r in terms.collect()}
 
@@ -223,14 +223,16 @@ def _with_terms(docs: DataFrame, terms: DataFrame, most: int) -> tuple[DataFrame
                 word += words
             yield pa.RecordBatch.from_arrays([pa.array(row, pa.int64()), pa.array(word, pa.string())],
                                              ["_row", "word"])
-    rows = store(docs.withColumn("_row", F.monotonically_increasing_id()))
-    mine = (rows.select("_row", "text").mapInArrow(held, "_row long, word string").join(terms, "word")
-            .groupBy("_row").agg(F.map_from_entries(F.collect_list(F.struct("word", "bits"))).alias("_terms")))
-    return rows.join(mine, "_row", "left").drop("_row"), None
+    row, own = free_name(docs, "_row"), free_name(docs, "_terms")
+    rows = store(docs.withColumn(row, F.monotonically_increasing_id()))
+    mine = (rows.select(F.col(row).alias("_row"), "text").mapInArrow(held, "_row long, word string")
+            .join(terms, "word").groupBy(F.col("_row").alias(row))
+            .agg(F.map_from_entries(F.collect_list(F.struct("word", "bits"))).alias(own)))
+    return rows.join(mine, row, "left").select(*[F.col(f"`{c}`") for c in docs.columns], own), None
 
 
 def _texts(b: pa.RecordBatch, words: dict | None):
-    own = b.column("_terms").to_pylist() if words is None else None
+    own = b.column(b.num_columns - 1).to_pylist() if words is None else None
     for i, text in enumerate(b.column("text").to_pylist()):
         yield text or "", (words if own is None else dict(own[i] or ()))
 
@@ -272,7 +274,11 @@ def find_personal_data(docs: DataFrame, near: int = NEAR, support: int = SUPPORT
 
 def sanitise_documents(docs: DataFrame, near: int = NEAR, support: int = SUPPORT,
                        generalise_bits: float = GENERALISE_BITS, most: int = BROADCAST_TERMS) -> DataFrame:
-    """``docs`` with the texts sanitised; null texts stay null and other columns as they are."""
+    """``docs`` with the texts sanitised; other columns stay as they are, whatever they are called.
+
+    A null text stays null, an empty one empty.  Null ids do not matter; repeated rows are changed alike;
+    an empty table gives an empty table.
+    """
     d, words = _with_terms(docs, disclosing_terms(docs, near, support, generalise_bits), most)
     shared = docs.sparkSession.sparkContext.broadcast(words)
     names = docs.columns
@@ -287,4 +293,4 @@ def sanitise_documents(docs: DataFrame, near: int = NEAR, support: int = SUPPORT
             cols = [b.column(i) for i in range(len(names))]
             cols[at] = pa.array(out, b.schema.field("text").type)
             yield pa.RecordBatch.from_arrays(cols, names)
-    return d.select(*names, *["_terms"] * (words is None)).mapInArrow(run, docs.schema)
+    return d.mapInArrow(run, docs.schema)

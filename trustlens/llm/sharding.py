@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import free_name
+
 TABLE_SIZE = 65537  # prime; at least a hundred slots per shard keeps the shares even
 
 
@@ -58,18 +60,19 @@ def assign_shards(df: DataFrame, key: str, shards: list[str], size: int = TABLE_
     """
     spark = df.sparkSession
     owner = lookup_table(shards, size)
+    at, shard = free_name(df, "_slot"), free_name(df, "_shard")
     rows = spark.createDataFrame([(i, shards[s]) for i, s in enumerate(owner)],
-                                 T.StructType([T.StructField("_slot", T.IntegerType()),
-                                               T.StructField("_shard", T.StringType())]))
-    kept = df.drop(slot_col, shard_col) if key not in (slot_col, shard_col) else df
-    out = kept.withColumn("_key_slot", key_slot(F.col(key), size))
-    out = out.join(F.broadcast(rows), out["_key_slot"] == rows["_slot"], "left")
-    return out.withColumnsRenamed({"_key_slot": slot_col, "_shard": shard_col}).drop("_slot")
+                                 T.StructType([T.StructField(at, T.IntegerType()),
+                                               T.StructField(shard, T.StringType())]))
+    out = df.withColumn(at, key_slot(F.col(key), size)).join(F.broadcast(rows), at, "left")
+    return out.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in (slot_col.lower(), shard_col.lower())],
+                      F.col(at).alias(slot_col), F.col(shard).alias(shard_col))
 
 
 def write_shards(df: DataFrame, key: str, shards: list[str], path: str, size: int = TABLE_SIZE,
                  files_per_shard: int = 8) -> None:
-    """One folder per shard; each shard's rows are spread over ``files_per_shard`` tasks, so a
+    """One folder per shard (``shard=<name>``); null keys, repeated rows and empty tables as in
+    ``assign_shards``, and columns called slot or shard are replaced as there; each shard's rows are spread over ``files_per_shard`` tasks, so a
     shard that holds most rows is not one task's work."""
     placed = assign_shards(df, key, shards, size)
     part = F.pmod(F.xxhash64(F.col(key)), F.lit(files_per_shard))

@@ -15,17 +15,18 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .tokens import ByteEncoder, RankEncoder, encoder
 
 SEQUENCE, WINDOW_TOKENS = 2048, 4_000_000
 
-SCHEMA = T.StructType([
-    T.StructField("sequence_id", T.LongType()), T.StructField("n_tokens", T.IntegerType()),
-    T.StructField("ids", T.BinaryType()), T.StructField("cu_seqlens", T.ArrayType(T.IntegerType())),
-    T.StructField("position_resets", T.ArrayType(T.IntegerType())),
-    T.StructField("doc_ids", T.ArrayType(T.LongType())),
-    T.StructField("starts", T.ArrayType(T.LongType()))])
+def _schema(doc_id: T.DataType) -> T.StructType:
+    return T.StructType([
+        T.StructField("sequence_id", T.LongType()), T.StructField("n_tokens", T.IntegerType()),
+        T.StructField("ids", T.BinaryType()), T.StructField("cu_seqlens", T.ArrayType(T.IntegerType())),
+        T.StructField("position_resets", T.ArrayType(T.IntegerType())),
+        T.StructField("doc_ids", T.ArrayType(doc_id)), T.StructField("starts", T.ArrayType(T.LongType()))])
 
 
 class RoomTree:
@@ -75,7 +76,7 @@ def best_fit_decreasing(lengths: list[int], size: int) -> list[list[int]]:
     return out
 
 
-def _pack(file: str, size: int, window: int, end_id: int):
+def _pack(file: str, size: int, window: int, end_id: int, doc_id: pa.DataType, names: list[str]):
     end = np.array([end_id], dtype="<u4").tobytes()
 
     def flush(pieces, first):
@@ -86,9 +87,9 @@ def _pack(file: str, size: int, window: int, end_id: int):
             rows.append((first + n, len(ids) // 4, ids, [0, *ends], [0, *ends[:-1]],
                          [pieces[i][0] for i in seq], [pieces[i][1] for i in seq]))
         arrow = [pa.int64(), pa.int32(), pa.binary(), pa.list_(pa.int32()), pa.list_(pa.int32()),
-                 pa.list_(pa.int64()), pa.list_(pa.int64())]
+                 pa.list_(doc_id), pa.list_(pa.int64())]
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), arrow)],
-                                          SCHEMA.names), len(rows)
+                                          names), len(rows)
 
     def run(batches):
         enc = encoder(RankEncoder if file.endswith(".tiktoken") else ByteEncoder, file)
@@ -125,12 +126,15 @@ def pack_token_ids(docs: DataFrame, file: str, size: int = SEQUENCE, window: int
     """
     if size < 1 or window < size:
         raise ValueError("size must be positive and window at least size")
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
-        _pack(file, size, window, end_id), SCHEMA)
+    kind = docs.schema["doc_id"].dataType
+    schema = _schema(kind)
+    return docs.select("doc_id", "text").mapInArrow(
+        _pack(file, size, window, end_id, to_arrow_type(kind), schema.names), schema)
 
 
 def id_matrix(packed: DataFrame, size: int = SEQUENCE, pad_id: int = 0) -> DataFrame:
     """``packed`` with ``ids`` padded to rows of exactly ``size`` ids, ready for a fixed-width
-    binary file; ``n_tokens`` says where the padding starts."""
+    binary file; ``n_tokens`` says where the padding starts.  No rows give no rows; repeated rows and
+    other columns stay as they are."""
     pad = np.array([pad_id], dtype="<u4").tobytes().hex()
     return packed.withColumn("ids", F.concat("ids", F.unhex(F.repeat(F.lit(pad), size - F.col("n_tokens")))))
