@@ -32,8 +32,8 @@ from .common import LONG_ROWS
 from .tokens import _LETTER, _MARKS, _ODD, _PAIRS
 
 VECTOR = 48  # a list of so many places is worked through as a vector
-MEMO_WORDS = 800_000  # entries of each of a worker's two memos
-TEXT_CHARS = 4_000_000  # of a batch, texts of so many characters are encoded together, or one longer text
+MEMO_WORDS = 400_000  # entries of each of a worker's two memos
+TEXT_CHARS = 1_000_000  # of a batch, texts of so many characters are encoded together, or one longer text
 
 
 def _simple_spacing(text: str) -> bool:
