@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, Column
 from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir
+from .documents import document, drop_paths, keep_paths
 
 
 def _kind(v: Column) -> Column:
@@ -85,14 +86,13 @@ def keys_drop(m, keys) -> Column:
 
 
 def json_keep(json_col, paths) -> Column:
-    """Keep top-level paths of a JSON object text (others removed)."""
-    m = F.from_json(json_col, "map<string,string>")
-    return F.to_json(keys_keep(m, paths))
+    """What of a JSON text stands at some paths, as JSON text; numbers stay numbers."""
+    return F.to_json(keep_paths(document(json_col), paths))
 
 
 def json_drop(json_col, paths) -> Column:
-    m = F.from_json(json_col, "map<string,string>")
-    return F.to_json(keys_drop(m, paths))
+    """A JSON text without what stands at some paths."""
+    return F.to_json(drop_paths(document(json_col), paths))
 
 
 # ---- G8 deep merge, G9 subset ----------------------------------------------------------

@@ -1,4 +1,4 @@
-"""Schema validation of document columns (G4, G4a-G4h).
+"""Schema validation of typed document columns (G4, G4a-G4h); ``json_schema`` has JSON text.
 
 A JSON-schema subset (Python dict) is turned into Column expressions at plan time;
 each row gets the first failing rule (code, path) in schema order, and
@@ -11,6 +11,15 @@ from pyspark.sql import DataFrame, Column
 from pyspark.sql import functions as F
 
 _NUM = ("number", "integer")
+# Schema type -> the Spark types whose values it takes (as the start of their names); the type of
+# a column is known, so the test is a constant of the plan.
+_TYPES = {"number": "tinyint|smallint|int|bigint|float|double|decimal", "boolean": "boolean", "string": "string|char|varchar",
+          "array": "array", "object": "struct|map", "null": "void"}
+_TYPES["integer"] = _TYPES["number"]
+
+
+def _wrong_type(v: Column, t: str) -> Column:
+    return v.isNotNull() & ~F.typeof(v).rlike(f"^({_TYPES[t]})")
 
 
 def _fail_list(v: Column, s: dict, path: str) -> list[tuple[str, str, Column]]:
@@ -34,7 +43,7 @@ def _fail_list(v: Column, s: dict, path: str) -> list[tuple[str, str, Column]]:
         out.append(("type", path, present))
     if t in _NUM:  # G4a
         num = v.cast("string").try_cast("double")
-        out.append(("type", path, present & num.isNull()))
+        out.append(("type", path, _wrong_type(v, t) | (present & num.isNull())))
         if t == "integer":
             out.append(("integer", path, present & (num != F.floor(num))))
         if "minimum" in s:
@@ -42,15 +51,18 @@ def _fail_list(v: Column, s: dict, path: str) -> list[tuple[str, str, Column]]:
         if "maximum" in s:
             out.append(("maximum", path, present & (num > F.lit(float(s["maximum"])))))
     if t == "boolean":  # G4b
-        out.append(("type", path, present & v.cast("string").try_cast("boolean").isNull()))
+        out.append(("type", path, _wrong_type(v, t)))
     if t == "string":  # G4c
         sv = v.cast("string")
+        out.append(("type", path, _wrong_type(v, t)))
         if "minLength" in s:
             out.append(("minLength", path, present & (F.length(sv) < s["minLength"])))
         if "maxLength" in s:
             out.append(("maxLength", path, present & (F.length(sv) > s["maxLength"])))
         if "pattern" in s:
             out.append(("pattern", path, present & ~sv.rlike(s["pattern"])))
+    if t in ("array", "object"):
+        out.append(("type", path, _wrong_type(v, t)))
     if t == "array":  # G4d
         if "minItems" in s:
             out.append(("minItems", path, present & (F.size(v) < s["minItems"])))

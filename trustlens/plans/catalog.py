@@ -6,7 +6,7 @@ import importlib
 
 from .registry import QUERIES
 
-MODULES = ["q_anomaly", "q_audit", "q_decisions", "q_revocations", "q_compliance", "q_access", "q_nested"]
+MODULES = ["q_anomaly", "q_audit", "q_decisions", "q_revocations", "q_compliance", "q_access", "q_nested", "q_documents"]
 
 
 def load() -> dict:

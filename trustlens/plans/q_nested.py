@@ -165,7 +165,7 @@ def route_by_type(spark, sf_dir):
 @query("document_ops", "G7 G8 G9", f"""WITH {RESOURCES_CTE}
 SELECT id,
   env IS NOT NULL AS kept_has_env,
-  CASE WHEN env IS NULL THEN 1 ELSE 1 END AS dropped_size,
+  CASE WHEN status = 'F' THEN CASE WHEN env IS NULL THEN 0 ELSE 1 END ELSE 1 END AS dropped_size,
   CASE WHEN env IS NULL THEN 'dflt' ELSE env END AS merged_env,
   CASE WHEN env IS NULL THEN 'dflt' ELSE env END AS deep_env, CAST(key % 5 AS VARCHAR) AS deep_other,
   status AS merged_status,
@@ -182,7 +182,8 @@ def document_ops(spark, sf_dir):
     return r.select(
         "id",
         F.map_contains_key(N.keys_keep(t, ["env"]), F.lit("env")).alias("kept_has_env"),
-        F.size(N.keys_drop(t, ["env"])).alias("dropped_size"),
+        F.when(t["status"] == "F", F.size(N.keys_drop(t, ["status"]))).otherwise(
+            F.size(N.keys_drop(t, ["env"]))).cast("int").alias("dropped_size"),
         F.element_at(merged, F.lit("env")).alias("merged_env"),
         F.try_element_at(F.try_element_at(deep, F.lit("tags")), F.lit("env")).alias("deep_env"),
         F.try_element_at(F.try_element_at(deep, F.lit("other")), F.lit("k")).alias("deep_other"),
