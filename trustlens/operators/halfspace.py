@@ -5,13 +5,14 @@ Tan, Ting & Liu (IJCAI 2011): random half-space trees over a workspace of the
 that has events, so "score first, learn after" holds between windows.  Windows are
 event-time buckets (per optional key), never a global row number.
 
-Plan: (1) the statistics of the window before scale a window; (2) a pandas UDF maps each
-event to its leaf in each tree (numpy, vectorized per Arrow batch) and leaves are counted -
-a partial aggregate - and summed up to every ancestor (parent = leaf >> 1); (3) for each
-leaf that the next window has, the ancestor masses are reduced to a score, with the
-size-limit stop, and a window's scores are gathered to one row per tree (at most as many
-leaves as a tree has); (4) events, in salted parts of a window, meet the 25 rows of their
-window once and are scored in one vectorized pass.  Events are shuffled once.
+Plan: (1) the statistics of the window before scale a window; (2) events, in salted parts of a
+window, are shuffled once; each part counts its events by leaf in each tree (numpy, vectorized),
+and a window's counts are gathered to one row per tree (at most as many leaves as a tree has);
+(3) a part meets the 25 rows of the window before.  A node's mass is the number of events in a
+range of leaves, so it is a difference of two running counts: no node above the leaves is stored.
+
+What a key's last window leaves behind, its statistics and its leaf counts, is the whole model;
+``streaming/half_space.py`` keeps it between micro-batches.
 """
 
 from __future__ import annotations
@@ -20,7 +21,6 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 FEATURES = ("latency", "risk_score", "distance")
 
@@ -54,82 +54,102 @@ def _leaves(x: np.ndarray, trees, height: int) -> np.ndarray:
     return out
 
 
-def _leaf_udf(trees, height: int):
-    @F.pandas_udf(T.ArrayType(T.IntegerType()))
-    def leaves(*cols: pd.Series) -> pd.Series:
-        return pd.Series(list(_leaves(np.column_stack([c.to_numpy(dtype=float) for c in cols]), trees, height)))
-    return leaves
+def _count(trees, height: int, by: list[str], feats: list[str]):
+    """The events of a part of a window by tree and leaf."""
+    def run(events: pd.DataFrame) -> pd.DataFrame:
+        at = _leaves(events[feats].to_numpy(dtype=float), trees, height)
+        found = [np.unique(at[:, t], return_counts=True) for t in range(at.shape[1])]
+        out = pd.DataFrame({"_t": np.repeat(np.arange(len(found)), [len(x) for x, _ in found]),
+                            "_leaf": np.concatenate([x for x, _ in found]),
+                            "_c": np.concatenate([c for _, c in found])})
+        for i, c in enumerate(by):
+            out.insert(i, c, events[c].iloc[0])
+        return out
+    return run
 
 
 def _score(trees, height: int, id_col: str, feats: list[str]):
-    """Scores a part of a window: its events, and per tree the leaves that have a score."""
+    """Scores a part of a window: its events, and per tree the leaf counts of the window before."""
     def run(events: pd.DataFrame, model: pd.DataFrame) -> pd.DataFrame:
-        total = np.zeros(len(events))
+        total, n = np.zeros(len(events)), events["_n"].to_numpy(dtype=float)
         if len(events):
-            at = _leaves(events[feats].to_numpy(dtype=float), trees, height)
-            for t, leaf, score in zip(model["_t"], model["_leaf"], model["_s"]):
-                leaf, score = np.asarray(leaf), np.asarray(score, dtype=float)
-                i = np.searchsorted(leaf, at[:, t]).clip(0, len(leaf) - 1)
-                total += np.where(leaf[i] == at[:, t], score[i], 0.0)
-        most = len(trees[0]) * (2.0 ** (height + 1) - 1) * events["_n"].to_numpy(dtype=float)
+            at = _leaves(events[feats].to_numpy(dtype=float), trees, height).astype(np.int64)
+            for t, leaf, count in zip(model["_t"], model["_leaf"], model["_c"]):
+                leaf, before = np.asarray(leaf), np.concatenate(([0], np.cumsum(np.asarray(count))))
+                on = np.ones(len(events), dtype=bool)
+                for d in range(height + 1):
+                    low = (at[:, t] >> height - d) << height - d
+                    mass = (before[np.searchsorted(leaf, low + (1 << height - d))]
+                            - before[np.searchsorted(leaf, low)])
+                    total += np.where(on, mass * 2.0 ** d, 0.0)
+                    on &= mass >= n * 0.1  # nodes after the first node whose mass is under the limit do not count
+        most = len(trees[0]) * (2.0 ** (height + 1) - 1) * n
         return pd.DataFrame({id_col: events[id_col], "hst_score": 1.0 - total / most})
     return run
 
 
-def half_space_scores(df: DataFrame, window_seconds: int = 3600, key: str | None = None,
-                      n_trees: int = 25, height: int = 15, seed: int = 42, id_col: str = "event_id",
-                      ts: str = "timestamp_ns", features=FEATURES, part_rows: int = 50_000) -> DataFrame:
-    """M4: per event ``hst_score`` in [0, 1] (high = anomalous); NULL in a key's first
-    window (no model yet).  A window without events is no window: the next one is scored by
-    the last one that has some."""
+def score_windows(df: DataFrame, window_seconds: int = 3600, key: str | None = None, n_trees: int = 25,
+                  height: int = 15, seed: int = 42, id_col: str = "event_id", ts: str = "timestamp_ns",
+                  features=FEATURES, part_rows: int = 50_000, before: tuple[DataFrame, DataFrame] | None = None,
+                  ) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(scores, statistics, leaves): the events' ids and scores (M4), and of each key's last window the
+    statistics and the leaf counts.  ``before`` is what an earlier call left: its windows come before
+    all of ``df``."""
     keys, feats = [key] if key else [], list(features)
     trees = _trees(n_trees, height, len(feats), seed)
     x = df.select(id_col, ts, *keys, *feats).withColumn(
         "_t0", F.floor(F.col(ts) / F.lit(window_seconds * 1_000_000_000)).cast("long"))
     # (1) scale a window with the statistics of the one before it (logistic squash to [0, 1]);
     # a key's first window has none: it is scaled with its own and only learned from
-    st = x.groupBy(*keys, "_t0").agg(F.count(F.lit(1)).alias("_n"),
-                                     *[F.avg(f).alias(f"_m_{f}") for f in feats],
-                                     *[F.stddev_pop(f).alias(f"_s_{f}") for f in feats])
+    stats = x.groupBy(*keys, "_t0").agg(F.count(F.lit(1)).alias("_n"),
+                                        *[F.avg(f).alias(f"_m_{f}") for f in feats],
+                                        *[F.stddev_pop(f).alias(f"_s_{f}") for f in feats])
+    if before is not None:
+        stats = stats.unionByName(before[0].select(*stats.columns))
     order = (Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))).orderBy("_t0")  # a row a window
-    st = st.withColumn("_w", F.row_number().over(order))
-    last = [c for c in st.columns if c.startswith(("_m_", "_s_", "_n"))]
-    st = st.select(*keys, "_t0", "_w", F.col("_n").alias("_here"), F.lag("_n").over(order).alias("_n"),
-                   *[F.coalesce(F.lag(c).over(order), F.col(c)).alias(c) for c in last if c != "_n"])
+    stats = stats.withColumn("_w", F.row_number().over(order)).withColumn("_last", F.lead("_t0").over(order).isNull())
+    moments = [c for c in stats.columns if c.startswith(("_m_", "_s_"))]
+    st = stats.select(*keys, "_t0", "_w", F.col("_n").alias("_here"), F.lag("_n").over(order).alias("_n"),
+                      *[F.coalesce(F.lag(c).over(order), F.col(c)).alias(c) for c in moments])
     parts = F.greatest(F.lit(1), F.ceil(F.col("_here") / part_rows)).cast("int")
     st = st.withColumn("_parts", parts)
-    x = x.join(st, [*keys, "_t0"])
+    same = [x[c].eqNullSafe(st[c]) for c in keys] + [x["_t0"] == st["_t0"]]
+    x = x.join(st, same).drop(*[st[c] for c in [*keys, "_t0"]])
     scaled = [(1 / (1 + F.exp(-(F.col(f) - F.col(f"_m_{f}")) / F.greatest(F.col(f"_s_{f}"), F.lit(1e-9)))))
               .alias(f"_x{i}") for i, f in enumerate(feats)]
     names = [f"_x{i}" for i in range(len(feats))]
     x = x.select(id_col, *keys, "_w", "_n", F.pmod(F.xxhash64(id_col), F.col("_parts")).alias("_part"), *scaled)
-    # (2) masses per (tree, node, window): leaves counted, then summed to ancestors
-    leaf = _leaf_udf(trees, height)(*[F.col(c) for c in names])
-    lc = (x.select(*keys, "_w", "_n", F.posexplode(leaf).alias("_t", "_leaf"))
-          .groupBy(*keys, "_w", "_n", "_t", "_leaf").agg(F.count(F.lit(1)).alias("_c")))
-    up = F.explode(F.sequence(F.lit(0), F.lit(height))).alias("_d")
-    node = F.expr(f"shiftright(_leaf, {height} - _d)").alias("_node")
-    anc = lc.select(*keys, "_w", "_t", up, "_leaf", "_c").select("*", node)
-    mass = anc.groupBy(*keys, "_w", "_t", "_d", "_node").agg(F.sum("_c").alias("_mass"))
-    mass = mass.withColumn("_w", F.col("_w") + 1)  # a window's masses score the next one
-    # (3) per (tree, leaf) of a window: ancestor masses of the one before, with the size-limit stop
-    path = (lc.filter(F.col("_n").isNotNull()).select(*keys, "_w", "_t", "_leaf", "_n", up).select("*", node)
-            .join(mass, [*keys, "_w", "_t", "_d", "_node"], "left").fillna(0, ["_mass"]))
-    steps = (path.groupBy(*keys, "_w", "_t", "_leaf", "_n")
-             .agg(F.array_sort(F.collect_list(F.struct("_d", "_mass"))).alias("_p")))  # height + 1 nodes
-    # nodes after the first node whose mass is under the limit do not count
-    small = F.transform("_p", lambda p: p["_mass"] < F.col("_n") * 0.1)
-    stop = F.array_position(small, True)
-    counted = F.when(stop > 0, F.slice("_p", 1, stop.cast("int"))).otherwise(F.col("_p"))
-    score = F.aggregate(counted, F.lit(0.0), lambda acc, p: acc + p["_mass"] * F.pow(F.lit(2.0), p["_d"]))
-    model = (steps.select(*keys, "_w", "_t", "_leaf", score.alias("_s")).groupBy(*keys, "_w", "_t")
-             .agg(F.array_sort(F.collect_list(F.struct("_leaf", "_s"))).alias("_l"))
-             .join(st.select(*keys, "_w", "_parts"), [*keys, "_w"])
-             .select(*keys, "_w", "_t", F.col("_l._leaf").alias("_leaf"), F.col("_l._s").alias("_s"),
-                     F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)).alias("_part")))
-    # (4) a window's parts meet its model
+    # (2) leaf counts per (window, tree)
     by = [*keys, "_w", "_part"]
-    model = model.select(*[F.col(c).alias(f"_m{c}") for c in by], "_t", "_leaf", "_s")
+    kinds = ", ".join(f"{k} {dict(df.dtypes)[k]}" for k in keys) + ", " * bool(keys)
+    counts = (x.groupBy(*by).applyInPandas(_count(trees, height, [*keys, "_w"], names),
+                                           f"{kinds}_w int, _t int, _leaf int, _c long")
+              .groupBy(*keys, "_w", "_t", "_leaf").agg(F.sum("_c").alias("_c")))
+    if before is not None:  # a key's earlier window is its first here
+        counts = counts.unionByName(before[1].withColumn("_w", F.lit(1)).select(*counts.columns))
+    leaves = F.array_sort(F.collect_list(F.struct("_leaf", "_c")))
+    model = counts.groupBy(*keys, "_w", "_t").agg(leaves.alias("_l"))
+    # (3) a window's parts meet the counts of the window before
+    after = st.select(*[F.col(c).alias(f"_k{c}") for c in keys], (F.col("_w") - 1).alias("_v"), "_parts")
+    on = [F.col(c).eqNullSafe(F.col(f"_k{c}")) for c in keys] + [F.col("_w") == F.col("_v")]
+    model = (model.join(after, on)
+             .select(*[F.col(c).alias(f"_m{c}") for c in keys], (F.col("_w") + 1).alias("_m_w"), "_t",
+                     F.col("_l._leaf").alias("_leaf"), F.col("_l._c").alias("_c"),
+                     F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)).alias("_p")))
+    model = model.select("*", F.col("_p").cast("long").alias("_m_part")).drop("_p")
     scored = (x.filter(F.col("_n").isNotNull()).groupBy(*by).cogroup(model.groupBy(*[f"_m{c}" for c in by]))
               .applyInPandas(_score(trees, height, id_col, names), f"{id_col} {dict(df.dtypes)[id_col]}, hst_score double"))
+    last = stats.filter("_last")
+    ends = last.select(*[F.col(c).alias(f"_k{c}") for c in keys], F.col("_w").alias("_v"))
+    left = counts.join(ends, on, "left_semi").drop("_w")
+    return scored, last.drop("_w", "_last"), left
+
+
+def half_space_scores(df: DataFrame, window_seconds: int = 3600, key: str | None = None,
+                      n_trees: int = 25, height: int = 15, seed: int = 42, id_col: str = "event_id",
+                      ts: str = "timestamp_ns", features=FEATURES, part_rows: int = 50_000) -> DataFrame:
+    """M4: per event ``hst_score`` in [0, 1] (high = anomalous); NULL in a key's first
+    window (no model yet).  A window without events is no window: the next one is scored by
+    the last one that has some."""
+    scored, _, _ = score_windows(df, window_seconds, key, n_trees, height, seed, id_col, ts, features, part_rows)
     return df.join(scored, id_col, "left")
