@@ -7,6 +7,8 @@ import ipaddress
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .bind import bind
+
 _QUAD = r"^(\d{1,3})\.(\d{1,3})\.(\d{1,3})\.(\d{1,3})$"
 
 
@@ -30,27 +32,44 @@ def ip_key(ip: str) -> str:
 _GROUPS = r"(?i)^([0-9a-f]{1,4}(:[0-9a-f]{1,4})*)?$"
 
 
+def _hex(group: Column, width: int) -> Column:
+    return F.lpad(F.lower(group), width, "0")
+
+
+def _v4_key(c: Column) -> Column:
+    """Dotted quad -> 8 hex digits; anything else -> NULL."""
+    def key(parts: Column) -> Column:
+        ok = (F.size(parts) == 4) & F.forall(parts, lambda p: p.rlike("^[0-9]{1,3}$") & (p.try_cast("int") <= 255))
+        return F.when(ok, F.array_join(F.transform(parts, lambda p: _hex(F.hex(p.try_cast("long")), 2)), ""))
+    return bind(F.split(c, "[.]"), key)
+
+
+def _v6_key(c: Column) -> Column:
+    """IPv6 text, perhaps with one ``::`` and a dotted quad at its end -> 32 hex digits, else NULL."""
+    def of_halves(h: Column) -> Column:
+        left, right = F.get(h, F.lit(0)), F.coalesce(F.get(h, F.lit(1)), F.lit(""))
+        groups = lambda x: F.filter(F.split(x, ":"), lambda g: g != "")
+        plain = (F.size(h) <= 2) & left.rlike(_GROUPS) & right.rlike(_GROUPS)
+
+        def key(g: Column) -> Column:
+            n = F.size(g["l"]) + F.size(g["r"])
+            ok = g["ok"] & F.when(F.size(h) == 2, n <= 7).otherwise(n == 8)
+            all_ = F.concat(g["l"], F.array_repeat(F.lit("0"), F.lit(8) - n), g["r"])
+            return F.when(ok, F.array_join(F.transform(all_, lambda x: _hex(x, 4)), ""))
+        return bind(F.struct(groups(left).alias("l"), groups(right).alias("r"), plain.alias("ok")), key)
+
+    def of_quad(quad: Column) -> Column:
+        text = F.when(quad == "", c).otherwise(bind(_v4_key(quad), lambda q: F.concat(
+            F.left(c, F.length(c) - F.length(quad)), F.left(q, F.lit(4)), F.lit(":"), F.right(q, F.lit(4)))))
+        return bind(F.split(text, "::"), of_halves)
+    return bind(F.regexp_extract(c, r":([0-9.]+[.][0-9.]+)$", 1), of_quad)
+
+
 def ip_to_key(col) -> Column:
     """Address text -> the key of ``ip_key``; anything else -> NULL.  An IPv6 address may have
-    one ``::`` and end in a dotted quad."""
+    one ``::`` and end in a dotted quad.  Every step is worked out once for a row."""
     c = F.col(col) if isinstance(col, str) else col
-    v4 = ip_to_long(c)
-    quad = F.regexp_extract(c, r":([0-9.]+\.[0-9.]+)$", 1)
-    q = ip_to_long(quad)
-    text = F.when(quad == "", c).otherwise(F.concat(
-        F.left(c, F.length(c) - F.length(quad)), F.hex(F.shiftright(q, 16)), F.lit(":"),
-        F.hex(q.bitwiseAND(F.lit(65535)))))
-    halves = F.split(text, "::")
-    left, right = F.element_at(halves, 1), F.coalesce(F.try_element_at(halves, F.lit(2)), F.lit(""))
-    groups = lambda h: F.filter(F.split(h, ":"), lambda g: g != "")
-    n = F.size(groups(left)) + F.size(groups(right))
-    short = F.size(halves) == 2
-    ok = (c.contains(":") & left.rlike(_GROUPS) & right.rlike(_GROUPS)
-          & ((short & (n <= 7)) | ((F.size(halves) == 1) & (n == 8))))
-    zeros = F.array_repeat(F.lit("0"), F.when(ok, F.lit(8) - n).otherwise(F.lit(0)))
-    v6 = F.array_join(F.transform(F.concat(groups(left), zeros, groups(right)),
-                                  lambda g: F.lpad(F.lower(g), 4, "0")), "")
-    return F.when(v4.isNotNull(), F.lpad(F.lower(F.hex(v4)), 8, "0")).when(F.coalesce(ok, F.lit(False)), v6)
+    return bind(c, lambda x: F.when(F.instr(x, ":") > 0, _v6_key(x)).otherwise(_v4_key(x)))
 
 
 def cidr_bounds(cidr: str) -> tuple[int, int]:
@@ -76,9 +95,9 @@ def ip_in_cidr(ip_col, cidr: str) -> Column:
 
 def ip_in_range(ip_col, lo_ip: str, hi_ip: str) -> Column:
     lo, hi = ip_key(lo_ip), ip_key(hi_ip)
-    v = ip_to_key(ip_col)
     # a reversed range holds nothing; an address of the other family is in no range
-    return F.when(v.isNotNull(), v.between(F.lit(lo), F.lit(hi)) & (F.length(v) == len(lo)))
+    return bind(ip_to_key(ip_col), lambda v: F.when(
+        v.isNotNull(), v.between(F.lit(lo), F.lit(hi)) & (F.length(v) == len(lo))))
 
 
 def cidr_expand(spark, cidr: str):

@@ -16,6 +16,8 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.bind import bind
+
 _MAP, _LIST = "map<string,variant>", "array<variant>"
 
 
@@ -28,11 +30,6 @@ def document(json_text) -> Column:
     return F.try_parse_json(_col(json_text))
 
 
-def bind(value: Column, use) -> Column:
-    """``use(value)`` with the value worked out once, however often ``use`` refers to it."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
-
-
 def as_object(v: Column) -> Column:
     """The members of an object; NULL for anything else."""
     return F.try_variant_get(v, "$", _MAP)

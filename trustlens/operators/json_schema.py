@@ -18,7 +18,8 @@ import json
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .documents import as_array, as_object, bind, document, same_document
+from ..functions.bind import bind
+from .documents import as_array, as_object, document, same_document
 
 _ERROR = "struct<code:string,path:string>"
 
