@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Column
 from pyspark.sql import functions as F
 
 from ..functions.events import risk_score, ts_to_ns
+from .health import in_periods
 
 FLAGS = ("allow", "requires_2fa", "requires_biometric", "block", "alert")
 
@@ -110,6 +111,13 @@ def fail_closed(df: DataFrame, bad: Column) -> DataFrame:
     return out.withColumnRenamed("_bad", "denied_by_panic_mode")
 
 
+def deny_in_panic(decided: DataFrame, periods: DataFrame, node: str = "node", ts: str = "timestamp_ns") -> DataFrame:
+    """Decided requests, failed closed where the node that serves them was in PANIC at the time
+    (``periods`` as of ``health.panic_periods``)."""
+    flagged = in_periods(decided, periods, "_in_panic", node, ts)
+    return fail_closed(flagged, F.col("_in_panic")).drop("_in_panic")
+
+
 def decision_reason_col() -> Column:
     return (F.when(F.col("block"), "impossible_travel")
              .when(F.col("requires_2fa") & F.col("requires_biometric"), "low_trust+admin")

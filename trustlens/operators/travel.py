@@ -5,6 +5,7 @@ user holding a third of the table would stall the stage.  ``lag_within`` splits
 each key by a time slice, lags inside (key, slice), and patches the first row of a
 slice with the last row of the key's previous non-empty slice (found from a small
 per-(key, slice) max_by aggregate).  Same result, bounded task size.
+The slices are as fine as the fullest key needs (``slice_seconds``).
 """
 
 from __future__ import annotations
@@ -16,10 +17,28 @@ from pyspark.sql import functions as F
 EARTH_RADIUS_KM = 6371.0
 
 
+SLICE_ROWS = 1_000_000  # rows of a key in one time slice, where finer slices can have that
+
+
+def slice_seconds(df: DataFrame, keys: list[str], ts: str, most: int = SLICE_ROWS) -> int:
+    """The time slices to split keys by: a day, or as much finer as the fullest slice of a key asks
+    for, down to a second.  Counts are partial aggregates; usually one pass over two columns."""
+    s = 86_400
+    while s > 1:
+        slot = F.floor(F.col(ts) / F.lit(s * 1_000_000_000))
+        full = df.groupBy(*keys, slot.alias("_s")).count().agg(F.max("count")).first()[0] or 0
+        if full <= most:
+            break
+        s = max(1, min(s // 2, s * most // full))
+    return s
+
+
 def lag_within(df: DataFrame, keys: list[str], ts: str, tie: str | None, cols: list[str],
-               split_seconds: int = 86400) -> DataFrame:
+               split_seconds: int | None = None) -> DataFrame:
     """Adds ``prev_<c>`` for each c in cols (and ``prev_<ts>``): the previous row of the same
-    key in (ts, tie) order, or NULL for the key's first row."""
+    key in (ts, tie) order, or NULL for the key's first row.  Without ``split_seconds`` the slices
+    follow the row counts."""
+    split_seconds = split_seconds or slice_seconds(df, keys, ts)
     order = [ts] + ([tie] if tie and tie in df.columns else [])
     carry_cols = list(dict.fromkeys(cols + [ts]))
     d = df.withColumn("_split", F.floor(F.col(ts) / F.lit(split_seconds * 1_000_000_000)).cast("long"))
@@ -47,7 +66,7 @@ def great_circle_km(lat1, lon1, lat2, lon2):
 
 def with_previous_login(df: DataFrame, key: str = "user_did", ts: str = "timestamp_ns",
                         tie: str = "event_id", lat: str = "lat", lon: str = "lon",
-                        split_seconds: int = 86400) -> DataFrame:
+                        split_seconds: int | None = None) -> DataFrame:
     """distance_km and time_delta_mins since the same user's previous event.
     First event of a user: NULLs.  Missing coordinates on either side: NULL distance."""
     x = lag_within(df, [key], ts, tie, [lat, lon], split_seconds)

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import events as ev
-from ..operators import decisions as D
+from ..operators import decisions as D, health as H
 from ..operators.rules import RuleSet, not_
-from .bindings import REQUESTS_CTE, access_requests
+from .bindings import REQUESTS_CTE, access_requests, table
 from .q_anomaly import R
 from .registry import query
 
@@ -83,6 +83,53 @@ def fail_closed(spark, sf_dir):
                       F.get_json_object("context_snapshot", "$.denied_by_panic_mode").alias("tag"))
 
 
+# B-HL: events as the delivery log of five nodes; requests get a node and a time within it.
+HEALTH_CTE = """hl AS (SELECT 'n' || (user_id % 5) AS node, epoch_us(ts) * 1000 AS t, event_id AS seq,
+         event_type <> 'error' AS sent, CAST(floor(value * 60) AS BIGINT) AS backlog FROM events),
+h1 AS (SELECT *, lag(sent) OVER (PARTITION BY node ORDER BY t, seq) AS ps,
+              row_number() OVER (PARTITION BY node ORDER BY t, seq) AS rn FROM hl),
+h2 AS (SELECT *, max(CASE WHEN ps IS NULL OR ps <> sent THEN t END) OVER (PARTITION BY node ORDER BY rn) AS since FROM h1),
+h3 AS (SELECT *, max(CASE WHEN backlog >= 10000 OR (NOT sent AND t - since >= 300000000000) THEN rn END)
+                   OVER (PARTITION BY node ORDER BY rn) AS entered,
+              max(CASE WHEN backlog < 2000 AND sent AND t - since >= 30000000000 THEN rn END)
+                   OVER (PARTITION BY node ORDER BY rn) AS exited FROM h2),
+hs AS (SELECT node, t, seq, CASE WHEN entered > coalesce(exited, 0) THEN 'PANIC'
+                                 WHEN backlog > 0 OR NOT sent THEN 'DEGRADED' ELSE 'NORMAL' END AS state FROM h3)"""
+
+
+def _health_log(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    return e.select(F.concat(F.lit("n"), (F.col("user_id") % 5).cast("string")).alias("node"),
+                    (F.unix_micros(F.col("ts").cast("timestamp")) * 1000).alias("timestamp_ns"), F.col("event_id").alias("seq"),
+                    (F.col("event_type") != "error").alias("sent"),
+                    F.floor(F.col("value") * 60).cast("long").alias("backlog"), F.lit(0).cast("long").alias("db_bytes"))
+
+
+@query("health_states", "X4", f"WITH {HEALTH_CTE} SELECT node, seq, state FROM hs")
+def health_states(spark, sf_dir):
+    return H.health_states(_health_log(spark, sf_dir)).select("node", "seq", "state")
+
+
+@query("deny_in_panic", "D5 X4", f"""WITH {DECIDED}, {HEALTH_CTE},
+at_ AS (SELECT node, t, arg_max(state, seq) AS state FROM hs GROUP BY node, t),
+q AS (SELECT r.*, 'n' || (o_custkey % 5) AS node, 1704067200000000000 + (o_orderkey * 7919 % 2592000) * 1000000000 AS t
+      FROM r JOIN orders ON o_orderkey = request_id),
+p AS (SELECT q.*, coalesce(at_.state = 'PANIC', false) AS bad FROM q ASOF LEFT JOIN at_ ON q.node = at_.node AND q.t >= at_.t)
+SELECT request_id, bad AS denied_by_panic_mode, allow AND NOT bad AS allow, requires_2fa OR bad AS requires_2fa,
+       requires_biometric OR bad AS requires_biometric, block OR bad AS block, alert OR bad AS alert,
+       round(CASE WHEN bad THEN 1.0 ELSE risk END, {R}) AS risk_score FROM p""")
+def deny_in_panic(spark, sf_dir):
+    r = access_requests(spark, sf_dir)
+    k = F.col("o_orderkey")
+    where = table(spark, sf_dir, "orders").select(
+        k.alias("request_id"), F.concat(F.lit("n"), (F.col("o_custkey") % 5).cast("string")).alias("node"),
+        (F.lit(1_704_067_200_000_000_000) + k * 7919 % 2592000 * 1_000_000_000).alias("timestamp_ns"))
+    d = D.decide(r).withColumn("risk_score", D.request_risk(r)).select("request_id", *D.FLAGS, "risk_score")
+    periods = H.panic_periods(H.health_states(_health_log(spark, sf_dir)))
+    out = D.deny_in_panic(d.join(where, "request_id"), periods)
+    return out.select("request_id", "denied_by_panic_mode", *D.FLAGS, F.round("risk_score", R).alias("risk_score"))
+
+
 @query("decision_report", "D7", f"""WITH {DECIDED}
 SELECT audit_label AS label,
        CASE WHEN block THEN 'impossible_travel' WHEN requires_2fa AND requires_biometric THEN 'low_trust+admin'
