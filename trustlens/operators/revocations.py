@@ -8,8 +8,12 @@ map-side, one shuffle on credential_id).
 
 from __future__ import annotations
 
+import logging
+
 from functools import reduce
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -92,12 +96,23 @@ def load_snapshot(spark: SparkSession, path: str, log: DataFrame | None = None)
     return merge_replicas(snap, log) if log is not None else current_revocations(snap)
 
 
+_LOG = logging.getLogger(__name__)
+# Error conditions of a snapshot that is not there or cannot be read.
+_UNREADABLE = ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA", "CANNOT_READ_FILE_FOOTER", "FAILED_READ_FILE",
+               "UNRESOLVED_COLUMN", "is not a Parquet file")
+
+
 def load_or_rebuild(spark: SparkSession, path: str, log: DataFrame) -> DataFrame:
-    """An unreadable snapshot means start empty and rebuild from the log."""
+    """A snapshot that is missing or unreadable means start empty and rebuild from the log; the
+    reason is logged.  What is no fault of the snapshot (no permission, a lost cluster) is raised."""
     try:
         snap = spark.read.parquet(path)
         snap.select(KEY, *ENTRY).limit(1).collect()  # force the footer read
-    except Exception:  # noqa: BLE001 - any read failure falls back to the log
+    except (PySparkException, Py4JJavaError) as e:
+        why = next((x for x in _UNREADABLE if x in str(e)), None)
+        if why is None:
+            raise
+        _LOG.warning("snapshot %s is rebuilt from the log: %s", path, why)
         return current_revocations(log)
     return merge_replicas(snap, log)
 
@@ -151,5 +166,5 @@ def union_of_sets(sets):
 
 def intersection_of_sets(sets):
     """Intersection of an array of sets; empty input -> empty set."""
-    first = F.coalesce(F.element_at(sets, 1), F.array().cast("array<string>"))
+    first = F.coalesce(F.get(sets, F.lit(0)), F.array().cast("array<string>"))
     return set_of(F.aggregate(sets, first, lambda acc, s: F.array_intersect(acc, s)))

@@ -88,6 +88,34 @@ def collect(coll, pred, expr=None, kind: str = "array") -> Column:
     raise ValueError(kind)
 
 
+def collect_table(df: DataFrame, definitions, by: tuple[str, ...] = (), name: str = "value") -> DataFrame:
+    """D6k over the table, set form: (*by, name), each value that some row gives, once.
+
+    ``definitions`` are (condition, value) pairs: a row whose condition holds (undefined is false) adds its
+    value; an undefined value adds nothing.  The table is read once for all definitions.  A set is rows,
+    not an array: equal values are combined where they are read, so neither a hot value nor a set of
+    any size lands in one task.
+    """
+    found = F.filter(F.array(*[F.when(truthy(c), F.struct(_v(v).alias(name))) for c, v in definitions]),
+                     lambda x: x.isNotNull() & x[name].isNotNull())
+    return df.select(*by, F.inline(found)).distinct()
+
+
+def collect_pairs(df: DataFrame, definitions, by: tuple[str, ...] = ()) -> DataFrame:
+    """D6k over the table, object form: (*by, key, value, conflict), a row for each key.
+
+    ``definitions`` are (condition, key, value) triples.  A key that gets more than one value is in
+    ``conflict`` and has no value.  Equal pairs are combined first, where they are read, and the values of
+    a key are only counted, so a hot key is not one task's work.
+    """
+    found = F.filter(F.array(*[F.when(truthy(c), F.struct(_v(k).alias("key"), _v(v).alias("value")))
+                               for c, k, v in definitions]),
+                     lambda x: x.isNotNull() & x["key"].isNotNull() & x["value"].isNotNull())
+    pairs = df.select(*by, F.inline(found)).distinct()
+    one = pairs.groupBy(*by, "key").agg(F.min("value").alias("value"), (F.count(F.lit(1)) > 1).alias("conflict"))
+    return one.withColumn("value", F.when(~F.col("conflict"), F.col("value")))
+
+
 class RuleSet:
     """Builder of named rules; ``apply(df)`` adds one column per rule."""
 
@@ -137,6 +165,17 @@ class RuleSet:
         self._funcs[name] = fn
         return self
 
+    def define(self, name: str, *definitions, default=None) -> "RuleSet":
+        """A function rule of several definitions: (condition, value) pairs of functions of the
+        arguments.  The first whose condition holds (undefined is false) gives the value, else ``default``."""
+        def fn(*args: Column) -> Column:
+            e = None
+            for condition, value in definitions:
+                c, v = truthy(condition(*args)), _v(value(*args))
+                e = F.when(c, v) if e is None else e.when(c, v)
+            return _v(default) if e is None else e.otherwise(_v(default))
+        return self.function(name, fn)
+
     def call(self, name: str, *args) -> Column:
         return self._funcs[name](*[_c(a) for a in args])
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import events as ev
 from ..operators import decisions as D, health as H
-from ..operators.rules import RuleSet, not_
+from ..operators.rules import RuleSet, collect_pairs, collect_table, not_
 from .bindings import REQUESTS_CTE, access_requests, table
 from .q_anomaly import R
 from .registry import query
@@ -197,3 +197,26 @@ def policy_diff(spark, sf_dir):
     a = lambda df: product_rules().apply(df).drop(*D.FLAGS)
     b = lambda df: product_rules(0.8, 500.0).apply(df).drop(*D.FLAGS)
     return D.policy_diff(r, a, b).select("request_id", "label_a", "label_b")
+
+
+@query("collected_values", "D6k", f"""WITH {REQUESTS_CTE}
+SELECT DISTINCT resource_name, v FROM (
+  SELECT resource_name, 'far' AS v FROM requests WHERE distance_km > 1000
+  UNION ALL SELECT resource_name, 't' || CAST(floor(trust_score * 10) AS BIGINT) FROM requests WHERE trust_score < 0.55)""")
+def collected_values(spark, sf_dir):
+    trust = F.col("device.trust_score")
+    r = access_requests(spark, sf_dir).withColumn("resource_name", F.col("resource.name"))
+    return collect_table(r, [(F.col("context.distance_km") > 1000, "far"),
+                             (trust < 0.55, F.concat(F.lit("t"), F.floor(trust * 10).cast("string")))], ("resource_name",), "v")
+
+
+@query("collected_pairs", "D6k", """WITH p AS (
+  SELECT o_custkey % 97 AS key, o_orderstatus AS value FROM orders WHERE o_orderstatus = 'P' OR o_custkey % 3 = 0
+  UNION ALL SELECT 1000 + o_orderkey % 7, 'late' FROM orders WHERE o_orderstatus = 'O')
+SELECT key, CASE WHEN count(DISTINCT value) = 1 THEN min(value) END AS value, count(DISTINCT value) > 1 AS conflict
+FROM p GROUP BY key""")
+def collected_pairs(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus")
+    st = F.col("o_orderstatus")
+    return collect_pairs(o, [((st == "P") | (F.col("o_custkey") % 3 == 0), F.col("o_custkey") % 97, st),
+                             (st == "O", 1000 + F.col("o_orderkey") % 7, "late")])

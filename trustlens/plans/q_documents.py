@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import documents as D, json_schema as S
+from ..operators import documents as D, fields as X, json_schema as S
 from .bindings import table
 from .registry import query
 
@@ -28,6 +28,7 @@ _SQL_DOCS = f"""d AS (SELECT k, {_LEFT} AS doc, {_RIGHT} AS patch, {_SUB} AS sub
 def _docs(spark, sf_dir):
     o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_orderstatus").alias("s"),
                                               F.floor("o_totalprice").cast("long").alias("p"))
+    o = o.repartition(spark.sparkContext.defaultParallelism)  # a small file is one scan task; parsing is the work
     return o.select("k", *[F.expr(text).alias(n) for n, text in (("doc", _LEFT), ("patch", _RIGHT), ("sub", _SUB))])
 
 
@@ -141,3 +142,39 @@ SELECT split_part(meta, ' ', 1) AS error_code, regexp_replace(split_part(meta, '
        count(*) AS rows FROM e GROUP BY ALL""")
 def json_error_counts(spark, sf_dir):
     return S.error_counts(S.validate_json(_docs(spark, sf_dir), "doc", DOC_SCHEMA))
+
+
+# B-AL: an order as a resource with an array of rules; the alias table is derived from the orders' types.
+_RES = """'{"Type":"Shop/' || s || '","name":"n' || k || '","apiVersion":"' || (2019 + k % 2) || '","tags":{"Cost.Center":"c' || (k % 3)
+ || '"},"Properties":{"Rules":[{"properties":{"Access":"' || CASE WHEN k % 4 = 0 THEN 'Deny' ELSE 'Allow' END || '","port":' || (k % 5)
+ || '}},{"name":"x"},{"properties":{"Access":"Deny","port":' || (k % 7) || '}}],"state":{"Code":' || (k % 9) || ',"old":' || (k % 2) || '}}}'"""
+
+
+@query("resource_aliases", "C13 C24", f"""WITH r AS (SELECT o_orderkey AS k, o_orderstatus AS s FROM orders),
+a AS (SELECT k, s, CASE WHEN k % 4 = 0 THEN 'Deny' ELSE 'Allow' END AS first FROM r)
+SELECT k, CASE WHEN s <> 'P' THEN '["' || first || '","Deny"]' END AS access,
+       CASE WHEN s <> 'P' THEN '[' || (k % 5) || ',' || (k % 7) || ']' ELSE '[]' END AS ports,
+       CASE WHEN s = 'P' THEN NULL WHEN k % 2 = 0 THEN k % 2 ELSE k % 9 END AS code,
+       'c' || (k % 3) AS tag, 'n' || k AS full_name, '["' || first || '","Deny"]' AS by_path,
+       CASE WHEN s <> 'P' THEN '[{{"access":"' || first || '","port":' || (k % 5) || '}},{{}},{{"access":"Deny","port":' || (k % 7) || '}}]' END
+         AS elements FROM a""")
+def resource_aliases(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_orderstatus").alias("s"))
+    r = o.select("k", D.document(F.expr(_RES)).alias("doc")).repartition(spark.sparkContext.defaultParallelism, "k")
+    types = o.filter("s <> 'P'").select(F.concat(F.lit("shop/"), F.col("s")).alias("type")).distinct()
+    # fixed values of the binding: alias, path, API version (null: all others)
+    paths = (("Rules[*].access", "properties.rules[*].properties.access", None), ("Rules[*].port", "properties.rules[*].properties.port", None),
+             ("code", "properties.state.code", None), ("code", "properties.state.old", "2019"))
+    aliases = types.select("type", F.inline(F.array(*[F.struct(F.lit(a).alias("alias"), F.lit(p).alias("path"), F.lit(v).cast("string")
+                                                               .alias("api_version")) for a, p, v in paths])))
+    kind, api = X.field_value("type", "doc").cast("string"), X.field_value("apiVersion", "doc").cast("string")
+    x = X.alias_values(r, "doc", aliases, kind, api)
+    x = X.remap_elements(x, "doc", aliases, kind, api)
+    text = lambda c: F.to_json(c)
+    element = F.from_json(F.to_json(F.try_element_at("elements", F.lit("rules"))), "array<struct<access:string,port:int>>")
+    return x.select("k", text(F.try_element_at("aliases", F.lit("rules[*].access"))).alias("access"),
+                    text(X.field_value("RULES[*].port", F.lit(None).cast("variant"), "aliases")).alias("ports"),
+                    X.field_value("code", F.lit(None).cast("variant"), "aliases").cast("long").alias("code"),
+                    X.field_value("tags['Cost.Center']", "doc").cast("string").alias("tag"),
+                    X.field_value("fullName", "doc").cast("string").alias("full_name"),
+                    text(X.field_value("rules[*].properties.access", "doc")).alias("by_path"), F.to_json(element).alias("elements"))
