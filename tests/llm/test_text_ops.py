@@ -67,7 +67,7 @@ def test_contamination_matches_brute_force(spark, docs):
 def test_contamination_without_broadcast_and_with_empty_sides(spark, docs, monkeypatch):
     items = spark.createDataFrame(ITEMS, "item_id long, text string")
     whole = brute.count(decontam.contamination(docs(doc_rows()), items).collect())
-    monkeypatch.setattr(decontam, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(decontam, "BROADCAST_BYTES", -1)
     assert brute.count(decontam.contamination(docs(doc_rows()), items).collect()) == whole
     assert decontam.contamination(docs([]), items).count() == 0
     assert {r["n_hit"] for r in decontam.contamination(docs(doc_rows()), items.limit(0)).collect()} == {0}
@@ -76,13 +76,66 @@ def test_contamination_without_broadcast_and_with_empty_sides(spark, docs, monke
 def test_proximity_finds_words_that_moved(spark, docs):
     windows, _ = decontam.build_windows(spark.createDataFrame([(1, "alpha beta gamma delta")], "item_id long, text string"))
     d = docs([(1, "alpha beta gamma delta"), (2, "alpha so beta gamma delta"), (3, "alpha x x x x x x x beta gamma delta")])
-    index, anchors = decontam.build_index(d, windows)
-    got = lambda slop: {(r["doc_id"], r["distance"]) for r in decontam.proximity_matches(index, anchors, slop).collect()}
+    index, anchors = decontam.build_index(d, windows, False)
+    got = lambda slop: {(r["doc_id"], r["distance"]) for r in decontam.proximity_matches(d, index, anchors, slop).collect()}
     assert got(0) == {(1, 0)}
     assert got(2) == {(1, 0), (2, 1)}
     assert got(9) == {(1, 0), (2, 1), (3, 7)}
 
 
+def test_proximity_against_brute_force(spark, docs):
+    """Changed, moved and missing words, words that no document has, windows of one word."""
+    rng = random.Random(5)
+    base = [f"w{i}" for i in range(30)]
+    rows = []
+    for i in range(60):
+        t = base[:]
+        for _ in range(rng.randrange(4)):
+            j = rng.randrange(len(t))
+            t[j:j + 1] = rng.choice([[], ["new"], [t[j], "extra"], ["other", t[j]]])
+        rows.append((i if i % 9 else None, " ".join(t[rng.randrange(10):])))
+    items = [(1, " ".join(base)), (2, "w3 unknown w5 w6"), (3, "w7"), (4, "nowhere"), (5, "w1 w1 w2")]
+    d = docs(rows + rows[:3] + [(99, None), (98, "")])
+    windows, _ = decontam.build_windows(spark.createDataFrame(items, "item_id long, text string"), 6)
+    index, anchors = decontam.build_index(d, windows, False)
+    anchor = {}
+    for a in anchors.collect():
+        anchor.setdefault((a["wid"], a["phrase"]), {})[a["rank"]] = (a["term"], a["off"])
+    for slop, missing in ((0, 0), (2, 0), (2, 1), (3, 2)):
+        want = set()
+        for i, text in set(rows):
+            w = text.split()
+            for (wid, phrase), by in anchor.items():
+                term, off = by[1]
+                for start in (p - off for p, x in enumerate(w) if x == term):
+                    if 2 in by and not any(x == by[2][0] and abs(p - by[2][1] - start) <= slop for p, x in enumerate(w)):
+                        continue
+                    offs = [min((abs(p - start - k) for p, x in enumerate(w) if x == v and abs(p - start - k) <= slop), default=None)
+                            for k, v in enumerate(phrase.split())]
+                    gone = sum(o is None for o in offs)
+                    if gone <= missing:
+                        want.add((i, wid, start, max(o for o in offs if o is not None), gone))
+        got = decontam.proximity_matches(d, index, anchors, slop, missing).select("doc_id", "wid", "start", "distance", "missing")
+        rows_got = [tuple(r) for r in got.collect()]
+        assert set(rows_got) == want and len(want) > (5 if slop else 0)
+    assert any(p.split()[1:2] == ["unknown"] for _, p in anchor)
+    assert decontam.proximity_matches(docs([]), index.limit(0), anchors, 2).count() == 0
+
+
+def test_counterfactuals_reach_every_group():
+    religion = toxicity.counterfactuals({"muslims", "here"})
+    swapped = {w for c in religion for w in c} - {"here"}
+    assert {"christians", "jews", "hindus", "people"} <= swapped and not {"muslim", "islam", "muslims"} & swapped
+    for language, kinds in toxicity.IDENTITY.items():
+        for text in kinds.values():
+            groups = [set(g.split()) for g in text.split(";")]
+            for g in groups:
+                for term in g:
+                    others = set(toxicity.SWAPS[term])
+                    assert all(others & o for o in groups if o is not g and term not in o), (language, term)
+    assert toxicity.swaps_of({"x": {"k": "a b; c"}}, {"x": "n"}) == {"a": ("c", "n"), "b": ("c", "n"), "c": ("a", "n")}
+
+
 def test_base_spans_match_plain_patterns():
     rng = random.Random(3)
     for letters in ("ab.@-%+ 1é", "0123456789. -+()", "1.2 25@a", "09-1 "):

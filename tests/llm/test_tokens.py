@@ -169,6 +169,48 @@ def test_assignment_matches_the_table_and_keeps_rows(spark):
     assert sharding.assign_shards(df.limit(0), "doc_id", names, 101).count() == 0
 
 
+def test_the_table_is_filled_in_turns():
+    """An independent fill: a shard's next free slot is the first free one of its whole preference order."""
+    import hashlib
+
+    def number(text):
+        return int(hashlib.md5(text.encode()).hexdigest()[:16], 16)
+    for names, size in ((["a", "b", "c"], 11), ([f"n{i}" for i in range(5)], 101), ([f"shard-{i:02d}" for i in range(48)], 1009),
+                        (["only"], 2)):
+        orders = []
+        for s in names:
+            start, skip = number(f"offset:{s}") % size, number(f"skip:{s}") % (size - 1) + 1
+            orders.append([(start + j * skip) % size for j in range(size)])
+            assert sorted(orders[-1]) == list(range(size))  # a permutation
+        owner, turn = {}, 0
+        while len(owner) < size:
+            owner[next(x for x in orders[turn % len(names)] if x not in owner)] = turn % len(names)
+            turn += 1
+        assert sharding.lookup_table(names, size) == [owner[i] for i in range(size)]
+
+
+def test_the_registered_table_is_the_independent_one():
+    """Production parameters, with a pointer into each preference order."""
+    import hashlib
+
+    from trustlens.llm import queries
+    size, names = sharding.TABLE_SIZE, queries.SHARDS
+    digest = lambda t: int.from_bytes(hashlib.md5(t.encode()).digest()[:8], "big")
+    free, at, owner = set(range(size)), [0] * len(names), [None] * size
+    turn = 0
+    while free:
+        i = turn % len(names)
+        while True:
+            slot = (digest(f"offset:{names[i]}") % size + at[i] * (digest(f"skip:{names[i]}") % (size - 1) + 1)) % size
+            at[i] += 1
+            if slot in free:
+                break
+        free.remove(slot)
+        owner[slot] = i
+        turn += 1
+    assert sharding.lookup_table(names) == owner
+
+
 def test_written_shards_hold_every_row(spark, tmpdir_run):
     df = spark.range(200).withColumnRenamed("id", "doc_id")
     sharding.write_shards(df, "doc_id", ["a", "b"], tmpdir_run + "/out", 101, files_per_shard=3)

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from .common import ascii_lower, free_name, store
 
 N = 13
-BROADCAST_ROWS = 300_000  # a side of up to so many rows of about 100 bytes is sent to every executor
+BROADCAST_BYTES = 32_000_000  # a side of up to so many bytes, as counted, is sent to every executor
 
 
 def words(text: Column) -> Column:
@@ -28,9 +28,15 @@ def words(text: Column) -> Column:
     return F.array_remove(split, "")
 
 
-def _small(df: DataFrame, rows: int) -> DataFrame:
-    """Broadcast behind a check of the size; beyond it Spark shuffles both sides."""
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+def _size(df: DataFrame) -> int:
+    """Bytes of the rows: texts as they are, 16 for anything else."""
+    each = [F.coalesce(F.octet_length(c), F.lit(0)) + 16 if t == "string" else F.lit(16) for c, t in df.dtypes]
+    return df.agg(F.sum(sum(each, F.lit(0)))).first()[0] or 0
+
+
+def _small(df: DataFrame, size: int) -> DataFrame:
+    """Broadcast behind a check of its size; beyond it Spark shuffles both sides."""
+    return F.broadcast(df) if size <= BROADCAST_BYTES else df
 
 
 def _documents(docs: DataFrame) -> DataFrame:
@@ -57,27 +63,28 @@ def _postings(docs: DataFrame, terms: DataFrame, n_terms: int) -> DataFrame:
     return at.join(_small(terms, n_terms), "term")
 
 
-def build_index(docs: DataFrame, windows: DataFrame) -> tuple[DataFrame, DataFrame]:
+def build_index(docs: DataFrame, windows: DataFrame, whole: bool = True) -> tuple[DataFrame, DataFrame]:
     """The stored postings of the anchor words, and the anchors (wid, phrase, len, rank, term,
-    off): rank 1 is the window's rarest word, rank 2 the next, if it has two words."""
+    off): rank 1 is the rarest of the window's words that some document has, rank 2 the next, if there
+    are two.  ``whole`` leaves out windows with a word that no document has, which no phrase matches."""
     terms = windows.select("wid", "phrase", "len", F.posexplode(F.split("phrase", " ")).alias("off", "term"))
     vocabulary = store(terms.select("term").distinct())
-    n_terms = vocabulary.count()
+    n_terms = _size(vocabulary)
     counts = (_documents(docs).select(F.explode("words").alias("term"))
               .join(_small(vocabulary, n_terms), "term").groupBy("term").agg(F.count("*").alias("cf")))
     order = W.partitionBy("wid").orderBy("cf", "term", "off")
     anchors = store(terms.join(_small(counts, n_terms), "term")  # at most a row for each word of an item
                     .withColumn("known", F.count("*").over(W.partitionBy("wid")))
-                    .filter(F.col("known") == F.col("len"))
+                    .filter((F.col("known") == F.col("len")) if whole else F.lit(True))
                     .withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= 2)
                     .select("wid", "phrase", "len", "rank", "term", "off"))
     rare = store(anchors.select("term").distinct())
-    return store(_postings(docs, rare, rare.count())), anchors
+    return store(_postings(docs, rare, _size(rare))), anchors
 
 
 def phrase_candidates(index: DataFrame, anchors: DataFrame) -> DataFrame:
     """(doc_id, h, wid, phrase, len, start): where both anchors of a window are in their places."""
-    n = anchors.count()
+    n = _size(anchors)
 
     def moved(rank: int) -> DataFrame:
         a = _small(anchors.filter(F.col("rank") == rank), n)
@@ -91,11 +98,20 @@ def phrase_candidates(index: DataFrame, anchors: DataFrame) -> DataFrame:
     return both.unionByName(first.filter(F.col("len") == 1)).distinct()
 
 
-def proximity_matches(index: DataFrame, anchors: DataFrame, slop: int) -> DataFrame:
-    """(doc_id, wid, start, distance): both anchors of a window in the document, their distance at
-    most ``slop`` off from the window's.  Positions are dealt into stretches of ``slop`` so that
-    the join is by equality."""
-    n = anchors.count()
+def proximity_matches(docs: DataFrame, index: DataFrame, anchors: DataFrame, slop: int, missing: int = 0) -> DataFrame:
+    """(doc_id, h, wid, start, distance, missing): where the words of a window stand near their places.
+
+    ``index`` and ``anchors`` are of ``build_index(docs, windows, whole=False)``.  A window stands at
+    ``start`` when its rarest known word is in its place there, the next rarest at most ``slop`` places off its
+    own, and all but ``missing`` of the window's words at most ``slop`` off theirs; ``distance`` is the
+    farthest of those.  A word that no document has is always missing; where an anchor itself is, the
+    window is not found at that place.  A window with one known word has that anchor alone.
+
+    Positions are dealt into stretches of ``slop``, so that the anchors' join is by equality; the other words
+    are looked up in the document.  A null or empty text has no words.  Null ids are ids like any other;
+    repeated rows are one; no documents or windows give no rows.
+    """
+    n = _size(anchors)
 
     def moved(rank: int) -> DataFrame:
         a = _small(anchors.filter(F.col("rank") == rank).select("wid", "term", "off"), n)
@@ -107,9 +123,27 @@ def proximity_matches(index: DataFrame, anchors: DataFrame, slop: int) -> DataFr
                         F.explode(F.sequence(cell("start") - 1, cell("start") + 1)).alias("cell")).alias("y")
     on = (F.col("x.doc_id").eqNullSafe(F.col("y.doc_id")) & (F.col("x.h") == F.col("y.h"))
           & (F.col("x.wid") == F.col("y.wid")) & (F.col("x.cell") == F.col("y.cell")))
-    away = F.abs(F.col("start") - F.col("other"))
-    return (x.join(y, on).filter(away <= slop).groupBy("x.doc_id", "x.h", "x.wid", "start")
-            .agg(F.min(away).alias("distance")).select("doc_id", "wid", "start", "distance"))
+    near = F.abs(F.col("start") - F.col("other")) <= slop
+    two = x.join(y, on).filter(near).select("x.doc_id", "x.h", "x.wid", "start")
+    alone = anchors.groupBy("wid").agg(F.max("rank").alias("r")).filter("r = 1").select("wid")
+    phrases = anchors.filter("rank = 1").select("wid", "phrase")
+    cands = (two.unionByName(moved(1).join(_small(alone, n), "wid", "left_semi")).distinct()
+             .join(_small(phrases, n), "wid"))
+    per = cands.groupBy("doc_id", "h").agg(F.collect_list(F.struct("start", "wid", "phrase")).alias("cands")).alias("c")
+    d = _documents(docs).dropDuplicates(["doc_id", "h"]).alias("d")
+    on = F.col("d.doc_id").eqNullSafe(F.col("c.doc_id")) & (F.col("d.h") == F.col("c.h"))
+    both = per.join(d, on).select("d.doc_id", "d.h", "words", F.explode("cands").alias("c"))
+
+    def away(w, i):  # how far the nearest such word is from its place; NULL beyond the slop
+        at = F.col("c.start") + i
+        low, high = F.greatest(at - slop, F.lit(0)), F.least(at + slop, F.size("words") - 1)
+        places = F.when(low <= high, F.filter(F.sequence(low, high), lambda p: F.get(F.col("words"), p) == w))
+        return F.array_min(F.transform(places, lambda p: F.abs(p - at)))
+    offs = F.transform(F.split("c.phrase", " "), away)
+    out = both.withColumn("offs", offs).select(
+        "doc_id", "h", "c.wid", "c.start", F.array_max("offs").alias("distance"),
+        F.size(F.filter("offs", lambda o: o.isNull())).alias("missing"))
+    return out.filter(F.col("missing") <= missing)
 
 
 def contamination(docs: DataFrame, items: DataFrame, n: int = N, share: int = 20) -> DataFrame:
@@ -127,7 +161,8 @@ def contamination(docs: DataFrame, items: DataFrame, n: int = N, share: int = 20
     found = store(phrase_candidates(index, anchors)
                   .groupBy("doc_id", "h")
                   .agg(F.collect_set(F.struct("start", "len", "wid", "phrase")).alias("cands")))
-    size = found.agg(F.coalesce(F.sum(F.size("cands")), F.lit(0))).first()[0]
+    each = F.aggregate("cands", F.lit(0).cast("long"), lambda n, x: n + F.octet_length(x["phrase"]) + 32)
+    size = found.agg(F.coalesce(F.sum(each + 32), F.lit(0))).first()[0]
     d, c = _documents(docs).alias("d"), _small(found, size).alias("c")
     on = F.col("d.doc_id").eqNullSafe(F.col("c.doc_id")) & (F.col("d.h") == F.col("c.h"))
     there = F.filter(F.coalesce("cands", F.array().cast(found.schema["cands"].dataType)),
@@ -146,7 +181,7 @@ def contamination(docs: DataFrame, items: DataFrame, n: int = N, share: int = 20
                          F.array_distinct(F.transform("hits", lambda x: x["wid"])).alias("wids")))
     hit = rows.filter(F.col("n_hit") > 0).dropDuplicates(["doc_id", "h"])
     of = (hit.select("doc_id", "h", F.explode("wids").alias("wid"))
-          .join(_small(item_windows, item_windows.count()), "wid")
+          .join(_small(item_windows, _size(item_windows)), "wid")
           .select("doc_id", "h", "item_id").distinct()
           .groupBy("doc_id", "h").agg(F.count("*").alias("n_items"),
                                       F.sort_array(F.collect_list(F.col("item_id").cast("string"))).alias("ids")))

@@ -26,24 +26,67 @@ TRAINING_ROWS = 20_000  # at most so many labelled rows are fitted on
 FEATURES = 8192
 MIN_G2 = 10.8  # a chance of one in a thousand for a feature that means nothing
 MEMO_WORDS = 150_000
-NEUTRAL = "people"
-# Identity terms, by kind; a term is swapped for the others of its kind.
+# Identity terms by language and kind.  Groups are set apart by ";", the forms of one
+# group by spaces; a term is swapped for a form of every other group of its kind, and for the neutral noun.
+NEUTRAL = {"en": "people", "de": "menschen", "fr": "personnes", "es": "personas"}
 IDENTITY = {
-    "religion": "muslim muslims islam christian christians jew jews jewish hindu buddhist sikh atheist catholic",
-    "orientation": "gay lesbian bisexual homosexual heterosexual straight queer lgbt lgbtq",
-    "gender": "woman women man men female male girl girls boy boys transgender trans nonbinary",
-    "origin": "african african-american american arab asian black chinese european hispanic indian "
-              "latino latina mexican white immigrant immigrants refugee refugees",
-    "ability": "disabled deaf blind paralyzed autistic", "age": "old elderly young teenage",
+    "en": {
+        "religion": "muslim muslims islam; christian christians; jew jews jewish; hindu hindus; buddhist buddhists; "
+                    "sikh sikhs; atheist atheists; catholic catholics",
+        "orientation": "gay; lesbian lesbians; bisexual; homosexual; heterosexual straight; queer lgbt lgbtq",
+        "gender": "woman women female girl girls; man men male boy boys; transgender trans; nonbinary",
+        "origin": "african; african-american; american; arab; asian; black; chinese; european; hispanic; indian; "
+                  "latino latina; mexican; white; immigrant immigrants; refugee refugees",
+        "ability": "disabled; deaf; blind; paralyzed; autistic", "age": "old elderly; young teenage"},
+    "de": {
+        "religion": "muslim muslime muslimisch; christ christen christlich; jude juden jüdisch; hindu hindus; buddhist buddhisten; "
+                    "atheist atheisten; katholik katholiken",
+        "orientation": "schwul schwule; lesbisch lesben; bisexuell; homosexuell; heterosexuell; queer",
+        "gender": "frau frauen mädchen; mann männer jungen; transgender; nichtbinär",
+        "origin": "afrikaner afrikanisch; araber arabisch; asiate asiatisch; türke türken; europäer europäisch; "
+                  "ausländer; flüchtling flüchtlinge; deutscher deutsche",
+        "ability": "behindert behinderte; taub taube; blind blinde; autistisch", "age": "alte alt; junge jung"},
+    "fr": {
+        "religion": "musulman musulmans islam; chrétien chrétiens; juif juifs; hindou hindous; bouddhiste bouddhistes; "
+                    "athée athées; catholique catholiques",
+        "orientation": "gay; lesbienne lesbiennes; bisexuel; homosexuel; hétérosexuel; queer",
+        "gender": "femme femmes fille filles; homme hommes garçon garçons; transgenre; nonbinaire",
+        "origin": "africain africains; arabe arabes; asiatique; noir noirs; blanc blancs; européen européens; "
+                  "immigré immigrés; réfugié réfugiés",
+        "ability": "handicapé; sourd; aveugle; autiste", "age": "vieux âgé; jeune"},
+    "es": {
+        "religion": "musulmán musulmanes islam; cristiano cristianos; judío judíos; hindú; budista budistas; ateo ateos; "
+                    "católico católicos",
+        "orientation": "gay; lesbiana lesbianas; bisexual; homosexual; heterosexual; queer",
+        "gender": "mujer mujeres chica chicas; hombre hombres chico chicos; transgénero; nobinario",
+        "origin": "africano africanos; árabe árabes; asiático; negro negros; blanco blancos; europeo europeos; "
+                  "latino latina; inmigrante inmigrantes; refugiado refugiados",
+        "ability": "discapacitado; sordo; ciego; autista", "age": "viejo anciano; joven"},
 }
-_KIND = {w: k for k, v in IDENTITY.items() for w in v.split()}
+
+
+def swaps_of(identity: dict, neutral: dict) -> dict[str, tuple[str, ...]]:
+    """Term -> what it is swapped for: of every other group of its kind and language the form at the same
+    place (or the last), and the neutral noun.  A term of several languages has the swaps of all."""
+    out: dict[str, set[str]] = {}
+    for language, kinds in identity.items():
+        for text in kinds.values():
+            groups = [g.split() for g in text.split(";")]
+            for g in groups:
+                for i, term in enumerate(g):
+                    others = {o[min(i, len(o) - 1)] for o in groups if o is not g} | {neutral[language]}
+                    out.setdefault(term, set()).update(others - {term})
+    return {t: tuple(sorted(o)) for t, o in out.items()}
+
+
+SWAPS = swaps_of(IDENTITY, NEUTRAL)
 _EDGE = string.punctuation + string.digits + "«»„“”‘’…–—¿¡"
 
 
 def word_of(token: str) -> str:
     """The lower-case word of a token between white space, '' for what has no letters only."""
     w = token.strip(_EDGE).lower()
-    return w if w.isalpha() or w in _KIND else ""
+    return w if w.isalpha() or w in SWAPS else ""
 
 
 def word_features(word: str) -> list[str]:
@@ -105,8 +148,8 @@ def _feature_counts(batches):
     yield out()
 
 
-def choose_features(rows: DataFrame, top: int = FEATURES) -> list[str]:
-    """The ``top`` features by the likelihood ratio (G2) of presence against label."""
+def choose_features(rows: DataFrame, top: int | None = FEATURES) -> list[str]:
+    """The ``top`` (None: all that are not by chance) features by the likelihood ratio (G2) of presence against label."""
     size = rows.groupBy((F.col("toxic") > 0).alias("y")).count().collect()
     total = {bool(r["y"]): r["count"] for r in size}
     t0, t1 = float(total.get(False, 0)), float(total.get(True, 0))
@@ -122,25 +165,17 @@ def choose_features(rows: DataFrame, top: int = FEATURES) -> list[str]:
     lacks = F.lit(t0 + t1) - has
     g2 = (cell(F.col("n0"), has, F.lit(t0)) + cell(F.col("n1"), has, F.lit(t1))
           + cell(t0 - F.col("n0"), lacks, F.lit(t0)) + cell(t1 - F.col("n1"), lacks, F.lit(t1)))
-    best = (n.filter(has < t0 + t1).withColumn("g2", g2).filter(F.col("g2") > MIN_G2)
-            .orderBy(F.desc("g2"), "feature").limit(top))
+    best = n.filter(has < t0 + t1).withColumn("g2", g2).filter(F.col("g2") > MIN_G2).orderBy(F.desc("g2"), "feature")
+    best = best if top is None else best.limit(top)
     return [r["feature"] for r in best.select("feature").collect()]
 
 
-def counterfactuals(words: set[str]) -> list[set[str]]:
-    """The word sets with each identity term swapped: for the next two terms of its kind in
-    order, and for a neutral noun."""
-    out = []
-    for w in sorted(words & _KIND.keys()):
-        kind = IDENTITY[_KIND[w]].split()
-        i = kind.index(w)
-        for other in dict.fromkeys([kind[(i + 1) % len(kind)], kind[(i + 2) % len(kind)], NEUTRAL]):
-            if other != w:
-                out.append((words - {w}) | {other})
-    return out
+def counterfactuals(words: set[str], swaps: dict = SWAPS) -> list[set[str]]:
+    """The word sets with each identity term swapped, for every group of its kind and for a neutral noun."""
+    return [(words - {w}) | {other} for w in sorted(words & swaps.keys()) for other in swaps[w]]
 
 
-def _indexed(index: dict[str, int]):
+def _indexed(index: dict[str, int], swaps: dict = SWAPS):
     def run(batches):
         memo = _Memo(word_of)
         of = lambda words: sorted({index[f] for f in _features(words) if f in index})
@@ -150,7 +185,7 @@ def _indexed(index: dict[str, int]):
                 words = text_words(text, memo)
                 y.append(int(label > 0))
                 x.append(of(words))
-                other.append([of(c) for c in counterfactuals(words)])
+                other.append([of(c) for c in counterfactuals(words, swaps)])
             ints = pa.list_(pa.int32())
             yield pa.RecordBatch.from_arrays([pa.array(y, pa.int32()), pa.array(x, ints),
                                               pa.array(other, pa.list_(ints))], ["y", "x", "other"])
@@ -209,13 +244,14 @@ def fit(y, x, other, n: int, swap: float = 1.0, ridge: float = 2e-5, steps: int
 
 
 def train(docs: DataFrame, labels: DataFrame, held_out, limit: int = TRAINING_ROWS,
-          top: int = FEATURES) -> ToxicityModel:
+          top: int | None = FEATURES, swaps: dict = SWAPS) -> ToxicityModel:
     """Fit on at most ``limit`` labelled rows outside ``held_out`` (a function from a doc_id column
     to a condition).  The fit's memory on the driver is bounded by ``limit`` rows of at most
-    ``top`` feature numbers.  Without rows of both labels every text scores the same."""
+    ``top`` feature numbers; ``swaps`` says which terms are swapped for which (``swaps_of``, for terms of
+    other languages).  Without rows of both labels every text scores the same."""
     rows = store(training_rows(docs, labels, held_out, limit))
     names = choose_features(rows, top)
-    got = rows.mapInArrow(_indexed({f: i for i, f in enumerate(names)}),
+    got = rows.mapInArrow(_indexed({f: i for i, f in enumerate(names)}, swaps),
                           "y int, x array<int>, other array<array<int>>").toPandas()
     if not len(got):
         return ToxicityModel(float(np.log(1e-3)), {})
