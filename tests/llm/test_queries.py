@@ -46,6 +46,44 @@ def test_op10(spark):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in got} == brute.near_duplicates(documents())
 
 
+def test_op1(spark):
+    from .test_dedup import expected
+    rows = sql("SELECT vec_id, embedding, label FROM embeddings")[1]
+    got = entry.queries()["op1_embedding_near_dedup"](spark, SF).collect()
+    assert {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in got} == expected(rows)
+    assert len(got) == len(rows)
+
+
+def test_op7(spark):
+    import numpy as np
+    from tokenizers import Tokenizer
+    tok, want, total = Tokenizer.from_file(queries.tokenizer_file("word_bpe_49k.json")), [], 0
+    for i, t in documents():
+        ids = np.array([*tok.encode(t or "", add_special_tokens=False).ids, 0], "<u4")
+        total += len(ids)
+        want += [(i, k // 2048, k, len(ids[k:k + 2048]), zlib.crc32(ids[k:k + 2048].tobytes()))
+                 for k in range(0, len(ids), 2048)]
+    got = entry.queries()["op7_best_fit_packing"](spark, SF).select(
+        "doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset").collect()
+    assert brute.count(r[:5] for r in got) == brute.count(want)
+    n = brute.lengths_are_packed([(r["sequence_id"], r["offset"], r["length"]) for r in got], 2048)
+    assert n <= 1.03 * -(-total // 2048) + 1
+
+
+def test_op8(spark):
+    import numpy as np
+    from tokenizers import Tokenizer
+    tok, pieces = Tokenizer.from_file(queries.tokenizer_file("byte_bpe_50k.json")), {}
+    tok.encode_special_tokens = True
+    for r in entry.queries()["op8_packed_token_ids"](spark, SF).collect():
+        ids = np.frombuffer(r["ids"], "<u4")
+        assert len(ids) == r["n_tokens"] == r["cu_seqlens"][-1] <= 2048
+        for d, at, a, b in zip(r["doc_ids"], r["starts"], r["cu_seqlens"], r["cu_seqlens"][1:]):
+            pieces.setdefault(d, []).append((at, ids[a:b].tolist()))
+    whole = {d: [x for _, part in sorted(parts) for x in part] for d, parts in pieces.items()}
+    assert whole == {i: [*tok.encode(t or "", add_special_tokens=False).ids, 50256] for i, t in documents()}
+
+
 def test_op4_and_op5_and_op9(spark):
     q = entry.queries()
     tox = {r["doc_id"]: r for r in q["op4_toxicity"](spark, SF).collect()}
