@@ -34,24 +34,22 @@ def _trees(n_trees: int, height: int, n_dims: int, seed: int):
 
 
 def _leaves(x: np.ndarray, trees, height: int) -> np.ndarray:
-    """The leaf of each row of ``x`` in each tree (heap numbering, the root is 1)."""
+    """The leaf of each row of ``x`` in each tree (heap numbering, the root is 1); all trees at once."""
     dims, lo0, hi0 = trees
     n, n_trees = x.shape[0], len(dims)
-    out = np.empty((n, n_trees), dtype=np.int32)
-    rows = np.arange(n)
-    for t in range(n_trees):
-        node = np.ones(n, dtype=np.int64)
-        lo = np.tile(lo0[t], (n, 1))
-        hi = np.tile(hi0[t], (n, 1))
-        for _ in range(height):
-            d = dims[t, node]
-            mid = (lo[rows, d] + hi[rows, d]) / 2
-            left = x[rows, d] < mid
-            hi[rows[left], d[left]] = mid[left]
-            lo[rows[~left], d[~left]] = mid[~left]
-            node = node * 2 + (~left)
-        out[:, t] = node
-    return out
+    each = np.arange(n_trees)
+    node = np.ones((n, n_trees), dtype=np.int64)
+    lo = np.broadcast_to(lo0, (n, *lo0.shape)).copy()
+    hi = np.broadcast_to(hi0, (n, *hi0.shape)).copy()
+    for _ in range(height):
+        d = dims[each, node].astype(np.int64)[:, :, None]
+        low, high = np.take_along_axis(lo, d, 2), np.take_along_axis(hi, d, 2)
+        mid = (low + high) / 2
+        left = np.take_along_axis(x, d[:, :, 0], 1)[:, :, None] < mid
+        np.put_along_axis(hi, d, np.where(left, mid, high), 2)
+        np.put_along_axis(lo, d, np.where(left, low, mid), 2)
+        node = node * 2 + ~left[:, :, 0]
+    return node.astype(np.int32)
 
 
 def _count(trees, height: int, by: list[str], feats: list[str]):
@@ -74,15 +72,16 @@ def _score(trees, height: int, id_col: str, feats: list[str]):
         total, n = np.zeros(len(events)), events["_n"].to_numpy(dtype=float)
         if len(events):
             at = _leaves(events[feats].to_numpy(dtype=float), trees, height).astype(np.int64)
+            depth = np.arange(height + 1)
             for t, leaf, count in zip(model["_t"], model["_leaf"], model["_c"]):
                 leaf, before = np.asarray(leaf), np.concatenate(([0], np.cumsum(np.asarray(count))))
-                on = np.ones(len(events), dtype=bool)
-                for d in range(height + 1):
-                    low = (at[:, t] >> height - d) << height - d
-                    mass = (before[np.searchsorted(leaf, low + (1 << height - d))]
-                            - before[np.searchsorted(leaf, low)])
-                    total += np.where(on, mass * 2.0 ** d, 0.0)
-                    on &= mass >= n * 0.1  # nodes after the first node whose mass is under the limit do not count
+                # the first leaf below each node of the path
+                first = at[:, t, None] >> height - depth << height - depth
+                mass = (before[np.searchsorted(leaf, first + (1 << height - depth))]
+                        - before[np.searchsorted(leaf, first)])
+                # nodes after the first node whose mass is under the limit do not count
+                small = mass < n[:, None] * 0.1
+                total += np.where(np.cumsum(small, axis=1) - small == 0, mass * 2.0 ** depth, 0.0).sum(axis=1)
         most = len(trees[0]) * (2.0 ** (height + 1) - 1) * n
         return pd.DataFrame({id_col: events[id_col], "hst_score": 1.0 - total / most})
     return run
