@@ -85,6 +85,22 @@ def test_deep_documents_are_not_cut_short(spark):
     assert [tuple(r) for r in out] == [(deep(8, '{"a":1,"b":2.5}'), True), ("5", True), ("[1]", False), ("{}", False)]
 
 
+def test_depths_of_long_texts_and_deep_documents(spark):
+    """Rounds over the brackets measure what the fold does: texts of any length, more levels than rounds."""
+    rows = [("[" * n + "]" * n, json.dumps(["\\\"[" * n, {"a": "x" * 20000 + "}"}])) for n in (0, 1, 12, 13, 30)]
+    df = spark.createDataFrame(rows, "a string, b string")
+    assert D.depths(df, "a", "b") == [30, 2] and D.deepest(df, "a", "b") == 30
+    assert D.depths(df.limit(3), "a", "b") == [12, 2] and D.depths(df.limit(0), "a") == [0]
+
+
+def test_parsed_documents_are_compared_without_parsing_again(spark, pairs):
+    df = spark.createDataFrame([(i, json.dumps(a), json.dumps(b)) for i, (a, b) in enumerate(pairs[:40])],
+                               "i int, a string, b string")
+    levels = D.deepest(df, "b")
+    v = D.subset_json(df.select("i", D.document("a").alias("a"), D.document("b").alias("b")), "a", "b", "w", levels)
+    assert {r["i"]: r["w"] for r in v.collect()} == {i: within(*p) for i, p in enumerate(pairs[:40])}
+
+
 def test_numbers_are_equal_by_value(spark):
     rows = [("1", "1.0", True), ("100", "1e2", True), ("1", '"1"', False), ("true", "1", False), ("null", "null", True),
             ("[1,2.50,3]", "[2.5,3.0]", True), ("9007199254740993", "9007199254740992", False), ("[]", "{}", False),

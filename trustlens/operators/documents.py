@@ -15,6 +15,7 @@ from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import VariantType
 
 from ..functions.bind import bind
 
@@ -30,6 +31,11 @@ def document(json_text) -> Column:
     return F.try_parse_json(_col(json_text))
 
 
+def parsed(df: DataFrame, name: str) -> Column:
+    """A column of JSON text as VARIANT; a VARIANT column as it is."""
+    return F.col(name) if df.schema[name].dataType == VariantType() else document(name)
+
+
 def as_object(v: Column) -> Column:
     """The members of an object; NULL for anything else."""
     return F.try_variant_get(v, "$", _MAP)
@@ -52,10 +58,34 @@ def depth(json_text) -> Column:
         lambda acc: acc["most"])
 
 
+# Rounds of `depths` in one pass; deeper documents are measured by `depth`.
+_ROUNDS = 12
+
+
+def _brackets(json_text) -> Column:
+    """The brackets of a JSON text outside of its texts, as ( and )."""
+    bare = F.regexp_replace(F.regexp_replace(_col(json_text), r"(?s)\\.", ""), r'"[^"]*+"|[^\[\]{}"]+|"', "")
+    return F.translate(bare, "[]{}", "()()")
+
+
+def depths(df: DataFrame, *json_cols) -> list[int]:
+    """The greatest depth of each of some text columns of a table, in one pass: each round takes the
+    innermost pairs of brackets away."""
+    n = range(len(json_cols))
+    x = df.select(*[_brackets(c).alias(f"b{i}") for i, c in enumerate(json_cols)], *[F.lit(0).alias(f"d{i}") for i in n])
+    pair = lambda i: F.contains(F.col(f"b{i}"), F.lit("()"))
+    for _ in range(_ROUNDS):
+        x = x.select(*[F.replace(f"b{i}", F.lit("()"), F.lit("")).alias(f"b{i}") for i in n],
+                     *[(F.col(f"d{i}") + pair(i).cast("int")).alias(f"d{i}") for i in n])
+    got = x.agg(*[F.max(f"d{i}") for i in n], *[F.max(pair(i)) for i in n]).first()
+    if any(got[len(n):]):
+        got = df.agg(*[F.max(depth(c)).alias(f"d{i}") for i, c in enumerate(json_cols)]).first()
+    return [x or 0 for x in got[:len(n)]]
+
+
 def deepest(df: DataFrame, *json_cols) -> int:
     """The greatest depth of some text columns of a table."""
-    got = df.agg(*[F.max(depth(c)).alias(f"d{i}") for i, c in enumerate(json_cols)]).first()
-    return max([x or 0 for x in got] or [0])
+    return max(depths(df, *json_cols) or [0])
 
 
 # ---- G8 deep merge ----------------------------------------------------------------------
@@ -162,41 +192,47 @@ def drop_paths(v, paths: Iterable) -> Column:
 
 
 # ---- G9 subset ------------------------------------------------------------------------------
-def _scalar_equal(a: Column, b: Column) -> Column:
-    """Equality of scalars; numbers by value, whatever they are written like."""
-    ka, kb = F.schema_of_variant(a), F.schema_of_variant(b)
-    number = lambda k: ~k.isin("STRING", "BOOLEAN", "VOID")
+def _number_equal(a: Column, b: Column) -> Column:
+    """Equality of numbers by value, whatever they are written like; false for anything else."""
     exact = lambda v: F.try_variant_get(v, "$", "decimal(38,18)")
     wide = lambda v: F.try_variant_get(v, "$", "double")
-    return (F.when(number(ka) & number(kb), F.coalesce(exact(a) == exact(b), wide(a) == wide(b), F.lit(False)))
-            .when(ka == kb, F.to_json(a) == F.to_json(b)).otherwise(F.lit(False)))
+    number = lambda v: ~F.schema_of_variant(v).isin("STRING", "BOOLEAN", "VOID")
+    return number(b) & number(a) & F.coalesce(exact(a) == exact(b), wide(a) == wide(b), F.lit(False))
 
 
 def _related(a: Column, b: Column, exact: Column, levels: int) -> Column:
     """Whether ``b`` is within ``a``, or, where ``exact`` holds, equal to it.  Items are compared for
-    equality, so objects and arrays are one recursion: pairs of what has to be related."""
+    equality, so objects and arrays are one recursion: runs of pairs, all of one of which have to be
+    related.  What prints alike is equal, its members being in order; only what does not is taken apart,
+    ``a`` as what ``b`` is."""
+    alike = F.to_json(a) == F.to_json(b)
     if levels <= 0:
-        return F.coalesce(_scalar_equal(a, b), F.lit(False))
+        return F.coalesce(alike | _number_equal(a, b), F.lit(False))
+
+    def members(x: Column) -> Column:
+        return bind(as_object(x["a"]), lambda ao: F.when(
+            F.when(x["exact"], F.size(ao) == F.size(x["bo"])).otherwise(ao.isNotNull()),
+            F.array(F.transform(F.map_entries(x["bo"]), lambda e: F.struct(
+                F.try_element_at(ao, e["key"]).alias("a"), e["value"].alias("b"))))))
+
+    def items(x: Column) -> Column:
+        m = F.size(x["bl"])
+
+        def runs(al: Column) -> Column:
+            last = F.size(al) - m
+            starts = F.when(m == 0, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), last))
+            return F.when(F.when(x["exact"], last == 0).otherwise(last >= 0), F.transform(
+                starts, lambda s: F.arrays_zip(F.slice(al, s + 1, m).alias("a"), x["bl"].alias("b"))))
+        return bind(as_array(x["a"]), runs)
 
     def related(x: Column) -> Column:
-        objects = x["ao"].isNotNull() & x["bo"].isNotNull()
-        arrays = x["al"].isNotNull() & x["bl"].isNotNull()
-        # sizes of a and b, of members or items, where they are of one kind
-        n = F.when(objects, F.size(F.map_keys(x["ao"]))).when(arrays, F.size(x["al"]))
-        m = F.when(objects, F.size(F.map_keys(x["bo"]))).when(arrays, F.size(x["bl"]))
-        starts = (F.when(n < m, F.array().cast("array<int>")).when(objects | (m == 0), F.array(F.lit(0)))
-                  .otherwise(F.sequence(F.lit(0), n - m)))
-        members = F.transform(F.map_entries(x["bo"]), lambda e: F.struct(
-            F.try_element_at(x["ao"], e["key"]).alias("a"), e["value"].alias("b")))
-        items = lambda s: F.arrays_zip(F.slice(x["al"], s + 1, F.size(x["bl"])).alias("a"), x["bl"].alias("b"))
-        found = F.exists(starts, lambda s: F.forall(
-            F.when(objects, members).otherwise(items(s)),
-            lambda p: p["a"].isNotNull() & _related(p["a"], p["b"], x["exact"] | arrays, levels - 1)))
-        scalars = F.coalesce(x["ao"], x["bo"]).isNull() & F.coalesce(x["al"], x["bl"]).isNull()
-        return F.when(objects | arrays, (~x["exact"] | (n == m)) & found).otherwise(scalars & _scalar_equal(a, b))
-    parts = F.struct(as_object(a).alias("ao"), as_object(b).alias("bo"), as_array(a).alias("al"),
-                     as_array(b).alias("bl"), exact.alias("exact"))
-    return F.coalesce(bind(parts, related), F.lit(False))
+        arrays = x["bl"].isNotNull()
+        runs = F.when(x["bo"].isNotNull(), members(x)).otherwise(items(x))
+        found = F.exists(runs, lambda run: F.forall(run, lambda p: p["a"].isNotNull() & _related(
+            p["a"], p["b"], x["exact"] | arrays, levels - 1)))
+        return F.when(x["bo"].isNotNull() | arrays, found).otherwise(_number_equal(x["a"], x["b"]))
+    parts = F.struct(a.alias("a"), b.alias("b"), as_object(b).alias("bo"), as_array(b).alias("bl"), exact.alias("exact"))
+    return F.coalesce(F.when(alike, F.lit(True)).otherwise(bind(parts, related)), F.lit(False))
 
 
 def same_document(a, b, levels: int) -> Column:
@@ -211,6 +247,8 @@ def contains_document(sup, sub, levels: int) -> Column:
     return _related(_col(sup), _col(sub), F.lit(False), levels)
 
 
-def subset_json(df: DataFrame, sup: str, sub: str, out: str) -> DataFrame:
-    """G9 on two JSON text columns."""
-    return df.withColumn(out, contains_document(document(sup), document(sub), deepest(df, sub)))
+def subset_json(df: DataFrame, sup: str, sub: str, out: str, levels: int | None = None) -> DataFrame:
+    """G9 on two columns of JSON text; or of documents, parsed once for many calls, with the ``levels``
+    (``deepest``) of ``sub``."""
+    levels = deepest(df, sub) if levels is None else levels
+    return df.withColumn(out, contains_document(parsed(df, sup), parsed(df, sub), levels))

@@ -85,11 +85,12 @@ def project_documents(spark, sf_dir):
 SELECT k, (p[1:2] = q OR p[2:3] = q) AND (k % 4 <> 0 OR k % 2 = 0) AS within,
        k % 3 = 0 AND k % 5 = 0 AND k % 7 = 1 AS within_numbers, true AS within_itself FROM l""")
 def subset_documents(spark, sf_dir):
-    d = _docs(spark, sf_dir)
-    d = D.subset_json(d, "doc", "sub", "within").withColumn(
-        "numbers", F.lit('{"meta":{"price":{"parts":[0,0.0,1,15e-1]}}}'))
-    d = D.subset_json(d, "doc", "numbers", "within_numbers")
-    return D.subset_json(d, "doc", "doc", "within_itself").select("k", "within", "within_numbers", "within_itself")
+    d = _docs(spark, sf_dir).select("k", "doc", "sub", F.lit('{"meta":{"price":{"parts":[0,0.0,1,15e-1]}}}').alias("numbers"))
+    levels = dict(zip(("doc", "sub", "numbers"), D.depths(d, "doc", "sub", "numbers")))
+    d = d.withColumns({n: D.document(n) for n in levels})  # each is parsed once, for all comparisons
+    d = D.subset_json(d, "doc", "sub", "within", levels["sub"])
+    d = D.subset_json(d, "doc", "numbers", "within_numbers", levels["numbers"])
+    return D.subset_json(d, "doc", "doc", "within_itself", levels["doc"]).select("k", "within", "within_numbers", "within_itself")
 
 
 DOC_SCHEMA = {
