@@ -2,6 +2,7 @@
 
 import json
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -125,6 +126,27 @@ def test_keep_and_drop_paths(spark):
         D.path_tree([["a", 0]])
 
 
+def nodes(x, path="$", folded=False):
+    yield path, ("null" if x is None else "boolean" if isinstance(x, bool) else "object" if isinstance(x, dict) else
+                 "array" if isinstance(x, list) else "string" if isinstance(x, str) else "number"), x
+    for k, v in x.items() if isinstance(x, dict) else enumerate(x) if isinstance(x, list) else ():
+        yield from nodes(v, path + (f".{k}" if isinstance(x, dict) else "[*]" if folded else f"[{k}]"), folded)
+
+
+def deep_document(n):
+    return [{"a": deep_document(n - 1), "b": []}] if n else {"x": None}
+
+
+@pytest.mark.parametrize("most", [0, 9])
+def test_type_profile_of_any_documents_stores_nothing(spark, pairs, most, monkeypatch):
+    docs = [a for a, _ in pairs[:30]] + [deep_document(n) for n in (0, most)] + [{}, [], 5]
+    df = spark.createDataFrame([(json.dumps(d),) for d in docs] + [(None,)], "j string")
+    monkeypatch.setattr(type(df), "checkpoint", lambda *a, **k: pytest.fail("a level was stored"))
+    want = Counter((p, k) for d in [*docs, None] for p, k, _ in nodes(d, folded=True))
+    got = [tuple(r) for r in N.type_profile(df, "j").select("path", "kind", "rows").collect()]
+    assert len(got) == len(want) and {(p, k): n for p, k, n in got} == want
+
+
 SCHEMAS = [
     ({"type": "string"}, [("5", "type"), ('"5"', None), ("null", "type"), ('["a"]', "type")]),
     ({"type": "boolean"}, [('"yes"', "type"), ("true", None), ("1", "type")]),

@@ -6,8 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Column
 from pyspark.sql import functions as F
 
-from ..session import ensure_checkpoint_dir
-from .documents import document, drop_paths, keep_paths
+from .documents import deepest, document, drop_paths, keep_paths
 
 
 def _kind(v: Column) -> Column:
@@ -18,60 +17,42 @@ def _kind(v: Column) -> Column:
              .when(t == "STRING", "string").when(t == "BOOLEAN", "boolean").otherwise("number"))
 
 
-_BOXES = ("object", "array")
-
-
-def _children(boxes: DataFrame, *keep: str, folded: bool = False) -> DataFrame:
-    """One row per child of the container rows (path, kind, v): (*keep, path, kind, v)."""
+def _expanded(rows: DataFrame, folded: bool = False) -> DataFrame:
+    """Rows (.., path, v, open) with the children of open nodes beside them: a node is open until its
+    children stand next to it.  Nodes without children are closed at once."""
     place = "'[*]'" if folded else "'[' || e.pos || ']'"
-    kids = boxes.sparkSession.sql(
+    keep = [c for c in rows.columns if c not in ("path", "v", "open")]
+    turns = rows.select(*keep, "path", "v", F.explode(
+        F.when(F.col("open"), F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False)))).alias("down"))
+    return turns.sparkSession.sql(
         f"""SELECT {''.join(f'c.{k}, ' for k in keep)}
-                   CASE WHEN c.kind = 'array' THEN c.path || {place} ELSE c.path || '.' || e.key END AS path,
-                   e.value AS v
-            FROM {{boxes}} c, LATERAL variant_explode_outer(c.v) AS e
-            WHERE e.pos IS NOT NULL""", boxes=boxes)
-    return kids.withColumn("kind", _kind(F.col("v")))
-
-
-def _roots(df: DataFrame, json_col: str, *keep) -> DataFrame:
-    r = df.select(*keep, F.lit("$").alias("path"), F.parse_json(F.col(json_col)).alias("v"))
-    return r.withColumn("kind", _kind(F.col("v")))
-
-
-def _levels(roots: DataFrame, *keep: str, folded: bool = False):
-    """The nodes of each level.  Only the containers of a level are checkpointed: the next level
-    and its output are exploded from them, so leaves are never stored."""
-    ensure_checkpoint_dir(roots.sparkSession)
-    level = roots
-    while True:
-        yield level
-        boxes = level.filter(F.col("kind").isin(*_BOXES)).checkpoint(eager=True)
-        if boxes.isEmpty():
-            return
-        level = _children(boxes, *keep, folded=folded)
+                   CASE WHEN NOT c.down THEN c.path WHEN e.key IS NULL THEN c.path || {place}
+                        ELSE c.path || '.' || e.key END AS path,
+                   CASE WHEN c.down THEN e.value ELSE c.v END AS v, c.down AS open
+            FROM {{turns}} c, LATERAL variant_explode_outer(CASE WHEN c.down THEN c.v END) AS e
+            WHERE NOT c.down OR e.pos IS NOT NULL""", turns=turns)
 
 
-def _union(parts: list[DataFrame]) -> DataFrame:
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+def _nodes(df: DataFrame, json_col: str, *keep, folded: bool = False) -> DataFrame:
+    """Every node of the documents, in one pass: as many steps as the deepest document has levels."""
+    rows = df.select(*keep, F.lit("$").alias("path"), F.parse_json(F.col(json_col)).alias("v"), F.lit(True).alias("open"))
+    for _ in range(deepest(df, json_col)):
+        rows = _expanded(rows, folded)
+    return rows.withColumn("kind", _kind(F.col("v"))).drop("open")
 
 
 def walk(df: DataFrame, json_col: str, id_col: str) -> DataFrame:
     """One row per (document, path, node) for every node, the root included.
-    Paths use the ``$.key[0]`` form.  Level-by-level explode of containers; stops when
-    no container is left (one small emptiness check per level)."""
-    nodes = _union(list(_levels(_roots(df, json_col, F.col(id_col).alias("id")), "id")))
+    Paths use the ``$.key[0]`` form.  The levels are measured, then all are taken apart in one pass
+    without a shuffle or a stored level."""
+    nodes = _nodes(df, json_col, F.col(id_col).alias("id"))
     return nodes.select("id", "path", "kind", F.to_json(F.col("v")).alias("value"))
 
 
 def type_profile(df: DataFrame, json_col: str) -> DataFrame:
-    """Rows per (path, kind), with array indexes folded to ``[*]``.  Each level is counted as
-    it is reached; only containers are carried on, without ids."""
-    counts = [level.groupBy("path", "kind").agg(F.count(F.lit(1)).alias("rows"))
-              for level in _levels(_roots(df, json_col), folded=True)]
-    return _union(counts)
+    """Rows per (path, kind), with array indexes folded to ``[*]``.  Nodes are counted as they are
+    reached."""
+    return _nodes(df, json_col, folded=True).groupBy("path", "kind").agg(F.count(F.lit(1)).alias("rows"))
 
 
 # ---- G7 projection / redaction on map columns ----------------------------------------
