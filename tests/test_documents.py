@@ -221,3 +221,14 @@ def test_typed_any_of_and_discriminator(spark):
                                                                {"type": "integer", "minimum": 100}]}}}}}
     got = [(r["error_code"], r["error_path"]) for r in V.validate_rows(df, schema).collect()]
     assert got == [(None, None), ("anyOf", "$.n"), ("discriminator", "$.t"), ("discriminator", "$.t"), ("maximum", "$.n")]
+
+
+def test_walk_of_any_documents_stores_nothing(spark, pairs, monkeypatch):
+    docs = [*(a for a, _ in pairs[:30]), deep_document(9), {}, [], 5]
+    rows = [(i % 25, json.dumps(d)) for i, d in enumerate(docs)] + [(None, '{"a":[1]}'), (7, None)]  # ids come twice
+    df = spark.createDataFrame(rows, "i int, j string")
+    monkeypatch.setattr(type(df), "checkpoint", lambda *a, **k: pytest.fail("a level was stored"))
+    want = Counter((i, p, k) for i, j in rows for p, k, _ in nodes(None if j is None else json.loads(j)))
+    got = N.walk(df, "j", "i").collect()
+    assert Counter((r["id"], r["path"], r["kind"]) for r in got) == want
+    assert [json.loads(r["value"]) for r in got if r["id"] is None and r["path"] == "$"] == [{"a": [1]}]
