@@ -75,3 +75,24 @@ def test_elements_are_renamed(spark):
     assert got[0]["rules"] == [{"title": "r1", "access": "Allow", "port": 22, "properties": p[0]},
                                {"title": "r2", "access": "Deny", "properties": p[1]}, {"title": "r3"}]
     assert got[1] == {"rules": []}
+
+
+def test_few_aliases_are_broadcast_and_fixed_names_are_as_dynamic_ones(spark, monkeypatch):
+    """Documents do not meet by type in a few tasks where the alias table is small."""
+    aliases = spark.createDataFrame(ALIASES, "type string, alias string, path string, api_version string")
+    df, kind = frame(spark, [RULES, {"type": "other"}, None]), F.try_variant_get("doc", "$.type", "string")
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for most, broadcast in ((X.BROADCAST_ALIASES, True), (len(ALIASES) - 1, False)):
+            monkeypatch.setattr(X, "BROADCAST_ALIASES", most)
+            out = X.alias_values(df, "doc", aliases, kind)
+            plan = out._jdf.queryExecution().executedPlan().toString()
+            assert ("BroadcastHashJoin" in plan) is broadcast and out.count() == 3
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    names = ["TYPE", "fullName", "tags['Cost.Center']", "tags[env]", "Tags.Env", "tags", "state.CODE", "", "none",
+             "securityRules[*].name", "nothing[*]", "properties['Flat']"]
+    fixed = df.select(*[F.to_json(X.field_value(n, "doc")).alias(f"f{i}") for i, n in enumerate(names)]).collect()
+    moving = df.select(*[F.to_json(X.field_value(F.lit(n), "doc")).alias(f"f{i}") for i, n in enumerate(names)]).collect()
+    assert fixed == moving

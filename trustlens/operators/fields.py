@@ -9,6 +9,8 @@ there, in order, and an empty list where there are none.  VARIANT keeps the valu
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,6 +18,8 @@ from ..functions.bind import bind
 from .documents import _col, as_array, as_object
 
 _VALUES = "array<variant>"
+# Alias tables of no more rows are broadcast.
+BROADCAST_ALIASES = 50_000
 _STEP = r"""\['([^']*)'\]|\["([^"]*)"\]|\[\*\]|\[([^\[\]'"*]+)\]|([^.\[\]]+)"""
 
 
@@ -33,15 +37,52 @@ def member(v: Column, name: Column) -> Column:
         F.get(F.filter(F.map_entries(m), lambda e: F.lower(e["key"]) == name), F.lit(0))["value"]))
 
 
+def _items(at: Column) -> Column:
+    return F.flatten(F.transform(at, lambda v: F.coalesce(as_array(v), F.array().cast(_VALUES))))
+
+
+def _named(at: Column, step: Column) -> Column:
+    return F.filter(F.transform(at, lambda v: member(v, step)), lambda v: v.isNotNull())
+
+
 def values_at(doc: Column, steps: Column) -> Column:
     """All values that the steps lead to, in order."""
-    def go(at: Column, step: Column) -> Column:
-        items = F.flatten(F.transform(at, lambda v: F.coalesce(as_array(v), F.array().cast(_VALUES))))
-        named = F.filter(F.transform(at, lambda v: member(v, step)), lambda v: v.isNotNull())
-        return F.when(step == "[*]", items).otherwise(named)
+    go = lambda at, step: F.when(step == "[*]", _items(at)).otherwise(_named(at, step))
     return F.aggregate(steps, F.filter(F.array(doc), lambda v: v.isNotNull()), go)
 
 
+def _fixed_steps(path: str) -> list[str]:
+    """``path_steps`` of a path that is a constant; the names in their own case."""
+    found = [m.group(0) for m in re.finditer(_STEP, path)]
+    return [re.sub(r"""^\[['"]?|['"]?\]$""", "", s) if s[0] == "[" and s != "[*]" else s for s in found]
+
+
+def _fixed_values(doc: Column, steps: list[str]) -> Column:
+    """``values_at`` of constant steps."""
+    at = F.filter(F.array(doc), lambda v: v.isNotNull())
+    for step in steps:
+        at = _items(at) if step == "[*]" else _named(at, F.lower(F.lit(step)))
+    return at
+
+
+def _fixed_value(doc: Column, steps: list[str]) -> Column:
+    for step in steps:
+        doc = member(doc, F.lower(F.lit(step)))
+    return doc
+
+
+def _fixed_field(name: str, v: Column) -> Column:
+    """``field_value`` of a constant name: the path is cut once, not for each row."""
+    tag = re.match(r"^tags(?:\.(.+)|\[['\"]?(.+?)['\"]?\])$", name, re.ASCII | re.IGNORECASE)
+    steps = ["tags", tag.group(1) or tag.group(2)] if tag else _fixed_steps(name)
+    if name.lower() == "fullname":
+        return F.coalesce(member(v, F.lit("fullname")), member(v, F.lit("name")))
+    if "[*]" in steps:
+        return F.to_variant_object(bind(_fixed_values(v, steps), lambda here: F.when(F.size(here) > 0, here).otherwise(
+            _fixed_values(v, ["properties", *steps]))))
+    return F.coalesce(_fixed_value(v, steps), _fixed_value(v, ["properties", *steps]))
+
+
 def value_at(doc: Column, steps: Column) -> Column:
     """The value that the steps lead to; with a wildcard the list of all, as a VARIANT array."""
     return bind(F.struct(values_at(doc, steps).alias("v"), F.array_contains(steps, "[*]").alias("many")), lambda x: F.when(
@@ -60,6 +101,13 @@ def _of_type(aliases: DataFrame, *more: str) -> DataFrame:
         F.lower("alias").alias("alias"), F.col("api_version").alias("api"), path_steps("path").alias("steps"), *more))).alias("_a"))
 
 
+def _with_type(df: DataFrame, aliases: DataFrame, gathered: DataFrame) -> DataFrame:
+    """The rows with what their type has; broadcast where the aliases are counted to be few, as rows of
+    few types would else meet in few tasks."""
+    few = aliases.limit(BROADCAST_ALIASES + 1).count() <= BROADCAST_ALIASES
+    return df.join(F.broadcast(gathered) if few else gathered, "_type", "left")
+
+
 def _chosen(version: Column) -> Column:
     """Of each alias the path of the row's API version, else the one for all versions."""
     mine = F.concat(F.filter("_a", lambda a: _same_version(a["api"], version)), F.filter("_a", lambda a: a["api"].isNull()))
@@ -74,10 +122,10 @@ def alias_values(df: DataFrame, doc: str, aliases: DataFrame, type_col: Column,
     ``aliases``: (type, alias, path[, api_version]).  An alias may have a path for an API version and
     one for all others (api_version null).  A wildcard path gives an array.  What a path does not lead
     to is left out; rows of a type without aliases have an empty map, and a NULL document too.
-    The alias table is gathered by type and joined once; AQE broadcasts it where it is measured small.
+    The alias table is gathered by type and joined once; it is broadcast where it is counted small.
     """
     version = api_version if api_version is not None else F.lit(None).cast("string")
-    x = df.withColumns({"_type": F.lower(type_col), "_v": version.cast("string")}).join(_of_type(aliases), "_type", "left")
+    x = _with_type(df.withColumns({"_type": F.lower(type_col), "_v": version.cast("string")}), aliases, _of_type(aliases))
     found = F.transform(_chosen(F.col("_v")), lambda a: F.struct(
         a["alias"].alias("key"), value_at(F.col(doc), a["steps"]).alias("value")))
     there = F.filter(found, lambda e: e["value"].isNotNull())
@@ -103,8 +151,7 @@ def remap_elements(df: DataFrame, doc: str, aliases: DataFrame, type_col: Column
     leaves = F.collect_list(F.struct(F.lower("leaf").alias("leaf"), path_steps("inner").alias("inner")))
     arrays = parts.groupBy("type", "api_version", "alias", "path").agg(F.sort_array(leaves).alias("leaves"))
     version = api_version if api_version is not None else F.lit(None).cast("string")
-    x = df.withColumns({"_type": F.lower(type_col), "_v": version.cast("string")}).join(
-        _of_type(arrays, "leaves"), "_type", "left")
+    x = _with_type(df.withColumns({"_type": F.lower(type_col), "_v": version.cast("string")}), wild, _of_type(arrays, "leaves"))
 
     def element(e: Column, leaves: Column) -> Column:
         own = F.transform(F.map_entries(as_object(e)), lambda m: F.struct(F.lower(m["key"]).alias("key"), m["value"].alias("value")))
@@ -130,8 +177,10 @@ def field_value(name, doc, aliases=None) -> Column:
     ``tags['x']`` are one tag, whose name may hold dots.  Any other path is looked up in the document and
     then in its ``properties``.  A field that is not there is NULL.
     """
-    name = F.lit(name) if isinstance(name, str) else name
     v = _col(doc)
+    if isinstance(name, str):
+        found = _fixed_field(name, v)
+        return found if aliases is None else F.coalesce(F.try_element_at(_col(aliases), F.lower(F.lit(name))), found)
 
     def of(n: Column) -> Column:
         tag = F.regexp_extract(n, r"^tags(?:\.(.+)|\[['\"]?(.+?)['\"]?\])$", 1)

@@ -161,7 +161,8 @@ SELECT k, CASE WHEN s <> 'P' THEN '["' || first || '","Deny"]' END AS access,
          AS elements FROM a""")
 def resource_aliases(spark, sf_dir):
     o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_orderstatus").alias("s"))
-    r = o.select("k", D.document(F.expr(_RES)).alias("doc")).repartition(spark.sparkContext.defaultParallelism, "k")
+    # a small file is one scan task; parsing is the work
+    r = o.repartition(spark.sparkContext.defaultParallelism).select("k", D.document(F.expr(_RES)).alias("doc"))
     types = o.filter("s <> 'P'").select(F.concat(F.lit("shop/"), F.col("s")).alias("type")).distinct()
     # fixed values of the binding: alias, path, API version (null: all others)
     paths = (("Rules[*].access", "properties.rules[*].properties.access", None), ("Rules[*].port", "properties.rules[*].properties.port", None),
