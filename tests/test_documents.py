@@ -232,3 +232,18 @@ def test_walk_of_any_documents_stores_nothing(spark, pairs, monkeypatch):
     got = N.walk(df, "j", "i").collect()
     assert Counter((r["id"], r["path"], r["kind"]) for r in got) == want
     assert [json.loads(r["value"]) for r in got if r["id"] is None and r["path"] == "$"] == [{"a": [1]}]
+
+
+def test_walk_and_profile_take_documents_apart_in_one_pass(spark, monkeypatch):
+    """No job goes ahead of the walk, whatever the depth; levels below the steps of the plan are whole."""
+    docs = [deep_document(N._LEVELS + 6), [[[[[[[{"a]\"[": ["\n}"]}, []]]]]]], 1], {"x": {}}, None]
+    rows = [(i, json.dumps(d)) for i, d in enumerate(docs)]
+    df = spark.createDataFrame(rows, "i int, j string")
+    for action in ("first", "collect", "count"):
+        monkeypatch.setattr(type(df), action, lambda *a, **k: pytest.fail("a job went ahead"))
+    walked, profile = N.walk(df, "j", "i"), N.type_profile(df, "j")
+    monkeypatch.undo()
+    want = [(i, p, k) for i, d in enumerate(docs) for p, k, _ in nodes(d)]
+    assert Counter((r["id"], r["path"], r["kind"]) for r in walked.collect()) == Counter(want)
+    folded = Counter((p, k) for d in docs for p, k, _ in nodes(d, folded=True))
+    assert {(r["path"], r["kind"]): r["rows"] for r in profile.collect()} == folded

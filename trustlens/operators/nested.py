@@ -6,13 +6,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Column
 from pyspark.sql import functions as F
 
-from .documents import deepest, document, drop_paths, keep_paths
+from .documents import as_array, as_object, depth, document, drop_paths, keep_paths
 
 
-def _kind(v: Column) -> Column:
-    """Variant node kind: object / array / string / number / boolean / null."""
-    t = F.schema_of_variant(v)
-    return (F.when(v.isNull() | (t == "VOID"), "null")
+_CONTAINER = r"^(OBJECT|ARRAY)\b"
+
+
+def _kind(t: Column) -> Column:
+    """Variant node kind: object / array / string / number / boolean / null, of the schema of a node."""
+    return (F.when(t.isNull() | (t == "VOID"), "null")
              .when(t.startswith("OBJECT"), "object").when(t.startswith("ARRAY"), "array")
              .when(t == "STRING", "string").when(t == "BOOLEAN", "boolean").otherwise("number"))
 
@@ -33,18 +35,52 @@ def _expanded(rows: DataFrame, folded: bool = False) -> DataFrame:
             WHERE NOT c.down OR e.pos IS NOT NULL""", turns=turns)
 
 
+_NODES = "array<struct<path:string,v:variant>>"
+
+
+def _below(path: Column, v: Column, folded: bool) -> Column:
+    """All nodes of a container, itself included, as an array of (path, v): a level a round, as many
+    rounds as this one has levels."""
+    def node(at: Column, value: Column) -> Column:
+        return F.struct(at.alias("path"), value.alias("v"))
+
+    def children(n: Column) -> Column:
+        members = F.transform(F.map_entries(as_object(n["v"])), lambda e: node(
+            F.concat(n["path"], F.lit("."), e["key"]), e["value"]))
+        items = F.transform(as_array(n["v"]), lambda e, i: node(
+            F.concat(n["path"], F.lit("[*]") if folded else F.concat(F.lit("["), i.cast("string"), F.lit("]"))), e))
+        return F.coalesce(members, items, F.array().cast(_NODES))
+
+    start = F.struct(F.array().cast(_NODES).alias("done"), F.array(node(path, v)).cast(_NODES).alias("level"))
+    return F.aggregate(F.sequence(F.lit(1), depth(F.to_json(v))), start, lambda x, _: F.struct(
+        F.concat(x["done"], x["level"]).alias("done"), F.flatten(F.transform(x["level"], children)).alias("level")),
+        lambda x: F.concat(x["done"], x["level"]))
+
+
+# Levels that are steps of the plan; what is nested deeper is taken apart where it is found.
+_LEVELS = 4
+
+
 def _nodes(df: DataFrame, json_col: str, *keep, folded: bool = False) -> DataFrame:
-    """Every node of the documents, in one pass: as many steps as the deepest document has levels."""
+    """Every node of the documents, in one pass over them, however deep they are: the upper levels step by
+    step, and what is still open below them by itself."""
     rows = df.select(*keep, F.lit("$").alias("path"), F.parse_json(F.col(json_col)).alias("v"), F.lit(True).alias("open"))
-    for _ in range(deepest(df, json_col)):
+    for _ in range(_LEVELS):
         rows = _expanded(rows, folded)
-    return rows.withColumn("kind", _kind(F.col("v"))).drop("open")
+    kept = [c for c in rows.columns if c not in ("path", "v", "open")]
+    rest = F.when(F.col("open") & F.schema_of_variant("v").rlike(_CONTAINER), _below(F.col("path"), F.col("v"), folded))
+    rows = rows.select(*kept, "path", "v", rest.alias("rest"))  # apart from the step below, which is compiled
+    rows = rows.select(*kept, "path", "v", F.inline_outer("rest").alias("below", "w"))
+    rows = rows.select(*kept, F.coalesce("below", "path").alias("path"),
+                       F.when(F.col("below").isNull(), F.col("v")).otherwise(F.col("w")).alias("v"))
+    # the schema of a node is worked out once, not for every kind it is held against
+    return rows.withColumn("t", F.schema_of_variant("v")).withColumn("kind", _kind(F.col("t"))).drop("t")
 
 
 def walk(df: DataFrame, json_col: str, id_col: str) -> DataFrame:
     """One row per (document, path, node) for every node, the root included.
-    Paths use the ``$.key[0]`` form.  The levels are measured, then all are taken apart in one pass
-    without a shuffle or a stored level."""
+    Paths use the ``$.key[0]`` form.  All levels are taken apart in one pass over the documents, without
+    a shuffle or a stored level."""
     nodes = _nodes(df, json_col, F.col(id_col).alias("id"))
     return nodes.select("id", "path", "kind", F.to_json(F.col("v")).alias("value"))
 
