@@ -247,3 +247,32 @@ def test_walk_and_profile_take_documents_apart_in_one_pass(spark, monkeypatch):
     assert Counter((r["id"], r["path"], r["kind"]) for r in walked.collect()) == Counter(want)
     folded = Counter((p, k) for d in docs for p, k, _ in nodes(d, folded=True))
     assert {(r["path"], r["kind"]): r["rows"] for r in profile.collect()} == folded
+
+
+ODD_NAMES = ["a.b", "a'b", 'a"b', "a'\"b", "[0]", "x y", " x", "*", "?", "é", "\uffff", "😀", ""]
+
+
+def test_schemas_of_parsed_documents_and_odd_names(spark):
+    """Documents may be parsed before, for many schemas; a member's name is never read as steps."""
+    for name in ODD_NAMES:
+        schema = {"type": "object", "required": [name], "additionalProperties": False, "properties": {
+            "k": {"type": "array", "items": {"type": "object", "properties": {name: {"const": {name: [1, "x", None]}}}}},
+            name: {"type": "object", "additionalProperties": {"type": "boolean"}, "properties": {name: {"type": "integer"}}}}}
+        cases = [({}, ("required", f"$.{name}")), ({name: {name: 1}}, (None, None)), ({name: 1}, ("type", f"$.{name}")),
+                 ({name: {name: None}}, ("type", f"$.{name}.{name}")), ({name: {name: 1, "q": 2}}, ("type", f"$.{name}.q")),
+                 ({name: {}, "k": [{}, {name: {name: [1.0, "x", None]}}]}, (None, None)),
+                 ({name: {}, "k": [{}, {name: {name: [1, "x"]}}]}, ("const", f"$.k[1].{name}")),
+                 ({name: {}, "k": [{name: {name: [1, "x", None], "o": 1}}]}, ("const", f"$.k[0].{name}"))]
+        text = spark.createDataFrame([(i, json.dumps(d)) for i, (d, _) in enumerate(cases)], "i int, j string")
+        for df in (text, text.withColumn("j", D.document("j"))):
+            got = S.validate_json(df, "j", schema).drop("j").collect()
+            assert {r["i"]: (r["error_code"], r["error_path"]) for r in got} == {i: w for i, (_, w) in enumerate(cases)}, name
+
+
+def test_members_fail_in_the_order_of_their_names(spark):
+    """Known and other members are one order, which is that of UTF-16."""
+    schema = {"type": "object", "additionalProperties": False, "properties": {n: {"type": "null"} for n in ("b", "d", "\uffff")}}
+    cases = [({"a": 1, "b": 1}, "$"), ({"b": 1, "c": 1}, "$.b"), ({"b": None, "c": 1, "d": 1}, "$"), ({"d": 1, "e": 1}, "$.d"),
+             ({"\uffff": 1, "😀": 1}, "$"), ({"b": None, "d": None}, None)]
+    df = spark.createDataFrame([(i, json.dumps(d)) for i, (d, _) in enumerate(cases)], "i int, j string")
+    assert {r["i"]: r["error_path"] for r in S.validate_json(df, "j", schema).collect()} == {i: w for i, (_, w) in enumerate(cases)}

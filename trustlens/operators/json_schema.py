@@ -14,14 +14,19 @@ documents are; nothing runs in Python.
 from __future__ import annotations
 
 import json
+import re
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import VariantType
 
 from ..functions.bind import bind
-from .documents import as_array, as_object, document, same_document
+from .documents import document, same_document
 
 _ERROR = "struct<code:string,path:string>"
+# an object's members, its names alone, and an array's items; NULL for anything else
+_MAP, _KEYS, _LIST = "map<string,variant>", "map<string,struct<>>", "array<variant>"
 
 
 def _none() -> Column:
@@ -40,35 +45,87 @@ def _first(errors: list[Column]) -> Column:
     return F.coalesce(*errors) if len(errors) > 1 else errors[0] if errors else _none()
 
 
-def _levels(value) -> int:
-    inner = value.values() if isinstance(value, dict) else value if isinstance(value, list) else None
-    return 0 if inner is None else 1 + max([_levels(x) for x in inner] or [0])
+@dataclass(frozen=True)
+class _At:
+    """A place in a document: known members are read by their path, without taking the objects on the
+    way apart.  ``columns`` are worked out per row ahead of the checks; None inside of a lambda."""
 
+    root: Column
+    columns: dict[str, Column] | None = None
+    steps: str = "$"
 
-def _equals(v: Column, value) -> Column:
-    return same_document(v, F.parse_json(F.lit(json.dumps(value))), _levels(value))
+    def get(self, kind: str = "variant") -> Column:
+        return F.try_variant_get(self.root, self.steps, kind)
 
+    def member(self, name: str) -> _At:
+        if re.fullmatch(r"[A-Za-z0-9_-]+", name):
+            return replace(self, steps=f"{self.steps}.{name}")
+        # a name that could be read as steps
+        return replace(self, root=F.try_element_at(self.get(_MAP), F.lit(name)), steps="$")
 
-def _number(v: Column, s: dict, path: Column) -> Column:
+    def kind(self) -> Column:
+        return F.schema_of_variant(self.get())
+
+    def is_object(self) -> Column:
+        return self.get("struct<>").isNotNull()  # its members are not read
+
+    def there(self) -> Column:
+        return self.is_object() | self.get().isNotNull()  # an object need not be copied for this
+
+    def once(self, value: Column, use) -> Column:
+        """``use(value)`` with the value worked out once."""
+        if self.columns is None:
+            return bind(value, use)
+        name = f"_once_{len(self.columns)}"
+        self.columns[name] = value
+        return use(F.col(name))
+
+
+def _plain(value):
+    """A value as JSON has it."""
+    return json.loads(json.dumps(value))
+
+
+def _equals(at: _At, value) -> Column:
+    """Members in any order, items in theirs, numbers by value."""
+    if isinstance(value, dict):
+        same = F.size(at.get(_KEYS)) == len(value)
+        for name, x in value.items():
+            same = same & _equals(at.member(name), x)
+    elif isinstance(value, list):
+        same = F.size(at.get(_LIST)) == len(value)
+        for i, x in enumerate(value):
+            same = same & _equals(replace(at, steps=f"{at.steps}[{i}]"), x)
+    elif isinstance(value, str):
+        same = (at.kind() == "STRING") & (at.get("string") == value)
+    else:
+        same = same_document(at.get(), F.parse_json(F.lit(json.dumps(value))), 0)
+    return F.coalesce(same, F.lit(False))
+
+
+def _number(at: _At, s: dict, path: Column) -> Column:
     """A number within bounds; an integer has no fraction, however it is written."""
-    kind = F.schema_of_variant(v)
-    exact = F.try_variant_get(v, "$", "decimal(38,12)")
-    wide = F.try_variant_get(v, "$", "double")
-    wrong = ~((kind == "BIGINT") | kind.startswith("DECIMAL") | kind.isin("DOUBLE", "FLOAT"))
+    kind = at.kind()
+    whole, exact, wide = at.get("bigint"), at.get("decimal(38,12)"), at.get("double")
+    wrong = ~F.substring_index(kind, "(", 1).isin("BIGINT", "DECIMAL", "DOUBLE", "FLOAT")
     if s["type"] == "integer":
-        wrong = wrong | F.when(kind.isin("DOUBLE", "FLOAT"), wide != F.floor(wide)).otherwise(
-            ~kind.rlike("^BIGINT$|,0[)]$"))
-    below = lambda x: F.coalesce(exact < F.lit(str(x)).cast("decimal(38,12)"), wide < F.lit(float(x)))
-    above = lambda x: F.coalesce(exact > F.lit(str(x)).cast("decimal(38,12)"), wide > F.lit(float(x)))
+        wrong = (kind != "BIGINT") & (wrong | F.when(kind.isin("DOUBLE", "FLOAT"), wide != F.floor(wide)).otherwise(
+            ~kind.rlike(",0[)]$")))
+
+    def beyond(x, compare) -> Column:
+        other = F.coalesce(compare(exact, F.lit(str(x)).cast("decimal(38,12)")), compare(wide, F.lit(float(x))))
+        if isinstance(x, int) and abs(x) < 2**63:  # most numbers are compared as they are
+            return F.when(kind == "BIGINT", compare(whole, F.lit(x).cast("bigint"))).otherwise(other)
+        return other
     return _first([_when(wrong, "type", path)]
-                  + ([_when(below(s["minimum"]), "minimum", path)] if "minimum" in s else [])
-                  + ([_when(above(s["maximum"]), "maximum", path)] if "maximum" in s else []))
+                  + ([_when(beyond(s["minimum"], lambda a, b: a < b), "minimum", path)] if "minimum" in s else [])
+                  + ([_when(beyond(s["maximum"], lambda a, b: a > b), "maximum", path)] if "maximum" in s else []))
 
 
-def _string(v: Column, s: dict, path: Column) -> Column:
+def _string(at: _At, s: dict, path: Column) -> Column:
     """G4c."""
-    text = F.try_variant_get(v, "$", "string")
-    errors = [_when(F.schema_of_variant(v) != "STRING", "type", path)]
+    text = at.get("string")
+    errors = [_when(at.kind() != "STRING", "type", path)]
     if "minLength" in s:
         errors.append(_when(F.octet_length(text) < s["minLength"], "minLength", path))
     if "maxLength" in s:
@@ -82,7 +139,7 @@ def _first_of(errors: Column) -> Column:
     return F.get(F.filter(errors, lambda e: e.isNotNull()), F.lit(0))
 
 
-def _array(v: Column, s: dict, path: Column) -> Column:
+def _array(at: _At, s: dict, path: Column) -> Column:
     """G4d; a set (G4g) is an array of which only the items count."""
     def check(items: Column) -> Column:
         errors = [_when(items.isNull(), "type", path)]
@@ -91,102 +148,119 @@ def _array(v: Column, s: dict, path: Column) -> Column:
         if s["type"] == "array" and "maxItems" in s:
             errors.append(_when(F.size(items) > s["maxItems"], "maxItems", path))
         if "items" in s:
-            errors.append(_first_of(F.transform(items, lambda e, i: first_error(
-                e, s["items"], F.concat(path, F.lit("["), i.cast("string"), F.lit("]"))))))
+            errors.append(_first_of(F.transform(items, lambda e, i: _checked(
+                _At(e), s["items"], F.concat(path, F.lit("["), i.cast("string"), F.lit("]"))))))
         return _first(errors)
-    return bind(as_array(v), check)
+    return at.once(at.get(_LIST), check)
+
+
+def _in_order(name) -> Column | bytes:
+    """What the members of an object are in the order of."""
+    return F.encode(name, "UTF-16BE") if isinstance(name, Column) else name.encode("utf-16-be")
 
 
-def _members(entries: Column, of: dict, other, path: Column, skip=()) -> Column:
+def _members(at: _At, of: dict, other, path: Column, skip=()) -> Column:
     """The first error of an object's members: by name, or by ``other`` (a schema, True or False)."""
-    def check(e: Column) -> Column:
-        at = F.concat(path, F.lit("."), e["key"])
-        rest = (_none() if other is True else _error("additionalProperties", path) if other is False
-                else first_error(e["value"], other, at))
-        out = F.when(e["key"].isin(*skip), _none()) if skip else None
-        for name, sub in of.items():
-            if name not in skip:
-                error = first_error(e["value"], sub, at)
-                out = F.when(e["key"] == name, error) if out is None else out.when(e["key"] == name, error)
-        return rest if out is None else out.otherwise(rest)
-    return _first_of(F.transform(entries, check))
+    names = sorted((n for n in of if n not in skip), key=_in_order)
+    errors = [(n, F.when(at.member(n).there(), _checked(at.member(n), of[n], F.concat(path, F.lit(f".{n}"))))) for n in names]
+    if other is True:
+        return _first([e for _, e in errors])
 
+    def failed(e: Column) -> Column:
+        error = (_error("additionalProperties", path) if other is False
+                 else _checked(_At(e["value"]), other, F.concat(path, F.lit("."), e["key"])))
+        return F.when(~e["key"].isin(*of, *skip) & error.isNotNull(), F.struct(e["key"].alias("key"), error.alias("error")))
 
-def _required(members: Column, names, path: Column) -> list[Column]:
-    return [_when(~F.map_contains_key(members, F.lit(n)), "required", F.concat(path, F.lit(f".{n}"))) for n in names]
+    def merged(x: Column) -> Column:
+        steps = []
+        for n, e in errors:
+            steps += [F.when(_in_order(x["key"]) < F.lit(_in_order(n)), x["error"]), e]
+        return _first([*steps, x["error"]])
+    entries = F.map_entries(at.get(_KEYS if other is False else _MAP))
+    return at.once(_first_of(F.transform(entries, failed)), merged)
 
 
-def _object(v: Column, s: dict, path: Column) -> Column:
+def _required(at: _At, names, path: Column) -> list[Column]:
+    return [_when(~at.member(n).there(), "required", F.concat(path, F.lit(f".{n}"))) for n in names]
+
+
+def _object(at: _At, s: dict, path: Column) -> Column:
     """G4e, and G4h where the members depend on one of them."""
     own, other = s.get("properties", {}), s.get("additionalProperties", True)
-
-    def check(m: Column) -> Column:
-        errors = [_when(m.isNull(), "type", path), *_required(m, s.get("required", ()), path)]
-        if "discriminator" not in s:
-            if own or other is not True:
-                errors.append(_members(F.map_entries(m), own, other, path))
-            return _first(errors)
-        name = s["discriminator"]
-        at, value = F.concat(path, F.lit(f".{name}")), F.try_element_at(m, F.lit(name))
-        text = F.try_variant_get(value, "$", "string")
-        errors += [_when(m.isNotNull() & value.isNull(), "missingDiscriminator", at),
-                   _when(F.schema_of_variant(value) != "STRING", "type", at),
-                   _when(~text.isin(*s["variants"]), "discriminator", at)]
-        for key, sub in s["variants"].items():
-            mine, more = sub.get("properties", {}), sub.get("additionalProperties", True)
-            base = _members(F.map_entries(m), own, True if more is not False else other, path, tuple(mine))
-            steps = [base, *_required(m, sub.get("required", ()), path),
-                     *(F.when(F.map_contains_key(m, F.lit(n)), first_error(
-                         F.try_element_at(m, F.lit(n)), mine[n], F.concat(path, F.lit(f".{n}")))) for n in sorted(mine))]
-            if isinstance(more, dict):
-                steps.append(_members(F.map_entries(m), {n: {} for n in mine}, more, path))
-            errors.append(F.when(text == key, _first(steps)))
-        return _first(errors)
-    return bind(as_object(v), check)
+    errors = [_when(~at.is_object(), "type", path), *_required(at, s.get("required", ()), path)]
+    if "discriminator" not in s:
+        return _first([*errors, _members(at, own, other, path)] if own or other is not True else errors)
+    name = s["discriminator"]
+    where, chosen = F.concat(path, F.lit(f".{name}")), at.member(name)
+    text = chosen.get("string")
+    errors += [_when(~chosen.there(), "missingDiscriminator", where), _when(chosen.kind() != "STRING", "type", where),
+               _when(~text.isin(*s["variants"]), "discriminator", where)]
+    for key, sub in s["variants"].items():
+        mine, more = sub.get("properties", {}), sub.get("additionalProperties", True)
+        steps = [_members(at, own, True if more is not False else other, path, tuple(mine)),
+                 *_required(at, sub.get("required", ()), path),
+                 *(F.when(at.member(n).there(), _checked(at.member(n), mine[n], F.concat(path, F.lit(f".{n}"))))
+                   for n in sorted(mine))]
+        if isinstance(more, dict):
+            steps.append(_members(at, {n: {} for n in mine}, more, path))
+        errors.append(F.when(text == key, _first(steps)))
+    return _first(errors)
 
 
-def first_error(v: Column, schema: dict, path: Column) -> Column:
-    """struct(code, path) of the first error of a VARIANT, NULL where there is none."""
+def _checked(at: _At, schema: dict, path: Column) -> Column:
+    """struct(code, path) of the first error of a place that is there, NULL where there is none."""
     if "anyOf" in schema:  # G4f
         wrong = None
         for branch in schema["anyOf"]:
-            fails = first_error(v, branch, path).isNotNull()
+            fails = _checked(at, branch, path).isNotNull()
             wrong = fails if wrong is None else wrong & fails
         return _when(wrong, "anyOf", path)
     if "const" in schema:  # G4g
-        return _when(~_equals(v, schema["const"]), "const", path)
+        return _when(~_equals(at, _plain(schema["const"])), "const", path)
     if "enum" in schema:
         some = None
         for x in schema["enum"]:
-            some = _equals(v, x) if some is None else some | _equals(v, x)
+            same = _equals(at, _plain(x))
+            some = same if some is None else some | same
         return _when(~some, "enum", path)
     kind = schema.get("type", "any")
     if kind == "any":
         return _none()
     if kind in ("integer", "number"):
-        return _number(v, schema, path)
+        return _number(at, schema, path)
     if kind == "string":
-        return _string(v, schema, path)
+        return _string(at, schema, path)
     if kind in ("array", "set"):
-        return _array(v, schema, path)
+        return _array(at, schema, path)
     if kind == "object":
-        return _object(v, schema, path)
+        return _object(at, schema, path)
     if kind in ("boolean", "null"):  # G4b
-        return _when(F.schema_of_variant(v) != ("BOOLEAN" if kind == "boolean" else "VOID"), "type", path)
+        return _when(at.kind() != ("BOOLEAN" if kind == "boolean" else "VOID"), "type", path)
     raise ValueError(f"unknown type {kind!r}")
 
 
+def first_error(v: Column, schema: dict, path: Column) -> Column:
+    """struct(code, path) of the first error of a VARIANT, NULL where there is none."""
+    return _checked(_At(v), schema, path)
+
+
 def validate_json(df: DataFrame, json_col: str, schema: dict) -> DataFrame:
     """Adds ``error_code`` and ``error_path`` (NULL for a valid document).  Text that is no JSON, or
-    is missing, has the error ``json`` at the root ``$``; paths are ``$.member[0]``."""
-    checked = bind(document(json_col), lambda v: F.when(v.isNull(), _error("json", F.lit("$"))).otherwise(
-        first_error(v, schema, F.lit("$"))))
-    out = df.withColumn("error_code", checked)
-    return out.withColumn("error_path", F.col("error_code.path")).withColumn("error_code", F.col("error_code.code"))
+    is missing, has the error ``json`` at the root ``$``; paths are ``$.member[0]``.  Documents may be
+    VARIANT, parsed once for many schemas."""
+    parsed = df.schema[json_col].dataType == VariantType()
+    doc = F.col(json_col if parsed else "_document")
+    columns: dict[str, Column] = {}
+    error = _checked(_At(doc, columns), schema, F.lit("$"))
+    out = (df if parsed else df.withColumn("_document", document(json_col))).withColumns(columns)
+    out = out.withColumn("error_code", F.when(doc.isNull(), _error("json", F.lit("$"))).otherwise(error))
+    out = out.withColumn("error_path", F.col("error_code.path")).withColumn("error_code", F.col("error_code.code"))
+    return out.drop("_document", *columns)
 
 
 def error_counts(validated: DataFrame) -> DataFrame:
     """Rows per first error, whatever the place in arrays."""
     folded = F.regexp_replace("error_path", r"\[\d+\]", "[*]")
-    return (validated.filter(F.col("error_code").isNotNull()).groupBy("error_code", folded.alias("error_path"))
-            .agg(F.count(F.lit(1)).alias("rows")))
+    # valid documents are left out by their count: a filter ahead of it would run the checks twice
+    return (validated.groupBy("error_code", folded.alias("error_path")).agg(F.count("error_code").alias("rows"))
+            .filter(F.col("rows") > 0))
